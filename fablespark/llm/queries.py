@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, pii, urlfilter, warc
+from . import chat, decontaminate, embeddings, langid, packing, pii, urlfilter, warc
 from .common import staged, table
 
 
@@ -28,6 +28,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(staged(chat.format_chat(turns), "chat"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat": op5_chat,
+    "op6_embeddings": op6_embeddings,
     "op7_language": op7_language,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
