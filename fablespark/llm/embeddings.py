@@ -33,17 +33,22 @@ from .common import components, staged
 LINK = 0.93
 BLOCKS = 2
 CODES = 512
-FEWEST, MOST = 16, 128
+FEWEST, MOST = 16, 512
 SIGMAS = 3.55
 PART = 1024
 
 
+def codes_of(dims: int) -> int:
+    """Code vectors of a block; fewer in few dimensions, where caps as narrow would be too small."""
+    return min(CODES, max(2, int(2 ** (dims / 4))))
+
+
 def codes(dims: int) -> list[tuple[slice, np.ndarray]]:
     """Slices of the dimensions and the code vectors of each, the same in every task."""
     rng, out = np.random.default_rng([77, dims]), []
     edges = np.linspace(0, dims, min(BLOCKS, dims) + 1).astype(int)
     for a, b in zip(edges, edges[1:], strict=False):
-        x = rng.normal(size=(CODES, b - a))
+        x = rng.normal(size=(codes_of(dims), b - a))
         out.append((slice(a, b), x / np.linalg.norm(x, axis=1, keepdims=True)))
     return out
 
@@ -57,15 +62,15 @@ def decode(unit: np.ndarray) -> list[np.ndarray]:
     dims = unit.shape[1]
     tau = SIGMAS / np.sqrt(dims)
     parts = [(unit[:, s] @ c.T) / np.sqrt(min(BLOCKS, dims)) for s, c in codes(dims)]
-    best = min(MOST, CODES)
+    best = min(MOST, codes_of(dims))
     tops = [np.argsort(-p, axis=1)[:, :best] for p in parts]
     scores = [np.take_along_axis(p, t, axis=1) for p, t in zip(parts, tops, strict=True)]
     if len(parts) == 1:
         filters, total = tops[0], scores[0]
     else:
-        i, j = np.array([(i, j) for i in range(best) for j in range(best) if (i + 1) * (j + 1) <= best]).T
-        filters, total = tops[0][:, i] * CODES + tops[1][:, j], scores[0][:, i] + scores[1][:, j]
-    order = np.argsort(-total, axis=1)[:, :best]
+        i, j = np.array([(i, j) for i in range(best) for j in range(best) if (i + 1) * (j + 1) <= MOST]).T
+        filters, total = tops[0][:, i] * codes_of(dims) + tops[1][:, j], scores[0][:, i] + scores[1][:, j]
+    order = np.argsort(-total, axis=1)[:, :MOST]
     filters, total = np.take_along_axis(filters, order, axis=1), np.take_along_axis(total, order, axis=1)
     n = np.clip((total >= tau).sum(axis=1), FEWEST, None)
     return [np.sort(f[:k]) for f, k in zip(filters, n, strict=True)]

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, packing, pii, urlfilter, warc
+from . import chat, decontaminate, embeddings, jaccard, langid, packing, pii, urlfilter, warc
 from .common import staged, table
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).first()
@@ -80,6 +84,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_warc": op2_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat": op5_chat,
