@@ -10,7 +10,7 @@ Prediction is one pass over the texts with a weight table of 2^BITS rows.
 Whatever crc32(doc_id as text) mod 5 leaves 0 is held out and never learned from.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; a null doc_id is held
-out; a null lang teaches nothing; with nothing to learn from, every document is `und`; repeated
+out; a null lang or a text without a letter teaches nothing; with nothing to learn from, every document is `und`; repeated
 rows count as often as they occur; an empty table gives no rows; other columns are ignored by
 predict() and kept by accepted().
 """
@@ -45,7 +45,7 @@ def letters() -> np.ndarray:
 
 
 def points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised code points of all texts, each followed by a space, and the offsets of the rows."""
+    """Normalised code points of all texts, each followed by a space, runs of spaces as one; offsets of the rows."""
     offsets = np.concatenate(([0], np.cumsum([len(t or "") + 1 for t in texts])))
     raw = np.frombuffer(" ".join([*(t or "" for t in texts), ""]).encode("utf-32-le", "replace"), "<u4")
     high = raw >= 1 << 16
@@ -54,7 +54,9 @@ def points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         other = np.unique(raw[high])
         own = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in other.tolist()], np.uint32)
         out[high] = own[np.searchsorted(other, raw[high])]
-    return out, offsets
+    kept = np.ones(len(out), bool)
+    kept[1:] = (out[1:] != 32) | (out[:-1] != 32)
+    return out[kept], np.concatenate(([0], np.cumsum(kept)))[offsets]
 
 
 def features(x: np.ndarray) -> Iterator[np.ndarray]:
@@ -185,7 +187,7 @@ def _part(doc_id: Column) -> Column:
 
 def train(docs: DataFrame) -> Model:
     part = _part(F.col("doc_id"))
-    taught = docs.where((part != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    taught = docs.where((part != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in taught.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     counts = taught.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
