@@ -92,7 +92,7 @@ def tags(df: DataFrame, keep: list[str], known: DataFrame, text: str = "text") -
 
 def voice_blend(df: DataFrame, keep: list[str], spec: str) -> DataFrame:
     """Rows (voice, weight) of `a:60,b:40`; voices without a share split what is left; weights sum to 1."""
-    items = F.filter(F.transform(F.split(F.col(spec), ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.col(spec), ","), lambda x: F.trim(x)), lambda x: x != "")
     parsed = F.transform(items, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("voice"), F.trim(F.split_part(x, F.lit(":"), F.lit(2))).try_cast("double").alias("share")))
     out = df.select(*keep, F.posexplode(parsed).alias("pos", "v")).select(*keep, "pos", "v.voice", "v.share")
     whole = Window.partitionBy(*keep)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import signals as S
 from ..functions import text as T
-from ..operators import casting, compliance, emotion, segments, timeline
+from ..operators import casting, catalog, compliance, emotion, segments, tags, timeline
+from ..sources import sinks
+from . import narration
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -511,3 +514,127 @@ def roman_numerals(spark, sf_dir):
         d = F.floor(n / place) % 10
         numeral = F.concat(numeral, F.when(d == 9, one + ten).when(d == 4, one + five).otherwise(F.concat(F.when(d >= 5, F.lit(five)).otherwise(""), F.repeat(F.lit(one), (d % F.lit(5 if five else 10)).cast("int")))))
     return table(spark, sf_dir, "events").select("event_id", T.roman_value(numeral).alias("value"))
+
+
+TAGGED_SQL = "g AS (SELECT event_id, '[' || event_type || '] go [' || (['laughs', 'mad', 'long', 'pause', 'soft', 'thunder'])[event_id % 6 + 1] || '] now' AS text FROM events)"
+
+
+def _tagged(spark, sf_dir):
+    second = F.element_at(F.array(*map(F.lit, ("laughs", "mad", "long", "pause", "soft", "thunder"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), "event_type", F.lit("] go ["), second, F.lit("] now")).alias("text"))
+
+
+_TAG_ROWS = ", ".join(
+    f"('{n}', '{t[0]}', {t[3]}::DOUBLE, {t[4]}::DOUBLE, {t[5]}::DOUBLE, {t[6]}::DOUBLE, {t[7]}::DOUBLE)" for t in tags.TAGS for n in [t[0], *(a for a, of in tags.ALIASES.items() if of == t[0])]
+)
+_TAGS_SQL = f"known AS (SELECT * FROM (VALUES {_TAG_ROWS}) AS t(name, tag, speed, volume, pitch, before, after))"
+
+
+@query(
+    "inline_tags",
+    f"WITH {TAGGED_SQL}, {_TAGS_SQL}, n AS (SELECT event_id, unnest(regexp_extract_all(text, '\\[([A-Za-z_ -]+)\\]', 1)) AS name FROM g) SELECT tag, count(*) AS n FROM n JOIN known USING (name) GROUP BY tag",
+)
+def inline_tags(spark, sf_dir):
+    return segments.tags(_tagged(spark, sf_dir), ["event_id"], tags.known_tags(spark)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "tag_prosody",
+    f"""WITH {TAGGED_SQL}, {_TAGS_SQL}, n AS (SELECT event_id, lower(unnest(regexp_extract_all(text, '\\[([A-Za-z_ -]+)\\]', 1))) AS name FROM g),
+a AS (SELECT event_id, product(speed) AS speed, product(volume) AS volume, sum(pitch) AS pitch, max(before) AS b, max(after) AS f FROM n JOIN known USING (name) GROUP BY event_id)
+SELECT g.event_id, round(least(greatest(coalesce(speed, 1.0), 0.5), 1.5), 4)::DOUBLE AS speed, round(least(greatest(coalesce(volume, 1.0), 0.3), 1.5), 4)::DOUBLE AS volume, round(least(greatest(coalesce(pitch, 0.0), -1.0), 1.0), 4)::DOUBLE AS pitch, coalesce(b, 0)::DOUBLE AS pause_before, coalesce(f, 0)::DOUBLE AS pause_after FROM g LEFT JOIN a USING (event_id)""",
+)
+def tag_prosody(spark, sf_dir):
+    p = _tagged(spark, sf_dir).select("event_id", tags.prosody("text").alias("p"))
+    return p.select("event_id", *[F.round(f"p.{c}", 4).alias(c) for c in ("speed", "volume", "pitch")], "p.pause_before", "p.pause_after")
+
+
+@query(
+    "voice_blends",
+    """WITH s AS (SELECT event_id, event_id % 80 AS a FROM events), v AS (
+  SELECT event_id, 0 AS pos, 'a' AS voice, a::DOUBLE AS share FROM s UNION ALL SELECT event_id, 1, 'b', (100 - a) / 2 FROM s UNION ALL SELECT event_id, 2, 'c', (100 - a) / 2 FROM s)
+SELECT event_id, pos::INT AS pos, voice, round(share / 100, 6)::DOUBLE AS weight FROM v""",
+)
+def voice_blends(spark, sf_dir):
+    specs = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("a:"), (F.col("event_id") % 80).cast("string"), F.lit(", b,c")).alias("spec"))
+    return segments.voice_blend(specs, ["event_id"], "spec").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "signal_crossfade",
+    """WITH v AS (SELECT user_id, list(value / 1000 ORDER BY event_id) AS s FROM events GROUP BY user_id HAVING count(*) >= 20), k AS (SELECT user_id, s[1:10] AS a, s[11:20] AS b FROM v),
+z AS (SELECT user_id, list_concat(list_concat(a[1:6], list_transform(range(0, 4), lambda i: a[7 + i] * (1 - i / 3) + b[1 + i] * (i / 3))), b[5:10]) AS m FROM k)
+SELECT user_id, unnest(range(len(m)))::INT AS i, round(unnest(m), 6)::DOUBLE AS x FROM z""",
+)
+def signal_crossfade(spark, sf_dir):
+    signals = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") / 1000).alias("x")))).alias("s"))
+    signals = signals.where("size(s) >= 20").select("user_id", F.transform("s", lambda z: z["x"]).alias("s"))
+    mixed = signals.select("user_id", S.crossfade(F.slice("s", 1, 10), F.slice("s", 11, 10), 4, curve="linear").alias("m"))
+    return mixed.select("user_id", F.posexplode("m").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(
+    "signal_levels",
+    """WITH v AS (SELECT user_id, list(value / 1000 ORDER BY event_id) AS s FROM events GROUP BY user_id)
+SELECT user_id, round(20 * log10(list_max(list_transform(s, lambda x: abs(x)))), 4)::DOUBLE AS peak, round(10 * log10(list_sum(list_transform(s, lambda x: x * x)) / len(s)), 4)::DOUBLE AS rms FROM v""",
+)
+def signal_levels(spark, sf_dir):
+    signals = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") / 1000).alias("x")))).alias("s"))
+    signals = signals.select("user_id", F.transform("s", lambda z: z["x"]).alias("s"))
+    return signals.select("user_id", F.round(S.peak_db("s"), 4).alias("peak"), F.round(S.rms_db("s"), 4).alias("rms"))
+
+
+@query(
+    "corrections_merge",
+    "WITH u AS (SELECT 'k' || (event_id % 500) AS original, 'a' || event_id % 7 AS replacement, 0 AS r FROM events WHERE event_id < 500 UNION ALL SELECT 'k' || event_id, 'b', 1 FROM events WHERE event_id BETWEEN 400 AND 600) SELECT original, arg_max(replacement, r) AS replacement FROM u GROUP BY original",
+)
+def corrections_merge(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    base = events.where("event_id < 500").select(F.concat(F.lit("k"), (F.col("event_id") % 500).cast("string")).alias("original"), F.concat(F.lit("a"), (F.col("event_id") % 7).cast("string")).alias("replacement"))
+    later = events.where("event_id between 400 and 600").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("original"), F.lit("b").alias("replacement"))
+    return catalog.merged([base, later], "original")
+
+
+@query(
+    "style_blends",
+    "WITH s AS (SELECT * FROM (VALUES ('formal', 0.95, 1.2, false), ('conversational', 1.05, 0.9, true), ('dramatic', 0.9, 1.3, true)) AS t(style, base_speed, pause_multiplier, dynamic)) SELECT x.style AS a, y.style AS b, round(x.base_speed + (y.base_speed - x.base_speed) * 0.25, 6)::DOUBLE AS base_speed, round(x.pause_multiplier + (y.pause_multiplier - x.pause_multiplier) * 0.25, 6)::DOUBLE AS pause_multiplier, x.dynamic OR y.dynamic AS dynamic FROM s x, s y WHERE x.style <> y.style",
+)
+def style_blends(spark, sf_dir):
+    rows = [("formal", 0.95, 1.2, False), ("conversational", 1.05, 0.9, True), ("dramatic", 0.9, 1.3, True)]
+    styles = spark.createDataFrame(rows, "style string, base_speed double, pause_multiplier double, dynamic boolean")
+    pairs = spark.createDataFrame([(a[0], b[0], 0.25) for a in rows for b in rows if a != b], "a string, b string, factor double")
+    out = catalog.blended(styles, pairs, ["base_speed", "pause_multiplier"], ["dynamic"])
+    return out.select("a", "b", F.round("base_speed", 6).alias("base_speed"), F.round("pause_multiplier", 6).alias("pause_multiplier"), "dynamic")
+
+
+@query(
+    "book_manifest",
+    r"SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS number, 'T' || doc_id AS title, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INT AS words, length(text)::INT AS chars FROM documents",
+)
+def book_manifest(spark, sf_dir):
+    order = Window.partitionBy("source").orderBy("doc_id")
+    chapters = table(spark, sf_dir, "documents").select("source", F.row_number().over(order).alias("number"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
+    return sinks.manifest(chapters, ["source"]).drop("minutes")
+
+
+@query(
+    "rss_feeds",
+    r"""WITH i AS (SELECT lang, ts, 'http://h/' || doc_id AS url, '<item>' || chr(10) || '<title>D ' || doc_id || ' &amp; co</title>' || chr(10) || '<enclosure url="http://h/' || doc_id || '" length="' || n_chars || '" type="audio/mpeg" />' || chr(10) || '<guid>http://h/' || doc_id || '</guid>' || chr(10) || '<pubDate>' || strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate>' || chr(10) || '</item>' AS x
+  FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 61) AS ts FROM documents))
+SELECT lang, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0">' || chr(10) || '<channel>' || chr(10) || '<title>' || lang || '</title>' || chr(10) || '<link>http://h</link>' || chr(10) || '<language>fr</language>' || chr(10) || string_agg(x, chr(10) ORDER BY ts DESC, url DESC) || chr(10) || '</channel>' || chr(10) || '</rss>') AS digest FROM i GROUP BY lang""",
+)
+def rss_feeds(spark, sf_dir):
+    items = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("D "), F.col("doc_id").cast("string"), F.lit(" & co")).alias("title"), F.concat(F.lit("http://h/"), F.col("doc_id").cast("string")).alias("url"), F.col("n_chars").alias("size"), F.lit("audio/mpeg").alias("type"), F.timestamp_add("MINUTE", F.col("doc_id") * 61, F.lit("2024-01-01").cast("timestamp")).alias("date"))
+    return sinks.rss(items, ["lang"], F.col("lang"), "http://h").select("lang", F.md5("text").alias("digest"))
+
+
+@query("narration_plan")
+def narration_plan(spark, sf_dir):
+    rows = narration.narrated(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    return rows.select("doc_id", "sent_idx", "emotion", "narrative", "contour", "transition", F.round("final_speed", 4).alias("final_speed"), F.round("start_time", 3).alias("start_time"), F.round("end_time", 3).alias("end_time"))
+
+
+@query("chapter_report")
+def chapter_report(spark, sf_dir):
+    rows = narration.narrated(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    return narration.chapter_report(rows, ["doc_id"])
