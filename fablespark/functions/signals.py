@@ -63,7 +63,7 @@ def softened(samples: Column | str, amount: float) -> Column:
 def trimmed(samples: Column | str, threshold_db: float = -50.0) -> Column:
     """Without quiet samples at either end."""
     s, floor = col(samples), 10 ** (threshold_db / 20)
-    loud = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.abs(F.element_at(s, i)) > floor)
+    loud = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.abs(F.element_at(s, i)) > floor)).otherwise(F.array().cast("array<int>"))
     return F.when(F.size(loud) > 0, F.slice(s, F.array_min(loud), F.array_max(loud) - F.array_min(loud) + 1)).otherwise(F.slice(s, 1, 0))
 
 
