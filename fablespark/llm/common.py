@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is configured."""
@@ -19,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, its session set to Arrow batches of at most BATCH_ROWS rows.
+
+    Rows hold whole texts, so a task's memory follows the rows of a batch; lower settings are kept.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(conf.get(name, "0"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .common import bounded, staged
 
 # 1 reads a word, 0 ignores it. Spans of equal length, so one pass serves all masks.
 MASKS = ("1101100110101", "1011010011011", "1110001011101", "1100110101110")
@@ -139,7 +140,7 @@ def slices(items: DataFrame) -> Iterator[Slice]:
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Leaked pairs: doc_id, item_id, n_equal, n_words, first_word; one row for each document and item."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     schema = "doc_id long, item_id long, n_equal long, n_words long, first_word long"
     out = spark.createDataFrame([], schema)
     for part in slices(items.select(F.col("item_id").cast("long"), "text")):
@@ -161,7 +162,5 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that leak an item; a document without doc_id is judged by no id and stays."""
-    from .common import staged
-
     leaked = staged(leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
     return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, staged
+from .common import bounded, components, staged
 
 SLACK = 1.25
 GROUPS = 64
@@ -311,7 +311,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
 
 def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard num / den or more)."""
-    made = staged(features(docs, k, num, den), "shingles")
+    made = staged(features(bounded(docs), k, num, den), "shingles")
     # Nodes are distinct sets; d1 names a node, and (d1, d2) tells sets apart where d1 alone would not.
     named = made.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("d1")))
     nodes = staged(

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .common import bounded
 
 BITS = 16
 GRAMS = 3
@@ -74,7 +75,7 @@ def bounds(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for a, b, _, _ in tk.chunks(column, 1 << 20):
+    for a, b, _, _ in tk.chunks(column):
         yield a, b, *points(column.slice(a, b - a).to_pylist())
 
 
@@ -187,6 +188,7 @@ def _part(doc_id: Column) -> Column:
 
 def train(docs: DataFrame) -> Model:
     part = _part(F.col("doc_id"))
+    bounded(docs)
     taught = docs.where((part != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in taught.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -209,7 +211,7 @@ def train(docs: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,8 +13,9 @@ Per trigger, left parts (read backwards) and right parts are sorted with their c
 the class of a part at a depth follows from them, and the pair of classes is the window's place in
 corpus order cut off at LENGTH bytes, so equal pairs are equal windows. Equality up to LENGTH is all
 the task asks, so no order beyond that depth is made. Triggers with more than CROWD distinct runs
-(a passage shared by a large part of the corpus) take the same step as a count of window hashes,
-which Spark deals out evenly.
+(a passage that many texts share) take the same step as counts of hashes, which Spark deals out
+evenly: first of cells of CELL neighbouring windows, then, where cells at one distance from a
+trigger differ, of their windows.
 
 Bytes are removed where a repeated window covers them; windows never cross documents. Equal texts
 are known by a 64-bit hash and their size and share their spans. To spare shuffles, texts that a
@@ -36,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import staged
+from .common import bounded, staged
 
 LENGTH = 400
 GRAM = 32
-CROWD = 256
+CROWD = 16
+CELL = 16
 BITS = 22
 
 
@@ -167,27 +169,53 @@ def _grouped(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     yield batch_of()
 
 
+def _cells(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every cell of crowded runs: windows at distances [CELL * cell, CELL * cell + CELL) before the trigger."""
+    for batch in batches:
+        for low in range(0, len(batch), 512):
+            part = batch.slice(low, 512)
+            h, base = _joined(part.column(5))
+            before, count = (part.column(c).to_numpy().astype(np.int64) for c in (3, 4))
+            least, most = (before - count + 1) // CELL, before // CELL
+            n = most - least + 1
+            row = np.repeat(np.arange(len(n)), n)
+            cell = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + least[row]
+            first = before[row] - np.minimum(cell * CELL + CELL - 1, before[row])
+            last = np.minimum(before[row] - cell * CELL, count[row] - 1)
+            hashes = tk.span_hash(h, base[row] + first, base[row] + last + length)
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(own), part.column(1).take(own), part.column(2).take(own), *(pa.array(x.astype(np.int32)) for x in (cell, first, last)), tk.longs(hashes)],
+                ["trigger", "run", "many", "cell", "first", "last", "content"],
+            )
+
+
+def _joined(contents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(c.as_buffer(), np.uint8) for c in contents]
+    return tk.prefix_hash(np.concatenate(parts)), np.concatenate(([0], np.cumsum([len(c) for c in parts])))
+
+
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """trigger, run, many, start and hash of every window of crowded runs."""
+    """Every window of the cells asked for: trigger, run, known (its cell repeats), start and hash."""
     for batch in batches:
         for low in range(0, len(batch), 512):
             part = batch.slice(low, 512)
-            contents = [np.frombuffer(c.as_buffer(), np.uint8) for c in part.column(5)]
-            count = part.column(4).to_numpy().astype(np.int64)
-            base = np.concatenate(([0], np.cumsum([len(c) for c in contents])))
-            h = tk.prefix_hash(np.concatenate(contents))
-            row = np.repeat(np.arange(len(count)), count)
-            start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            at = base[row] + start
+            h, base = _joined(part.column(2))
+            asked = [(i, c["first"], c["last"], c["known"]) for i, cells in enumerate(part.column(3).to_pylist()) for c in cells]
+            row, first, last, known = (np.array(x) for x in zip(*asked, strict=True))
+            n = last - first + 1
+            at = np.repeat(np.arange(len(n)), n)
+            start = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[at]
+            own = pa.array(row[at])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(start.astype(np.int32)), tk.longs(tk.span_hash(h, at, at + length))],
-                ["trigger", "run", "many", "start", "window"],
+                [part.column(0).take(own), part.column(1).take(own), pa.array(known[at]), pa.array(start.astype(np.int32)), tk.longs(tk.span_hash(h, base[row[at]] + start, base[row[at]] + start + length))],
+                ["trigger", "run", "known", "start", "window"],
             )
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = [_pairs(ranges(np.unique(x), length)) for x in batch.column(2).to_pylist()]
+        spans = [_pairs(ranges(np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in x])), length)) for x in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPAN)], ["trigger", "run", "spans"])
 
 
@@ -275,16 +303,25 @@ def duplicate_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         .sortWithinPartitions("trigger", "run")
         .mapInArrow(lambda batches: _grouped(batches, length), f"trigger long, run long, spans {SPAN_SQL}")
     )
-    windows = contents.where("crowd").mapInArrow(lambda batches: _windows(batches, length), "trigger long, run long, many boolean, start int, window long")
-    twice = staged(
-        windows.groupBy("trigger", "window").agg(F.min("run").alias("low"), F.max("run").alias("high"), F.max("many").alias("many")).where("many or low <> high").select("trigger", "window"),
+    crowd = contents.where("crowd")
+    cells = crowd.mapInArrow(lambda batches: _cells(batches, length), "trigger long, run long, many boolean, cell int, first int, last int, content long")
+    kinds = staged(
+        cells.groupBy("trigger", "cell", "content").agg(F.min("run").alias("run"), F.max("run").alias("high"), F.max("many").alias("many"), F.min_by("first", "run").alias("first"), F.min_by("last", "run").alias("last")),
+        "cells",
+    ).withColumn("known", F.expr("many or run <> high"))
+    unlike = staged(kinds.groupBy("trigger", "cell").count().where("count > 1").select("trigger", "cell"), "unlike")
+    asked = kinds.join(unlike, ["trigger", "cell"]).groupBy("trigger", "run").agg(F.collect_list(F.struct("first", "last", "known")).alias("cells"))
+    windows = staged(
+        crowd.select("trigger", "run", "content").join(asked, ["trigger", "run"]).mapInArrow(lambda batches: _windows(batches, length), "trigger long, run long, known boolean, start int, window long"),
         "windows",
     )
+    twice = windows.groupBy("trigger", "window").agg(F.min("run").alias("low"), F.max("run").alias("high"), F.max("known").alias("known")).where("known or low <> high").select("trigger", "window")
+    single = windows.where("not known").join(staged(twice, "twice"), ["trigger", "window"]).select("trigger", "run", F.struct(F.col("start").alias("first"), F.col("start").alias("last")).alias("s"))
+    whole_cells = cells.where("not many").join(kinds.where("known").select("trigger", "cell", "content"), ["trigger", "cell", "content"]).select("trigger", "run", F.struct("first", "last").alias("s"))
     crowded = (
-        windows.where("not many")
-        .join(twice, ["trigger", "window"])
+        whole_cells.union(single)
         .groupBy("trigger", "run")
-        .agg(F.collect_list("start").alias("starts"))
+        .agg(F.collect_list("s").alias("starts"))
         .mapInArrow(lambda batches: _gathered(batches, length), f"trigger long, run long, spans {SPAN_SQL}")
     )
     many = distinct.where("many").select("trigger", "run", F.array(F.struct(F.lit(0).alias("start"), (F.col("windows") + (length - 1)).alias("after"))).alias("spans"))
@@ -300,7 +337,7 @@ def duplicate_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (null where nothing went) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     spans = staged(
         duplicate_runs(rows, length, gram).distinct().groupBy("text_hash", "size").agg(F.collect_list(F.struct("start", "after")).alias("spans")),
         "spans",

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import bounded, shared_dir, staged
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FILE_BYTES = 1 << 24
@@ -99,7 +99,7 @@ def _filesystem(uri: str):
 def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
     """Write pages as archives into folder; rows (file, records, bytes) for what was written."""
     full = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", full.alias("html"))
+    rows = bounded(pages).select(F.col("page_id").cast("long"), "url", full.alias("html"))
     digests = staged(rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("size")), "digests")
     eligible = digests.where(F.col("size") >= min_payload)
     repeated = staged(eligible.groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "response"), "repeats")
