@@ -73,7 +73,7 @@ def words(text: Column | str) -> Column:
 
 
 def word_count(text: Column | str) -> Column:
-    return F.size(words(text))
+    return F.size(F.regexp_extract_all(col(text), F.lit(r"(?U)\S+"), F.lit(0)))
 
 
 def minutes(text: Column | str) -> Column:
@@ -181,13 +181,12 @@ def contour(text: Column | str) -> Column:
 
 
 def clause_type(text: Column | str) -> Column:
+    """By opening mark, brackets, first words and emphasis words; one compiled pattern for each test."""
     t = col(text)
     low = strip(F.lower(t))
-    parts = words(low)
-    first = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")), "^[.,;:!?]+|[.,;:!?]+$", "")
-    opening = F.array_join(F.slice(parts, 1, 3), " ")
-    subordinate = first.isin(*SUBORDINATE_WORDS) | reduce(lambda a, b: a | b, [opening.startswith(p) for p in SUBORDINATE_PHRASES])
-    emphatic = F.arrays_overlap(F.regexp_extract_all(low, F.lit(r"(?U)\b\w+\b"), F.lit(0)), F.array(*map(F.lit, EMPHASIS_WORDS)))
+    spaced = "|".join(p.replace(" ", r"\s+") for p in SUBORDINATE_PHRASES)
+    subordinate = low.rlike(rf"(?U)^(?:[.,;:!?]*(?:{'|'.join(SUBORDINATE_WORDS)})[.,;:!?]*(?=\s|$)|(?:{spaced}))")
+    emphatic = low.rlike(rf"(?U)\b(?:{'|'.join(EMPHASIS_WORDS)})\b")
     return (
         F.when(t.startswith('"') | t.startswith("«") | t.startswith("—"), "quote")
         .when(is_parenthetical(t), "parenthetical")

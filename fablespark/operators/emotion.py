@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,23 +54,27 @@ def keyword_emotion(text: Column | str) -> Column:
     )
 
 
-def _sentence_sizes(text: Column) -> Column:
-    return F.transform(F.split(text, "[.!?]"), T.word_count)
+def sentence_sizes(text: Column | str) -> Column:
+    """Words of each part between `.`, `!` and `?`."""
+    return F.transform(F.split(T.col(text), "[.!?]"), T.word_count)
 
 
-def action_score(text: Column | str) -> Column:
+def _mostly(sizes: Column, test: Callable[[Column], Column]) -> Column:
+    return (F.size(F.filter(sizes, test)) > F.size(sizes) / 2).cast("int")
+
+
+def action_score(text: Column | str, sizes: Column | None = None) -> Column:
     t = T.col(text)
-    sizes = _sentence_sizes(t)
-    score = _hits(F.lower(t), ACTION) + (F.size(F.filter(sizes, lambda n: n < 8)) > F.size(sizes) / 2).cast("int")
+    score = _hits(F.lower(t), ACTION) + _mostly(sentence_sizes(t) if sizes is None else sizes, lambda n: n < 8)
     return F.least((score + F.when(F.length(t) - F.length(F.replace(t, F.lit("!"))) > 1, 0.5).otherwise(0.0) + F.when(t.contains("..."), 0.3).otherwise(0.0)) / 3, F.lit(1.0))
 
 
-def description_score(text: Column | str) -> Column:
+def description_score(text: Column | str, sizes: Column | None = None) -> Column:
     t, low = T.col(text), F.lower(T.col(text))
-    sizes = _sentence_sizes(t)
-    adjective = r"(?U)\b\w+(?:e|eux|euse|ant|ent)(?:s)?\b.*\b\w+(?:e|eux|euse|ant|ent)(?:s)?\b"
-    score = _hits(low, DESCRIPTION) + (F.size(F.filter(sizes, lambda n: n > 15)) > F.size(sizes) / 2).cast("int")
-    return F.least((score + F.when(low.rlike(adjective), 0.5).otherwise(0.0) + F.when(_hits(low, ACTION) == 0, 0.3).otherwise(0.0)) / 3, F.lit(1.0))
+    score = _hits(low, DESCRIPTION) + _mostly(sentence_sizes(t) if sizes is None else sizes, lambda n: n > 15)
+    # Two adjective-like words on one line.
+    adjectives = F.exists(F.split(low, "\n"), lambda line: F.size(F.regexp_extract_all(line, F.lit(r"(?U)\b\w+(?:e|eux|euse|ant|ent)s?\b"), F.lit(0))) > 1)
+    return F.least((score + F.when(adjectives, 0.5).otherwise(0.0) + F.when(_hits(low, ACTION) == 0, 0.3).otherwise(0.0)) / 3, F.lit(1.0))
 
 
 def introspection_score(text: Column | str) -> Column:
@@ -85,8 +90,11 @@ def flashback_score(text: Column | str) -> Column:
 
 def narrative_type(text: Column | str) -> Column:
     """struct(type, confidence): dialogue first, then the best of four scores from 0.3 up, else narration."""
-    scored = [("action", action_score), ("description", description_score), ("introspection", introspection_score), ("flashback", flashback_score)]
-    best = F.array_max(F.array(*[F.struct(f(text).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("type")) for i, (n, f) in enumerate(scored)]))
+    def scored(sizes: Column) -> Column:
+        scores = [("action", action_score(text, sizes)), ("description", description_score(text, sizes)), ("introspection", introspection_score(text)), ("flashback", flashback_score(text))]
+        return F.array_max(F.array(*[F.struct(f.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("type")) for i, (n, f) in enumerate(scores)]))
+
+    best = T.let(sentence_sizes(text), scored)
     spoken = F.struct(F.lit("dialogue").alias("type"), F.lit(0.9).alias("confidence"))
     told = F.struct(F.lit("narration").alias("type"), F.lit(0.7).alias("confidence"))
     ranked = T.let(best, lambda b: F.when(b["score"] < 0.3, told).otherwise(F.struct(b["type"].alias("type"), b["score"].alias("confidence"))))
