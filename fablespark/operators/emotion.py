@@ -46,10 +46,12 @@ def _hits(text: Column, needles: tuple[str, ...], regex: bool = False) -> Column
 
 def keyword_emotion(text: Column | str) -> Column:
     """struct(emotion, confidence): the emotion with most keywords, the first listed of equals."""
-    low = F.lower(T.col(text))
-    scored = [F.struct(_hits(low, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("emotion")) for i, (name, words) in enumerate(KEYWORDS.items())]
+
+    def top(low: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(_hits(low, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("emotion")) for i, (name, words) in enumerate(KEYWORDS.items())]))
+
     return T.let(
-        F.array_max(F.array(*scored)),
+        T.let(F.lower(T.col(text)), top),
         lambda best: F.struct(F.when(best["n"] > 0, best["emotion"]).otherwise("neutral").alias("emotion"), F.when(best["n"] > 0, F.least(best["n"] / 3, F.lit(0.8))).otherwise(0.5).alias("confidence")),
     )
 
@@ -63,38 +65,39 @@ def _mostly(sizes: Column, test: Callable[[Column], Column]) -> Column:
     return (F.size(F.filter(sizes, test)) > F.size(sizes) / 2).cast("int")
 
 
-def action_score(text: Column | str, sizes: Column | None = None) -> Column:
+def action_score(text: Column | str, sizes: Column | None = None, low: Column | None = None) -> Column:
     t = T.col(text)
-    score = _hits(F.lower(t), ACTION) + _mostly(sentence_sizes(t) if sizes is None else sizes, lambda n: n < 8)
+    score = _hits(F.lower(t) if low is None else low, ACTION) + _mostly(sentence_sizes(t) if sizes is None else sizes, lambda n: n < 8)
     return F.least((score + F.when(F.length(t) - F.length(F.replace(t, F.lit("!"))) > 1, 0.5).otherwise(0.0) + F.when(t.contains("..."), 0.3).otherwise(0.0)) / 3, F.lit(1.0))
 
 
-def description_score(text: Column | str, sizes: Column | None = None) -> Column:
-    t, low = T.col(text), F.lower(T.col(text))
+def description_score(text: Column | str, sizes: Column | None = None, low: Column | None = None) -> Column:
+    t, low = T.col(text), F.lower(T.col(text)) if low is None else low
     score = _hits(low, DESCRIPTION) + _mostly(sentence_sizes(t) if sizes is None else sizes, lambda n: n > 15)
     # Two adjective-like words on one line.
     adjectives = F.exists(F.split(low, "\n"), lambda line: F.size(F.regexp_extract_all(line, F.lit(r"(?U)\b\w+(?:e|eux|euse|ant|ent)s?\b"), F.lit(0))) > 1)
     return F.least((score + F.when(adjectives, 0.5).otherwise(0.0) + F.when(_hits(low, ACTION) == 0, 0.3).otherwise(0.0)) / 3, F.lit(1.0))
 
 
-def introspection_score(text: Column | str) -> Column:
-    t, low = T.col(text), F.lower(T.col(text))
+def introspection_score(text: Column | str, low: Column | None = None) -> Column:
+    t, low = T.col(text), F.lower(T.col(text)) if low is None else low
     asks = t.rlike(r"\?(?!\s*[»\"])") & ~T.is_dialogue(t)
     score = _hits(low, INTROSPECTION) + _hits(low, THOUGHTS, regex=True)
     return F.least((score + F.when(t.rlike(r"\*[^*]+\*|_[^_]+_"), 0.5).otherwise(0.0) + F.when(asks, 0.5).otherwise(0.0)) / 3, F.lit(1.0))
 
 
-def flashback_score(text: Column | str) -> Column:
-    return F.least(_hits(F.lower(T.col(text)), FLASHBACK, regex=True) / 2, F.lit(1.0))
+def flashback_score(text: Column | str, low: Column | None = None) -> Column:
+    return F.least(_hits(F.lower(T.col(text)) if low is None else low, FLASHBACK, regex=True) / 2, F.lit(1.0))
 
 
 def narrative_type(text: Column | str) -> Column:
     """struct(type, confidence): dialogue first, then the best of four scores from 0.3 up, else narration."""
-    def scored(sizes: Column) -> Column:
-        scores = [("action", action_score(text, sizes)), ("description", description_score(text, sizes)), ("introspection", introspection_score(text)), ("flashback", flashback_score(text))]
+    def scored(x: Column) -> Column:
+        sizes, low = x["sizes"], x["low"]
+        scores = [("action", action_score(text, sizes, low)), ("description", description_score(text, sizes, low)), ("introspection", introspection_score(text, low)), ("flashback", flashback_score(text, low))]
         return F.array_max(F.array(*[F.struct(f.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("type")) for i, (n, f) in enumerate(scores)]))
 
-    best = T.let(sentence_sizes(text), scored)
+    best = T.let(F.struct(sentence_sizes(text).alias("sizes"), F.lower(T.col(text)).alias("low")), scored)
     spoken = F.struct(F.lit("dialogue").alias("type"), F.lit(0.9).alias("confidence"))
     told = F.struct(F.lit("narration").alias("type"), F.lit(0.7).alias("confidence"))
     ranked = T.let(best, lambda b: F.when(b["score"] < 0.3, told).otherwise(F.struct(b["type"].alias("type"), b["score"].alias("confidence"))))
