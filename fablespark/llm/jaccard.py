@@ -39,7 +39,8 @@ from . import textkit as tk
 from .common import bounded, components, staged
 
 SLACK = 1.25
-GROUPS = 64
+GROUPS = 128
+MOST_COUNT = 65535
 CELL_BITS = 12
 SMALL = 16
 PART = 1024
@@ -111,11 +112,16 @@ def cells(shingles: np.ndarray, offsets: np.ndarray, levels: Levels) -> tuple[np
 
 
 def points(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Count vector of each set over GROUPS groups."""
+    """Count vector of each set over GROUPS groups; counts end at MOST_COUNT, see spare()."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     group = (tk.mix(shingles) >> tk.U(64 - GROUPS.bit_length() + 1)).astype(np.int64)
-    return np.bincount(row * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
+    return np.minimum(np.bincount(row * GROUPS + group, minlength=n * GROUPS), MOST_COUNT).reshape(n, GROUPS)
+
+
+def spare(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What a set holds beyond its clipped counts; the smaller spare of two sets widens their bound."""
+    return sizes - vectors.sum(axis=1)
 
 
 def needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -136,14 +142,16 @@ class RTree:
         starts = np.arange(0, len(sizes), LEAF)
         self.high = np.maximum.reduceat(self.vectors, starts, axis=0)
         self.least = np.minimum.reduceat(self.sizes, starts)
+        self.spare = spare(self.vectors, self.sizes)
+        self.most_spare = np.maximum.reduceat(self.spare, starts)
 
     def search(self, vectors: np.ndarray, sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each query the points whose bound reaches the overlap needed."""
-        for i, (q, n) in enumerate(zip(vectors, sizes, strict=True)):
-            boxes = np.flatnonzero(np.minimum(self.high, q).sum(axis=1) >= needed(self.least, n, num, den))
+        for i, (q, n, more) in enumerate(zip(vectors, sizes, spare(vectors, sizes), strict=True)):
+            boxes = np.flatnonzero(np.minimum(self.high, q).sum(axis=1) + np.minimum(self.most_spare, more) >= needed(self.least, n, num, den))
             at = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < len(self.sizes)]
-            hit = at[np.minimum(self.vectors[at], q).sum(axis=1) >= needed(self.sizes[at], n, num, den)]
+            hit = at[np.minimum(self.vectors[at], q).sum(axis=1) + np.minimum(self.spare[at], more) >= needed(self.sizes[at], n, num, den)]
             yield i, self.order[hit]
 
 
@@ -171,7 +179,7 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 n = np.diff(offsets)
                 digests = [tk.mix(_row_sums(tk.mix(sets ^ tk.U(salt)), offsets) + n.astype(np.uint64)) for salt in (0xA5A5A5A5, 0x3C3C3C3C00000000)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), *map(tk.longs, digests), tk.lists(keys, bounds), pa.array([p.tobytes() for p in points(sets, offsets).astype("<u4")], pa.binary())],
+                    [batch.column(0).slice(a, b - a), pa.array(n), *map(tk.longs, digests), tk.lists(keys, bounds), pa.array([p.tobytes() for p in points(sets, offsets).astype("<u2")], pa.binary())],
                     ["doc_id", "n_shingles", "d1", "d2", "cells", "point"],
                 )
 
@@ -246,9 +254,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in (2, 3))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in (2, 3))
             n, m = (batch.column(c).to_numpy() for c in (4, 5))
-            kept = pa.array(np.minimum(p, q).sum(axis=1) >= needed(n, m, num, den))
+            kept = pa.array(np.minimum(p, q).sum(axis=1) + np.minimum(spare(p, n), spare(q, m)) >= needed(n, m, num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(kept)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +288,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
         keys = [rows[c].to_numpy() for c in ("cell", "first", "second")]
         cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
         part, node, component, n = (rows[c].to_numpy() for c in ("part", "node", "component", "n"))
-        point = np.frombuffer(b"".join(rows["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        point = np.frombuffer(b"".join(rows["point"].to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64)
         for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
             first, second = keys[1][low], keys[2][low]
             left = low + np.flatnonzero(part[low:high] == first)
