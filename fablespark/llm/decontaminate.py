@@ -1,11 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a window of SPAN words of which a fixed mask reads some and ignores the rest, so two
-windows that differ only at ignored positions still hash alike. The hashes of all seeds of the
-test items meet the seeds of every training document; around each hit the item is laid along the
-document without gaps and all its words are compared. A pair is a leak when the best alignment of
-the item holds MIN_WORDS equal words and covers MIN_SHARE of the item's words. Items shorter than
-SPAN words are one seed over all their words, with no ignored position.
+windows that differ only at ignored positions still hash alike; windows of MIN_WORDS words (and of
+one less for items too short to keep MIN_WORDS in a row around a word put in) are seeds as well.
+The hashes of all seeds of the test items meet the seeds of every training document; around each
+hit the item is laid along the document at the hit's shift and at up to SLIDE words on either side,
+and all its words are compared. The item words found are those equal at the best shift and those in
+dense stretches of equal words at any other, so words put in or left out do not part a copy. A pair
+is a leak when MIN_WORDS item words and MIN_SHARE of the item are found, or, however long the item,
+a passage of it of which the words found less twice the words missed reach PASSAGE. Items shorter
+than SPAN words are one seed over all their words, with no ignored position.
 
 Test items are few: they are hashed in slices of at most SLICE_SEEDS seeds, and one slice at a time
 is sent to the executors (16 bytes a seed and 8 a word, with a table of BITS bits), so the documents
@@ -35,6 +39,8 @@ MASKS = ("1101100110101", "1011010011011", "1110001011101", "1100110101110")
 SPAN = len(MASKS[0])
 MIN_WORDS = 8
 MIN_SHARE = 0.6
+PASSAGE = 13
+SLIDE, STRETCH, GAP = 3, 4, 2
 SLICE_SEEDS = 1 << 21
 BITS = 22
 PUNCTUATION = np.zeros(256, bool)
@@ -71,6 +77,23 @@ def _short(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return tk.mix(x), at
 
 
+def _dense(equal: np.ndarray) -> np.ndarray:
+    """The equal positions in stretches without more than GAP misses in a row, of STRETCH equal words and MIN_SHARE at least."""
+    at = np.flatnonzero(equal)
+    out = np.zeros(len(equal), bool)
+    if len(at) >= STRETCH:
+        for part in np.split(at, np.flatnonzero(np.diff(at) > GAP + 1) + 1):
+            if len(part) >= STRETCH and len(part) >= MIN_SHARE * (part[-1] - part[0] + 1):
+                out[part] = True
+    return out
+
+
+def _passage(found: np.ndarray) -> int:
+    """The most that words found less twice the words missed reach in a passage."""
+    sums = np.concatenate(([0], np.cumsum(np.where(found, 1, -2))))
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
 class Slice:
     """Seeds of some items: sorted hashes with item and position, and the items' words."""
 
@@ -86,6 +109,13 @@ class Slice:
             hashes, at = _short(self.words, row, size)
             whole = n[row[at]] == size
             parts.append((hashes[whole], at[whole]))
+        # A word put into an item leaves half of it in a row at least.
+        for size, items in ((MIN_WORDS, n >= SPAN), (MIN_WORDS - 1, (n >= SPAN) & (n < 2 * MIN_WORDS))):
+            if items.any():
+                hashes, at = _short(self.words, row, size)
+                own = items[row[at]]
+                parts.append((hashes[own], at[own]))
+                self.sizes = sorted({*self.sizes, size})
         hashes, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at, self.item = hashes[order], at[order], row[at[order]]
@@ -102,7 +132,7 @@ class Slice:
         return np.repeat(at, n), np.repeat(low, n) + within
 
     def leaks(self, words: np.ndarray, row: np.ndarray, rows: int) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, equal words, words of the item, first word in the row) of each best alignment that is a leak."""
+        """(row, item, item words found, words of the item, first word in the row of the best shift) of each leak."""
         found = [self.hits(*_seeds(words, row, m)) for m in range(len(MASKS))] + [self.hits(*_short(words, row, n)) for n in self.sizes]
         at, seed = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(at):
@@ -111,17 +141,26 @@ class Slice:
         # One candidate for each row, item and shift, however many seeds met there.
         where, item = row[at], self.item[seed]
         shift = at - (self.at[seed] - self.bounds[item])
-        tried = np.unique(np.stack((where, item, shift)), axis=1).T
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, i, s in tried.tolist():
+        tried: dict[tuple[int, int], set[int]] = {}
+        for r, i, s in np.unique(np.stack((where, item, shift)), axis=1).T.tolist():
+            tried.setdefault((r, i), set()).update(range(s - SLIDE, s + SLIDE + 1))
+        for (r, i), shifts in tried.items():
             own = self.words[self.bounds[i] : self.bounds[i + 1]]
-            low, high = max(s, int(first[r])), min(s + len(own), int(first[r + 1]))
-            equal = int((words[low:high] == own[low - s : high - s]).sum())
-            best[r, i] = max(best.get((r, i), (0, 0)), (equal, -(low - int(first[r]))))
-        for (r, i), (equal, start) in best.items():
-            n = int(self.bounds[i + 1] - self.bounds[i])
-            if equal >= min(MIN_WORDS, n) and equal >= MIN_SHARE * n:
-                yield r, i, equal, n, -start
+            n, (start, end) = len(own), first[r : r + 2].tolist()
+            best, most, found = (0, 0), np.zeros(n, bool), np.zeros(n, bool)
+            for s in shifts:
+                low, high = max(s, start), min(s + n, end)
+                if low >= high:
+                    continue
+                equal = np.zeros(n, bool)
+                equal[low - s : high - s] = words[low:high] == own[low - s : high - s]
+                found |= _dense(equal)
+                if (rank := (int(equal.sum()), start - low)) > best:
+                    best, most = rank, equal
+            found |= most
+            total = int(found.sum())
+            if (total >= min(MIN_WORDS, n) and total >= MIN_SHARE * n) or _passage(found) >= PASSAGE:
+                yield r, i, total, n, -best[1]
 
 
 def slices(items: DataFrame) -> Iterator[Slice]:
@@ -130,7 +169,7 @@ def slices(items: DataFrame) -> Iterator[Slice]:
     for row in items.toLocalIterator():
         ids.append(row[0])
         texts.append(row[1] or "")
-        size += len(MASKS) * (len(texts[-1].split()) + 1)
+        size += (len(MASKS) + 2) * (len(texts[-1].split()) + 1)
         if size >= SLICE_SEEDS:
             yield Slice(ids, texts)
             ids, texts, size = [], [], 0

@@ -212,6 +212,25 @@ def test_decontaminate_slices_give_the_same(spark, monkeypatch):
     assert {(r[0], r[1]) for r in want} >= {(i, i) for i in range(0, 20, 3)}
 
 
+def test_decontaminate_finds_passages_and_shifted_copies(spark):
+    long, words = prose(60, 300).split(), prose(50, 40).split()
+    short = {n: prose(70 + n, n).split() for n in (13, 14, 15, 16, 19)}
+    texts = {1: prose(61, 50).split() + long[80:180] + prose(62, 50).split()}  # a passage of a long item
+    texts[2] = prose(63, 30).split() + words[:20] + ["zzz"] + words[20:] + prose(64, 30).split()
+    texts[3] = prose(65, 30).split() + words[:20] + words[21:] + prose(66, 30).split()
+    texts[4] = [w for k in range(100, 200, 10) for w in [*long[k : k + 10], "zzz"]]  # no ten words meet at one shift
+    texts[5] = long[10:25]
+    texts[5][7] = "zzz"  # 14 equal words less twice one missed
+    texts[6], texts[7] = long[40:53], long[40:52]
+    texts |= {10 + n: prose(67, 20).split() + w[: n // 2] + ["zzz"] + w[n // 2 :] for n, w in short.items()}
+    items = [(100, " ".join(long)), (101, " ".join(words)), *((n, " ".join(w)) for n, w in short.items())]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(1, 100): 100, (2, 101): 40, (3, 101): 39, (4, 100): 100, (6, 100): 13, **{(10 + n, n): n for n in short}}
+    assert got.keys() == want.keys()
+    assert all(n <= got[k] <= n + 3 for k, n in want.items())  # a few words of the rest may be equal by chance
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
