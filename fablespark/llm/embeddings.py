@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by spherical-cap filters with structured product codes.
 
-The dimensions are split into BLOCKS; each block has CODES random unit vectors, and a filter
+A fixed random rotation spreads every vector over all dimensions, however uneven its components.
+The dimensions are then split into BLOCKS; each block has CODES random unit vectors, and a filter
 direction is one choice from every block, so CODES^BLOCKS directions need BLOCKS * CODES vectors.
 A vector is list-decoded to every direction whose inner product exceeds TAU (a cap of the sphere)
-and to its FEWEST best in any case: block scores are sorted and combinations enumerated from the
-best down. Vectors meet where label and filter agree and are verified by cosine in double precision.
+and to its FEWEST best in any case: block scores are sorted, and for each code of the first block
+those of the second that reach TAU with it are found by bisection. Vectors meet where label and
+filter agree and are verified by cosine in double precision.
 
 Equal vectors are one node with a multiplicity. Large buckets are dealt over pairs of parts of at
 most PART nodes, and each pair of nodes counts only at its smallest common filter, so a task holds
@@ -22,6 +24,7 @@ and its component is null; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from .common import components, staged
 LINK = 0.93
 BLOCKS = 2
 CODES = 512
-FEWEST, MOST = 16, 512
+FEWEST = 16
 SIGMAS = 3.55
 PART = 1024
 
@@ -53,27 +56,40 @@ def codes(dims: int) -> list[tuple[slice, np.ndarray]]:
     return out
 
 
+@lru_cache(4)
+def rotation(dims: int) -> np.ndarray:
+    """An orthogonal matrix, the same in every task."""
+    q, r = np.linalg.qr(np.random.default_rng([78, dims]).normal(size=(dims, dims)))
+    return q * np.sign(np.diag(r))
+
+
 def decode(unit: np.ndarray) -> list[np.ndarray]:
-    """For each unit vector the sorted filters it falls in.
+    """For each unit vector the sorted filters it falls in: all that reach TAU, and its FEWEST best in any case.
 
-    Per block the best sqrt-many codes are combined: with scores sorted, any combination among the
-    MOST best has its i-th and j-th code with (i + 1) * (j + 1) <= MOST.
+    With scores sorted, any combination among the FEWEST best has its i-th and j-th code with
+    (i + 1) * (j + 1) <= FEWEST.
     """
     dims = unit.shape[1]
-    tau = SIGMAS / np.sqrt(dims)
-    parts = [(unit[:, s] @ c.T) / np.sqrt(min(BLOCKS, dims)) for s, c in codes(dims)]
-    best = min(MOST, codes_of(dims))
-    tops = [np.argsort(-p, axis=1)[:, :best] for p in parts]
+    n, tau = codes_of(dims), SIGMAS / np.sqrt(dims)
+    turned = unit @ rotation(dims)
+    parts = [(turned[:, s] @ c.T) / np.sqrt(min(BLOCKS, dims)) for s, c in codes(dims)]
+    tops = [np.argsort(-p, axis=1) for p in parts]
     scores = [np.take_along_axis(p, t, axis=1) for p, t in zip(parts, tops, strict=True)]
     if len(parts) == 1:
-        filters, total = tops[0], scores[0]
-    else:
-        i, j = np.array([(i, j) for i in range(best) for j in range(best) if (i + 1) * (j + 1) <= MOST]).T
-        filters, total = tops[0][:, i] * codes_of(dims) + tops[1][:, j], scores[0][:, i] + scores[1][:, j]
-    order = np.argsort(-total, axis=1)[:, :MOST]
-    filters, total = np.take_along_axis(filters, order, axis=1), np.take_along_axis(total, order, axis=1)
-    n = np.clip((total >= tau).sum(axis=1), FEWEST, None)
-    return [np.sort(f[:k]) for f, k in zip(filters, n, strict=True)]
+        few = np.clip((scores[0] >= tau).sum(axis=1), FEWEST, None)
+        return [np.sort(t[:k]) for t, k in zip(tops[0], few, strict=True)]
+    i, j = np.array([(i, j) for i in range(min(n, FEWEST)) for j in range(min(n, FEWEST)) if (i + 1) * (j + 1) <= FEWEST]).T
+    out = []
+    for first, second, left, right in zip(*tops, *scores, strict=True):
+        far = int((left + right[0] >= tau).sum())
+        reach = np.searchsorted(-right, left[:far] - tau, "right")
+        if reach.sum() >= FEWEST:
+            own = np.concatenate([first[k] * n + second[:m] for k, m in enumerate(reach.tolist())])
+        else:
+            best = np.argsort(-(left[i] + right[j]), kind="stable")[:FEWEST]
+            own = first[i[best]] * n + second[j[best]]
+        out.append(np.sort(own))
+    return out
 
 
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,6 +309,28 @@ def test_embedding_recall_at_the_threshold():
         assert np.mean(met) >= 0.95
 
 
+@pytest.mark.parametrize("dims", [64, 128, 384])
+@pytest.mark.parametrize("shape", ["even", "padded", "half", "falling", "few"])
+def test_embedding_recall_of_uneven_dimensions(dims, shape):
+    at = np.arange(dims)
+    scale = {"even": np.ones(dims), "padded": at < dims // 2, "half": np.where(at < dims // 2, 1, 0.05), "falling": 1 / (at + 1), "few": at < 8}[shape]
+    rng = np.random.default_rng(6)
+    x, z = (embeddings._unit(rng.normal(size=(300, dims)) * scale) for _ in range(2))
+    z = embeddings._unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    found = [len(np.intersect1d(a, b)) > 0 for a, b in zip(embeddings.decode(x), embeddings.decode(0.931 * x + np.sqrt(1 - 0.931**2) * z), strict=True)]
+    assert np.mean(found) >= 0.95
+
+
+def test_embedding_decodes_every_direction_of_a_cap():
+    x = embeddings._unit(np.random.default_rng(7).normal(size=(40, 64)))
+    x[0] = embeddings.rotation(64) @ np.concatenate([c[0] for _, c in embeddings.codes(64)]) / np.sqrt(2)  # a filter's own direction
+    turned = x @ embeddings.rotation(64)
+    left, right = (turned[:, s] @ c.T / np.sqrt(2) for s, c in embeddings.codes(64))
+    for k, got in enumerate(embeddings.decode(x)):
+        want = np.flatnonzero((left[k][:, None] + right[k] >= embeddings.SIGMAS / 8).ravel())
+        assert np.isin(want, got).all() and len(got) == max(len(want), embeddings.FEWEST)
+
+
 def test_language(spark):
     r = random.Random(3)
     letters = {"aa": "abcde", "bb": "fghij", "cc": "äöüßk"}
