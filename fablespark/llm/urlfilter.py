@@ -4,8 +4,9 @@ A list is a log of dated changes: at `since`, a pattern is put on the list (list
 category) or taken off it. Window functions turn the log into validity intervals [since, until);
 of changes of one pattern at one moment the last by (listed, category) counts. Patterns are hosts,
 which cover their subdomains, or a host with a leading path (host/path), which covers that path
-and what lies below it. A capture asks for each of its patterns - the host and its parents, the
-host with each leading path - and the as-of join takes the interval that holds its fetch time.
+and what lies below it. A capture asks for each of its patterns - the host and its parents of two
+labels or more, the host with each leading path, to any depth - and the as-of join takes the
+interval that holds its fetch time.
 
 Intervals are dealt into buckets of BUCKET_DAYS and joined on (pattern, bucket), so neither a host
 with most captures nor a pattern with a long log makes more than the entries of one bucket meet;
@@ -22,8 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_DAYS = 64
-MOST_LABELS = 8
-MOST_PATHS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -40,10 +39,9 @@ def patterns(url: Column) -> Column:
     """All patterns that cover a url, the most specific first."""
     host, parts = host_of(url), F.filter(F.split(path_of(url), "/"), lambda p: p != "")
     labels = F.split(host, r"\.")
-    depth = F.least(F.size(parts), F.lit(MOST_PATHS))
+    depth = F.size(parts)
     paths = F.when(depth > 0, F.transform(F.sequence(depth, F.lit(1), F.lit(-1)), lambda n: F.concat_ws("/", host, F.array_join(F.slice(parts, F.lit(1), n), "/")))).otherwise(F.array().cast("array<string>"))
-    first = F.greatest(F.lit(1), F.size(labels) - MOST_LABELS + 1)
-    hosts = F.transform(F.sequence(first, F.greatest(first, F.size(labels) - 1)), lambda n: F.array_join(F.slice(labels, n, F.lit(255)), "."))
+    hosts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
     return F.when(host != "", F.concat(paths, hosts)).otherwise(F.array().cast("array<string>"))
 
 

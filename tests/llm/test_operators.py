@@ -447,3 +447,11 @@ def test_url_filter(spark):
     assert Counter(got) == Counter([(1, True, 2, "adult"), (2, True, 1, "spam"), (3, True, 1, "path"), (4, False, 0, None), (5, False, 0, None), (6, False, 0, None), (7, False, 0, None), (8, True, 1, "path"), (8, True, 1, "path"), (9, False, 0, None), (10, False, 0, None)])
     assert urlfilter.verdicts(captures, log.limit(0)).where("blocked").count() == 0
     assert urlfilter.verdicts(captures.limit(0), log).count() == 0
+
+
+def test_url_filter_asks_to_any_depth(spark):
+    deep, wide = "h.org/a/b/c/d/e/f", "a.b.c.d.e.f.g.h.example.com"
+    captures = spark.createDataFrame([(1, f"http://{deep}/g"), (2, f"http://{deep}"), (3, "http://h.org/a/b/c/d/e"), (4, f"http://{wide}/x"), (5, f"http://z.{wide}/"), (6, "http://h.example.com/"), (7, "http://h.org/" + "a/" * 300)], "page_id long, url string").selectExpr("*", "'2024-03-01' as fetched")
+    log = spark.createDataFrame([(p, "2024-01-01", True, "x") for p in (deep, wide, "b.c.d.e.f.g.h.example.com", "h.org" + "/a" * 299)], "pattern string, since string, listed boolean, category string")
+    got = {r.page_id: (r.n_entries, r.pattern) for r in urlfilter.verdicts(captures, log).collect()}
+    assert got == {1: (1, deep), 2: (1, deep), 3: (0, None), 4: (2, wide), 5: (2, wide), 6: (0, None), 7: (1, "h.org" + "/a" * 299)}
