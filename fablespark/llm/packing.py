@@ -1,9 +1,11 @@
 """Lexical retrieval packing: BM25 neighbours fill the window that a seed document opens.
 
-Document frequencies come from all documents. Each document is tokenised once and keeps its
-INDEX_TERMS rarest terms; the rarest decides its shard, so that documents which share a rare word
-meet, and a term too common for one shard is dealt over several. In a shard an inverted index
-scores the unused documents against each seed by BM25; the best follow it until the window is full. Where a document does not fit it is cut, and
+Document frequencies come from all documents. Each document is tokenised once and keeps all its
+distinct terms; the rarest that another document has too decides its shard, so that documents whose
+rarest shared word is the same meet, and a term too common for one shard is dealt over several. In
+a shard an inverted index of all terms scores the unused documents against all terms of each seed
+by BM25; the best follow it until the window is full. A shard is split where its ids and terms
+reach SHARD_BYTES. Where a document does not fit it is cut, and
 its rest opens the next window. The last window of a shard is cut into powers of two, which need
 no padding.
 
@@ -29,10 +31,9 @@ WINDOW = 1024
 SEPARATOR = 0
 TERM_BITS = 18
 SHARD_DOCS = 2500
-INDEX_TERMS = 32
-QUERY_TERMS = 12
 SHARD_BYTES = 1 << 26
 K1, B = 1.2, 0.75
+FIRST_RANKS = 32
 TOKENIZER = "byte_bpe_50k.tiktoken"
 _encoders: dict = {}
 
@@ -80,39 +81,39 @@ def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]
     n = len(docs)
     lengths = np.array([d[0] for d in docs])
     norm = K1 * (1 - B + B * np.array([d[1] for d in docs]) / max(mean_words, 1e-9))
-    chosen = []
-    for _, _, terms, _ in docs:
-        best = np.argsort(-idf[terms], kind="stable")[:QUERY_TERMS]
-        chosen.append(terms[best])
-    owner = np.concatenate([np.full(len(d[2]), i) for i, d in enumerate(docs)]) if n else np.zeros(0, int)
-    terms = np.concatenate([d[2] for d in docs]) if n else np.zeros(0, int)
-    tf = np.concatenate([d[3] for d in docs]).astype(float) if n else np.zeros(0)
-    asked = np.unique(np.concatenate(chosen)) if n else np.zeros(0, int)
-    keep = np.isin(terms, asked)
-    owner, terms, tf = owner[keep], terms[keep], tf[keep]
-    weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
-    by_term = np.argsort(terms, kind="stable")
-    asked = asked.astype(np.int64)
-    owner, weight = owner[by_term], weight[by_term]
-    bounds = np.searchsorted(terms[by_term], np.concatenate((asked, [1 << TERM_BITS])))
-    at = {int(t): i for i, t in enumerate(asked)}
-    free, order, filled, seed = np.ones(n, bool), [], 0, 0
+    sizes = [len(d[2]) for d in docs]
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    term = np.concatenate([d[2] for d in docs]).astype(np.int32) if n else np.zeros(0, np.int32)
+    tf = np.concatenate([d[3] for d in docs]) if n else np.zeros(0)
+    # A term of one document in the shard scores no other.
+    keep = np.bincount(term, minlength=1 << TERM_BITS)[term] > 1
+    asked = np.split(term[keep], np.cumsum(np.bincount(owner[keep], minlength=n))[:-1])
+    owner, term, tf = owner[keep], term[keep], tf[keep]
+    weight = idf[term] * tf * (K1 + 1) / (tf + norm[owner])
+    by_term = np.argsort(term, kind="stable")
+    owner, weight, term = owner[by_term], weight[by_term], term[by_term]
+    bounds = _bounds(term)
+    free, order, filled, seed, live = np.ones(n, bool), [], 0, 0, n
     while len(order) < n:
         while not free[seed]:
             seed += 1
         filled = (filled + lengths[seed]) % WINDOW
         free[seed] = False
         order.append(seed)
-        postings = [slice(bounds[i], bounds[i + 1]) for i in (at[int(t)] for t in chosen[seed])]
+        if 2 * (n - len(order)) < live:
+            # Half of the indexed documents are used: their postings go.
+            keep, live = free[owner], n - len(order)
+            owner, weight, term = owner[keep], weight[keep], term[keep]
+            bounds = _bounds(term)
+        postings = [slice(a, b) for a, b in zip(bounds[asked[seed]].tolist(), bounds[asked[seed] + 1].tolist(), strict=True) if a < b]
         if not postings:
             continue
         who = np.concatenate([owner[p] for p in postings])
         scores = np.bincount(who, np.concatenate([weight[p] for p in postings]), minlength=n) * free
         room = WINDOW - filled
-        ranked = np.flatnonzero(scores > 0)
-        for i in ranked[np.lexsort((ranked, -scores[ranked]))]:
+        for i in _ranked(scores):
             free[i] = False
-            order.append(int(i))
+            order.append(i)
             filled = (filled + lengths[i]) % WINDOW
             if lengths[i] >= room:
                 break
@@ -120,6 +121,20 @@ def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]
     return order
 
 
+def _bounds(term: np.ndarray) -> np.ndarray:
+    """Where the postings of each term begin and end, in order of terms."""
+    return np.concatenate(([0], np.cumsum(np.bincount(term, minlength=1 << TERM_BITS))))
+
+
+def _ranked(scores: np.ndarray) -> Iterator[int]:
+    """Positions of positive scores, the highest first; most windows need few, so only the top is sorted at once."""
+    some = np.flatnonzero(scores > 0)
+    least = np.partition(scores[some], -FIRST_RANKS)[-FIRST_RANKS] if len(some) > FIRST_RANKS else 0
+    top = scores[some] >= least
+    for part in (some[top], some[~top]):
+        yield from part[np.lexsort((part, -scores[part]))].tolist()
+
+
 def _cut(tokens: list[int], shard: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents laid end to end."""
     total, sequence, base = sum(tokens), 0, 0
@@ -149,30 +164,32 @@ def pack(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-n_docs // SHARD_DOCS))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, df, _ = stats.value
+        _, df, _ = stats.value
         for batch in batches:
             for a, b, data, offsets in tk.chunks(batch.column(1)):
                 rows = b - a
                 words, row = tk.word_hashes(data, offsets)
                 terms, tf, bounds = _terms(words, row, rows)
                 docs, texts = batch.column(0).slice(a, rows), batch.column(1).slice(a, rows).to_pylist()
-                kept, shard = [], []
-                for i, doc in enumerate(docs.to_pylist()):
-                    part = slice(bounds[i], bounds[i + 1])
-                    best = np.argsort(-idf[terms[part]], kind="stable")[:INDEX_TERMS]
-                    kept.append((terms[part][best].astype(np.int32), tf[part][best].astype(np.int32)))
-                    rare = int(kept[-1][0][0]) if len(best) else 0
+                # The rarest term that another document has too, or else the rarest; -1 in a row without terms.
+                filled = np.flatnonzero(np.diff(bounds))
+                rarest = np.full(rows, -1)
+                if len(filled):
+                    key = ((df[terms] < 2).astype(np.int64) << 62) + (df[terms] << TERM_BITS) + terms
+                    rarest[filled] = np.minimum.reduceat(key, bounds[filled]) & ((1 << TERM_BITS) - 1)
+                shard = []
+                for doc, rare in zip(docs.to_pylist(), rarest.tolist(), strict=True):
                     # Documents that share a common rarest term are dealt over as many shards as they fill.
-                    spread = zlib.crc32(str(doc).encode()) % (1 + int(df[rare]) * 2 // SHARD_DOCS) if len(best) else zlib.crc32(str(doc).encode())
-                    shard.append(rare + (spread << TERM_BITS))
-                sizes = np.concatenate(([0], np.cumsum([len(t) for t, _ in kept]))).astype(np.int32)
+                    spread = zlib.crc32(str(doc).encode())
+                    shard.append(spread << TERM_BITS if rare < 0 else rare + (spread % (1 + int(df[rare]) * 2 // SHARD_DOCS) << TERM_BITS))
+                sizes = pa.array(bounds.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         docs,
                         pa.array([_ids(t) for t in texts], pa.binary()),
                         pa.array(np.bincount(row, minlength=rows).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([t for t, _ in kept]))),
-                        pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([f for _, f in kept]))),
+                        pa.ListArray.from_arrays(sizes, pa.array(terms.astype(np.int32))),
+                        pa.ListArray.from_arrays(sizes, pa.array(tf.astype(np.int32))),
                         pa.array(shard, pa.int64()),
                     ],
                     ["doc_id", "ids", "n_words", "terms", "tf", "shard"],
@@ -183,10 +200,10 @@ def pack(docs: DataFrame) -> DataFrame:
 
         shard, held, size = TaskContext.get().partitionId() << 16, [], 0
         for batch in batches:
-            terms, tf = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            terms, tf = batch.column(3), batch.column(4)
             for i, (doc, ids, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
-                held.append((doc, ids, n, np.array(terms[i], np.int64), np.array(tf[i], np.int64)))
-                size += len(ids)
+                held.append((doc, ids, n, terms[i].values.to_numpy().copy(), tf[i].values.to_numpy().copy()))
+                size += len(ids) + 8 * len(held[-1][3])
                 if len(held) == 2 * SHARD_DOCS or size >= SHARD_BYTES:
                     yield from filled(held, shard)
                     held, shard, size = [], shard + 1, 0

@@ -434,6 +434,29 @@ def test_packing_puts_neighbours_together():
     assert order[:2] == [0, 2] and sorted(order) == [0, 1, 2, 3]
 
 
+def test_packing_asks_with_all_terms():
+    terms = [np.arange(60), np.arange(100, 160), np.arange(50, 110)]  # the last shares ten late terms with both
+    terms.append(np.append(np.arange(200, 259), 59))  # and this one a single term with the first
+    rows = [(300, 60, x, np.ones(60, int)) for x in terms]
+    idf = np.linspace(2, 1, 1 << packing.TERM_BITS)
+    assert packing._ordered(rows, idf, 60.0) == [0, 2, 3, 1]
+
+
+def test_packing_ranks_by_score_then_position():
+    scores = np.random.default_rng(3).integers(0, 40, 300).astype(float)
+    assert list(packing._ranked(scores)) == sorted(np.flatnonzero(scores).tolist(), key=lambda i: (-scores[i], i))
+
+
+def test_packing_documents_meet_at_their_rarest_shared_word(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 8)
+    rows = [(2 * k + j, f"shared{k} {prose(k, 20)} only{k}x{j} once{j}y{k}") for k in range(64) for j in range(2)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # A row in 16 bits of its partition: documents of one task meet in one index.
+    tasks = {p.doc_id: p.sequence_id >> 48 for p in got}
+    assert len(tasks) == 128 and len(set(tasks.values())) > 8
+    assert np.mean([tasks[2 * k] == tasks[2 * k + 1] for k in range(64)]) > 0.95
+
+
 def test_url_filter(spark):
     captures = spark.createDataFrame(
         [(1, "http://www.a.example.com/x/y?q", "2024-03-01"), (2, "https://example.com:80/", "2024-03-01"), (3, "http://u:p@b.org/ads/1", "2024-01-01"), (4, None, "2024-03-01"), (5, "junk", "2024-03-01"), (6, "http://example.com/", None), (7, "http://b.org/adsense", "2024-06-01"), (8, "http://b.org/ads", "2024-05-31"), (8, "http://b.org/ads", "2024-05-31"), (9, "http://notexample.com/", "2024-03-01"), (10, "http://example.com/", "2025-01-01")],
