@@ -242,8 +242,9 @@ def listing(column: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of `text` replaced by its kind in brackets; of overlapping spans the first wins."""
-    found = candidates(docs)
+    """docs with every span of `text` replaced by its kind in brackets; overlapping spans go as one, named after the first."""
+    # The input's columns travel in one struct, so that none has the name of a working column.
+    found = candidates(docs.select("text", F.struct(*docs.columns).alias("row")))
     out = spans(found, fit(found))
     done = F.aggregate(
         "spans",
@@ -251,10 +252,11 @@ def redact(docs: DataFrame) -> DataFrame:
         lambda acc, x: F.when(
             x["start"] >= acc["at"],
             F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), x["kind"], F.lit("]")))).alias("out")),
-        ).otherwise(acc),
+        ).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text"))),
     )
-    return out.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).drop("spans")
+    text = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
+    return out.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _count(rank: int) -> Column:

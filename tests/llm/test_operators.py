@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fablespark.llm import chat, decontaminate, embeddings, jaccard, langid, packing, pii, substrings, urlfilter, warc
 
@@ -390,6 +391,18 @@ def test_pii_redacts(spark):
     assert {x.doc_id: x.text for x in out.collect()} == {1: "é mail [email] now", 2: None, 3: "clean"}
 
 
+def test_pii_redacts_beside_clashing_columns_and_whole_overlaps(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "k", "mail a@b.co now", "c", "t", 7)], "doc_id long, spans string, text string, candidates string, _text string, row int")
+    out = pii.redact(frame)
+    assert out.columns == frame.columns
+    assert [tuple(r) for r in out.collect()] == [(1, "k", "mail [email] now", "c", "t", 7)]
+    struct = "struct<start:int,rank:int,end:int,base:boolean,kind:string>"
+    spans = F.expr(f"cast(array(struct(2, 0, 6, true, 'ip'), struct(4, 1, 9, true, 'card'), struct(5, 1, 7, true, 'card')) as array<{struct}>)")
+    monkeypatch.setattr(pii, "fit", lambda found: {})
+    monkeypatch.setattr(pii, "spans", lambda found, weights: found.withColumn("spans", spans))
+    assert [r.text for r in pii.redact(spark.createDataFrame([("0123456789",)], "text string")).collect()] == ["01[ip]9"]
+
+
 def test_pii_labelers_learn(spark):
     frame = spark.createDataFrame([(i, f"mail a{i}@b.com and 10.0.0.{i % 250} version 999.1.2.3") for i in range(200)], "doc_id long, text string")
     weights = pii.fit(pii.candidates(frame))
