@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
+BITS = 22
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-fable-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -44,11 +48,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the long values of df[column], modulo 2^BITS: a table of a fixed size, however many rows there are."""
+    at = df.select(F.pmod(column, F.lit(1 << BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    table = np.zeros(1 << BITS, bool)
+    table[at] = True
+    return np.packbits(table)
+
+
+def maybe(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """False where a bit table excludes a value."""
+    at = values % (1 << BITS)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): rows (node, component), component the smallest node.
 
     Min-label propagation with pointer jumping. Labels only fall and stop falling when every
@@ -56,7 +74,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = staged(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
-    for _ in range(most_rounds):
+    while True:  # every round lowers a label, so the rounds end
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
         lowest = seen.union(labels.select("node", "component")).groupBy("node").agg(F.min("component").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("further"))
@@ -70,4 +88,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = after.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")

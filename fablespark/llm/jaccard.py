@@ -12,17 +12,21 @@ heaviest blocks, ordered by count: the heaviest block that both share is never a
 lightest of either, so no link is lost. Equal (level, block, coordinates) form a leaf cell.
 
 Verification. Cells of up to SMALL points yield all pairs. In larger cells every point is tried
-against the first point and its neighbour; what those links do not connect is searched again, cell
-by cell, with R-trees over count vectors: parts of PART points are packed into leaves with bounding
-boxes, and for each query a box, then a point, survives only if the sum of coordinate minima
-reaches the overlap needed. Only pairs of different components are sought, for only connectivity is
-asked. All surviving pairs are verified on their shingle sets. Copies of one set are a single node
-throughout, known by a 128-bit digest.
+against the first point and its neighbour; what those links do not connect is searched again with
+R-trees over count vectors: points are packed into leaves with bounding boxes, and for each query a
+box, then a point, survives only if the sum of coordinate minima reaches the overlap needed. Large
+cells with the same smallest node are searched together, so that a set travels once for all of
+them; a task holds two parts of about PART_SHINGLES shingles each. Surviving pairs are verified on
+their shingle sets inside the task, and only links between points that earlier links do not join
+leave it: fewer rows than points, however alike a family of texts is. Only connectivity is asked,
+so pairs of one component are not sought. Copies of one set are a single node throughout, known by
+a 128-bit digest; a node is named by half of it, and by both where two sets share that half.
 
 Edge cases: null or empty texts and texts without words have an empty set and link with nothing;
-fewer than k words make one shingle; a null doc_id gives a row with a null component; repeated
-doc_ids share a node id; an empty table gives no rows; other columns are ignored by components_of
-and kept by one_of_each.
+fewer than k words make one shingle; a null doc_id gives a row with a null component; rows that
+repeat a doc_id with other texts link by their own texts, each in its own component of that text;
+an empty table gives no rows; other columns, whatever their names, are ignored by components_of and
+kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -32,18 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded, components, staged
+from .common import bit_table, bounded, components, maybe, staged
 
 SLACK = 1.25
 GROUPS = 128
+TREE_GROUPS = 1024
 MOST_COUNT = 65535
 CELL_BITS = 12
 SMALL = 16
-PART = 1024
+PART_SHINGLES = 1 << 20
 LEAF = 32
 
 
@@ -111,12 +117,12 @@ def cells(shingles: np.ndarray, offsets: np.ndarray, levels: Levels) -> tuple[np
     return keys[order], np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=len(n)))))
 
 
-def points(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Count vector of each set over GROUPS groups; counts end at MOST_COUNT, see spare()."""
+def points(shingles: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Count vector of each set over a power of two of groups; counts end at MOST_COUNT, see spare()."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
-    group = (tk.mix(shingles) >> tk.U(64 - GROUPS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(row * GROUPS + group, minlength=n * GROUPS), MOST_COUNT).reshape(n, GROUPS)
+    group = (tk.mix(shingles) >> tk.U(64 - groups.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(row * groups + group, minlength=n * groups), MOST_COUNT).reshape(n, groups)
 
 
 def spare(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -167,6 +173,12 @@ def _row_sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def _digests(sets: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit halves of a digest of each set."""
+    n = np.diff(offsets).astype(np.uint64)
+    return [tk.mix(_row_sums(tk.mix(sets ^ tk.U(salt)), offsets) + n) for salt in (0xA5A5A5A5, 0x3C3C3C3C00000000)]
+
+
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, cells array<long>, point binary"
 
 
@@ -177,7 +189,7 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for a, b, sets, offsets in _sets(batch.column(1), k):
                 keys, bounds = cells(sets, offsets, levels)
                 n = np.diff(offsets)
-                digests = [tk.mix(_row_sums(tk.mix(sets ^ tk.U(salt)), offsets) + n.astype(np.uint64)) for salt in (0xA5A5A5A5, 0x3C3C3C3C00000000)]
+                digests = _digests(sets, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n), *map(tk.longs, digests), tk.lists(keys, bounds), pa.array([p.tobytes() for p in points(sets, offsets).astype("<u2")], pa.binary())],
                     ["doc_id", "n_shingles", "d1", "d2", "cells", "point"],
@@ -249,6 +261,33 @@ def _overlaps(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _named_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, set: the shingle sets of the wanted(node), read again from the texts of their documents."""
+    owners = staged(wanted.distinct().join(nodes.select("node", "d1", "d2", "doc_id"), "node"), "owners")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(owners, "doc_id"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.fill_null(pa.array(maybe(sent.value, pc.fill_null(batch.column(0), 0).to_numpy())), False))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, values, offsets in _sets(batch.column(1), k):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        *map(tk.longs, _digests(values, offsets)),
+                        pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
+                    ],
+                    ["doc_id", "d1", "d2", "set"],
+                )
+
+    # Rows that repeat a doc_id may hold other texts: a set is known by its digest.
+    some = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(held, "doc_id long, text string").join(owners.select("doc_id").distinct(), "doc_id", "left_semi")
+    read = some.mapInArrow(sets, "doc_id long, d1 long, d2 long, set binary")
+    return staged(read.join(owners, ["doc_id", "d1", "d2"]).dropDuplicates(["node"]).select("node", "set"), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b) of nodes that link; first by the bound on their points, then on their sets."""
 
@@ -259,19 +298,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
             kept = pa.array(np.minimum(p, q).sum(axis=1) + np.minimum(spare(p, n), spare(q, m)) >= needed(n, m, num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(kept)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, values, offsets in _sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "set"])
-
     small = nodes.select("node", "n", "point")
     near = staged(
         pairs.join(small.toDF("a", "n", "p"), "a").join(small.toDF("b", "m", "q"), "b").select("a", "b", "p", "q", "n", "m").mapInArrow(bounded, "a long, b long"),
         "bounded",
     )
-    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = ends.join(nodes.select("node", "doc_id"), "node").join(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").dropDuplicates(["node"]).select("node", "text")
-    held = staged(texts.mapInArrow(sets, "node long, set binary"), "sets")
+    held = _named_sets(near.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes, k)
     return (
         near.join(held.toDF("a", "s"), "a")
         .join(held.toDF("b", "t"), "b")
@@ -280,54 +312,94 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
     )
 
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of different components in each run of rows of one task (cell, first, second)."""
+class Forest:
+    """Union-find over positions."""
+
+    def __init__(self, labels: np.ndarray):
+        """Positions with equal labels are joined from the start."""
+        _, first, at = np.unique(labels, return_index=True, return_inverse=True)
+        self.root = first[at].tolist()
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+
+def _tree_links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components in each run of rows of one task (family, first, second)."""
     held: pa.Table | None = None
 
-    def searched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = [rows[c].to_numpy() for c in ("cell", "first", "second")]
-        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
-        part, node, component, n = (rows[c].to_numpy() for c in ("part", "node", "component", "n"))
-        point = np.frombuffer(b"".join(rows["point"].to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64)
-        for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
-            first, second = keys[1][low], keys[2][low]
-            left = low + np.flatnonzero(part[low:high] == first)
-            right = left if first == second else low + np.flatnonzero(part[low:high] == second)
-            if not len(left) or not len(right):
+    def searched(rows: pa.Table) -> pa.RecordBatch:
+        part, node, component = (rows[c].to_numpy() for c in ("part", "node", "component"))
+        first, second = rows["first"][0].as_py(), rows["second"][0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"].combine_chunks()]
+        n = np.array([len(x) for x in sets])
+        point = points(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))), TREE_GROUPS).astype(np.int32)
+        by_cell: dict[int, list[int]] = {}
+        for i, cells_of in enumerate(rows["cells"].to_pylist()):
+            for cell in cells_of:
+                by_cell.setdefault(cell, []).append(i)
+        forest, tried, a, b = Forest(component), set(), [], []
+        for members in by_cell.values():
+            members = np.array(members)
+            left, right = members[part[members] == first], members[part[members] == second]
+            if not len(left) or not len(right) or len({forest.find(i) for i in members.tolist()}) < 2:
                 continue
-            tree, a, b = RTree(point[left], n[left]), [], []
+            tree = RTree(point[left], n[left])
             for i, hits in tree.search(point[right], n[right], num, den):
-                hits = left[hits]
-                hits = hits[component[hits] != component[right[i]]]
-                a.append(node[hits])
-                b.append(np.full(len(hits), node[right[i]]))
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                i = int(right[i])
+                for j in left[hits].tolist():
+                    x, y, pair = forest.find(i), forest.find(j), (min(i, j), max(i, j))
+                    if x == y or pair in tried:
+                        continue
+                    tried.add(pair)
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                        forest.root[max(x, y)] = min(x, y)
+                        a.append(int(node[i]))
+                        b.append(int(node[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def runs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = [rows[c].to_numpy() for c in ("family", "first", "second")]
+        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
+        for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
+            if high - low > 1:
+                yield searched(rows.slice(low, high - low))
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
-        same = np.all([rows[c].to_numpy() == rows[c][-1].as_py() for c in ("cell", "first", "second")], axis=0)
+        same = np.all([rows[c].to_numpy() == rows[c][-1].as_py() for c in ("family", "first", "second")], axis=0)
         whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         held = rows.slice(whole)
         if whole:
-            yield from searched(rows.slice(0, whole).combine_chunks())
+            yield from runs(rows.slice(0, whole))
     if held is not None and len(held):
-        yield from searched(held.combine_chunks())
+        yield from runs(held)
 
 
 def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard num / den or more)."""
     made = staged(features(bounded(docs), k, num, den), "shingles")
-    # Nodes are distinct sets; d1 names a node, and (d1, d2) tells sets apart where d1 alone would not.
-    named = made.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("d1")))
-    nodes = staged(
-        named.where("node is not null and doc_id is not null")
-        .groupBy("node", "d2")
+    # Nodes are distinct sets, named by d1; where different sets share it, by a mix of both halves.
+    sets = staged(
+        made.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point")),
         "nodes",
     )
+    clashes = staged(sets.groupBy(F.col("d1").alias("_d1")).count().where("count > 1").select("_d1"), "clashes")
+
+    def with_node(df: DataFrame) -> DataFrame:
+        if not clashes.limit(1).count():
+            return df.withColumn("node", F.col("d1"))
+        return df.join(clashes, F.col("d1") == F.col("_d1"), "left").withColumn("node", F.when(F.col("_d1").isNull(), F.col("d1")).otherwise(F.xxhash64("d1", "d2"))).drop("_d1")
+
+    nodes = with_node(sets)
+    named = with_node(made).withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))
     listed = staged(
         named.where("node is not null and doc_id is not null")
         .select(F.explode("cells").alias("cell"), "node")
@@ -348,44 +420,45 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     # The smallest doc_id of a component names it.
     owner = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
     names = staged(owner.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
-    linked = staged(owner.join(names, "root").where("component_id <> doc_id or component is not null").select(F.col("node").alias("_node"), F.col("d2").alias("_d2"), "component_id"), "linked")
-    copies = staged(named.where("node is not null").groupBy("node", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("_node"), F.col("d2").alias("_d2"), F.col("first").alias("component_id")), "copies")
+    linked = staged(owner.join(names, "root").where("component_id <> doc_id or component is not null").select(F.col("node").alias("_node"), "component_id"), "linked")
+    copies = staged(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("_node"), F.col("first").alias("component_id")), "copies")
     return _named(named, linked, copies)
 
 
 def _named(named: DataFrame, linked: DataFrame, copies: DataFrame) -> DataFrame:
-    known = staged(linked.union(copies).groupBy("_node", "_d2").agg(F.min("component_id").alias("component_id")), "known")
-    return named.join(known, (F.col("node") == F.col("_node")) & (F.col("d2") == F.col("_d2")), "left").select(
+    known = staged(linked.union(copies).groupBy("_node").agg(F.min("component_id").alias("component_id")), "known")
+    return named.join(known, F.col("node") == F.col("_node"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
 def _crowded_links(crowded: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Links between components that meet in a large cell, found by R-trees over parts of it."""
+    """Links between components that meet in a large cell, found by R-trees over the cells of a family."""
     members = staged(
         crowded.distinct().join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component")),
         "members",
     )
+    # Cells whose smallest node is the same hold much the same nodes: they make a family.
     open_cells = staged(
-        members.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("cell", F.ceil(F.col("size") / PART).cast("int").alias("parts")),
+        members.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("family")).where("low <> high").select("cell", "family"),
         "open",
     )
     if not open_cells.limit(1).count():
         return None
-    part = F.pmod(F.xxhash64("node", "cell"), F.col("parts").cast("long")).cast("int")
+    kin = staged(members.join(open_cells, "cell").groupBy("family", "node", "component").agg(F.collect_list("cell").alias("cells")).join(nodes.select("node", "n"), "node"), "kin")
+    sizes = staged(kin.groupBy("family").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts")), "sizes")
+    part = F.pmod(F.xxhash64("node", "family"), F.col("parts").cast("long")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("first"), F.greatest(p, F.col("part")).alias("second")))
-    points_of = nodes.select("node", "n", "point").dropDuplicates(["node"])
-    found = (
-        members.join(open_cells, "cell")
-        .join(points_of, "node")
+    return (
+        kin.join(sizes, "family")
+        .join(_named_sets(kin.select("node"), docs, nodes, k), "node")
         .withColumn("part", part)
         .withColumn("task", F.explode(tasks))
-        .select("cell", "task.first", "task.second", "part", "node", "component", "n", "point")
-        .repartition("cell", "first", "second")
-        .sortWithinPartitions("cell", "first", "second")
-        .mapInArrow(lambda batches: _tree_pairs(batches, num, den), "a long, b long")
+        .select("family", "task.first", "task.second", "part", "node", "component", "cells", "set")
+        .repartition("family", "first", "second")
+        .sortWithinPartitions("family", "first", "second")
+        .mapInArrow(lambda batches: _tree_links(batches, num, den), "a long, b long")
     )
-    return verified(staged(found.distinct(), "pairs"), docs, nodes, k, num, den)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -393,5 +466,5 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
     Of rows that repeat that doc_id all stay, as do rows without a doc_id.
     """
-    gone = staged(components_of(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = staged(components_of(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.alias("own").join(gone.alias("gone"), F.col("own.doc_id") == F.col("gone.doc_id"), "left_anti").select("own.*")

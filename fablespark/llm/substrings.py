@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded, staged
+from .common import bit_table, bounded, maybe, staged
 
 LENGTH = 400
 GRAM = 32
 CROWD = 16
 CELL = 16
-BITS = 22
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -219,19 +218,6 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPAN)], ["trigger", "run", "spans"])
 
 
-def _bit_table(df: DataFrame, column: str) -> np.ndarray:
-    """Bits set at the hashes in df[column]; 2^BITS positions at most reach the driver."""
-    at = df.select(F.pmod(column, F.lit(1 << BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
-    table = np.zeros(1 << BITS, bool)
-    table[at] = True
-    return np.packbits(table)
-
-
-def _maybe(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes % (1 << BITS)
-    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def duplicate_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """text_hash, size, start, after: byte ranges covered by repeated windows, possibly overlapping."""
     spark = docs.sparkSession
@@ -266,11 +252,11 @@ def duplicate_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     )
     distinct = staged(distinct, "distinct")
     crowds = staged(distinct.groupBy("trigger").count().where(f"count > {CROWD}").select("trigger", F.lit(True).alias("crowd")), "crowds")
-    sent = spark.sparkContext.broadcast(_bit_table(distinct, "text_hash"))
+    sent = spark.sparkContext.broadcast(bit_table(distinct, "text_hash"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_maybe(sent.value, batch.column(0).to_numpy())))
+            yield batch.filter(pa.array(maybe(sent.value, batch.column(0).to_numpy())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["trigger", "run", "many", "before", "windows", "content", "crowd"]
@@ -342,12 +328,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         duplicate_runs(rows, length, gram).distinct().groupBy("text_hash", "size").agg(F.collect_list(F.struct("start", "after")).alias("spans")),
         "spans",
     )
-    sent = rows.sparkSession.sparkContext.broadcast(_bit_table(spans, "text_hash"))
+    sent = rows.sparkSession.sparkContext.broadcast(bit_table(spans, "text_hash"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that keep all their bytes are digested here and not carried along."""
         for batch in batches:
-            maybe = _maybe(sent.value, batch.column(1).to_numpy())
+            maybe = maybe(sent.value, batch.column(1).to_numpy())
             digests = [None if m else hashlib.sha256(t.as_buffer()).hexdigest() for m, t in zip(maybe, batch.column(3), strict=True)]
             text = batch.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays(
