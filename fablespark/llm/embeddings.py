@@ -200,8 +200,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite, F.lit(False))
     keyed = staged(rows.withColumn("digest", F.when(usable, F.sha2(F.to_json(F.struct("label", "embedding")), 256))), "vectors")
-    groups = staged(keyed.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    first = keyed.join(groups, "digest").where("vec_id = node").dropDuplicates(["digest"])
+    # A node is a distinct vector, named by its digest: rows that repeat a vec_id with other vectors are other nodes.
+    groups = staged(
+        keyed.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.xxhash64("digest")),
+        "nodes",
+    )
+    first = keyed.join(groups, "digest").where("vec_id = first").dropDuplicates(["digest"])
     filtered = staged(
         first.select("node", F.xxhash64("label").alias("bucket"), "embedding", "copies").mapInArrow(_filtered, f"node long, bucket long, embedding {kind}, copies long, filters array<int>"),
         "filters",
@@ -223,14 +227,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     )
     labels = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = staged(groups.join(counts, "node", "left").join(labels, "node", "left"), "nodes")
+    nodes = staged(groups.join(counts, "node", "left").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")), "nodes")
+    names = nodes.groupBy("root").agg(F.min("first").alias("name"))
+    nodes = staged(nodes.join(names, "root").select("digest", "links", "copies", "name"), "nodes")
     return (
         keyed.select("vec_id", "digest")
         .join(nodes, "digest", "left")
         .select(
             "vec_id",
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-            F.coalesce("component", "node", "vec_id").alias("component_id"),
+            F.coalesce("name", "vec_id").alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )
