@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,18 +82,19 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of one partition; feature -1 counts the documents."""
-    df, n = np.zeros(1 << BITS, np.int64), 0
+    df, n, seen = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
     for batch in batches:
         for a, b, x, offsets in _batches(batch.column(0)):
             grams = list(features(x))
             ends = [bounds(offsets, k + 1)[1] for k in range(GRAMS)]
             for r in range(b - a):
-                seen = np.zeros(1 << BITS, bool)
+                seen.fill(False)
                 for g, end in zip(grams, ends, strict=True):
                     seen[g[offsets[r] : end[r]]] = True
-                df += seen
+                df[np.flatnonzero(seen)] += 1
             n += b - a
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 1 << BITS).astype(np.int32)), pa.array(np.concatenate(([n], df)))], ["feature", "n"])
+    used = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], used)).astype(np.int32)), pa.array(np.concatenate(([n], df[used])))], ["feature", "n"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +200,11 @@ def train(docs: DataFrame) -> Model:
     model = Model(langs, np.log((1 + df[0]) / (1 + df[1:])) + 1)
     if not langs:
         return model
-    # A row is sampled by its key, at a rate that gives SAMPLE rows of its language on average.
-    spread = (F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003
+    # A row is sampled by its key and text, at a rate that gives SAMPLE rows of its language on average;
+    # rows with the least keys come first, so that the bound on all of them falls alike in every run.
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(SAMPLE) / n)])
-    sample = taught.where(spread < rate[F.col("lang")] * 1_000_003).select("lang", part.alias("part"), "text").limit(2 * SAMPLE * len(langs))
+    sample = taught.where(spread < rate[F.col("lang")] * 1_000_003).select("lang", part.alias("part"), "text", spread.alias("spread")).orderBy("spread", "lang", "text").limit(2 * SAMPLE * len(langs)).drop("spread")
     at = {k: i for i, k in enumerate(langs)}
     rows = sample.mapInArrow(_counted, "lang string, part int, ids binary, counts binary").toArrow().to_pylist()
     rows = sorted(((at[r["lang"]], r["part"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
@@ -224,14 +227,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """docs whose language is told with a score of ACCEPT at least; a null lang takes the predicted one."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
-    names = docs.columns
-    place = names.index("text")
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = sent.value.predict(batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "_pred", "_score"])
+            langs, score = sent.value.predict(batch.column(text))
+            langs, columns = pa.array(langs, pa.string()), batch.columns
+            columns[lang] = pc.coalesce(columns[lang], langs.cast(columns[lang].type))
+            told = pc.and_(pc.not_equal(langs, "und"), pa.array(score >= ACCEPT))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(told)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(run, f"{schema}, _pred string, _score double").where(f"_pred <> 'und' and _score >= {ACCEPT}")
-    return out.withColumn("lang", F.coalesce("lang", "_pred")).select(*names)
+    return docs.mapInArrow(run, docs.schema)
