@@ -30,7 +30,7 @@ from .common import bounded
 WINDOW = 1024
 SEPARATOR = 0
 TERM_BITS = 18
-SHARD_DOCS = 2500
+SHARD_DOCS = 1500
 SHARD_BYTES = 1 << 26
 K1, B = 1.2, 0.75
 FIRST_RANKS = 32
