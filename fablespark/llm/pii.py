@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9
 CONTEXT = 32
@@ -173,7 +175,7 @@ def fit(found: DataFrame, rounds: int = 30) -> dict[str, float]:
         .count()
         .collect()  # one row for each combination of kind, votes and size: 4 * 3^4 * 32 at most
     )
-    table = [(KINDS[r[0]], tuple(r[1:5]), r[5], r[6]) for r in counts]
+    table = sorted((KINDS[r[0]], tuple(r[1:5]), r[5], r[6]) for r in counts)  # sums of floats in one order
     posterior: dict[tuple, float] = {}
     for kind in KINDS:
         rows = [(v, n) for k, v, _, n in table if k == kind]
@@ -244,7 +246,7 @@ def listing(column: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of `text` replaced by its kind in brackets; overlapping spans go as one, named after the first."""
     # The input's columns travel in one struct, so that none has the name of a working column.
-    found = candidates(docs.select("text", F.struct(*docs.columns).alias("row")))
+    found = staged(candidates(docs.select("text", F.struct(*docs.columns).alias("row"))), "redacted")
     out = spans(found, fit(found))
     done = F.aggregate(
         "spans",
@@ -265,9 +267,7 @@ def _count(rank: int) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts of base spans by kind, their digest and all spans as text, one row per document."""
-    from .common import staged
-
     found = staged(candidates(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "candidates"), "pii")
     out = spans(found, fit(found)).withColumn("_base", F.filter("spans", lambda x: x["base"]))
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(listing(F.col("_base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(listing(F.col("_base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
