@@ -3,6 +3,12 @@
 Every stage works on all that the one before it kept. Documents whose language is not told go;
 of near copies (five-word shingles, Jaccard 0.8) the smallest doc_id stays; documents that leak a
 benchmark item go; personal data is replaced by its kind in brackets; what is left is packed.
+
+Edge cases, for every stage: a null or empty text has no language, so the first stage drops it; later
+stages alone would keep it, and pack it as its separator. A row with a null doc_id is judged by its
+language and freed of personal data, but no id names it as a copy or a leak, so it stays. Of near
+copies with one doc_id all rows stay if it is the smallest of its group. Other columns, whatever
+their names, are handed on unchanged by all stages but the last. An empty table gives no rows.
 """
 
 from __future__ import annotations

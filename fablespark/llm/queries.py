@@ -122,9 +122,9 @@ intervals AS (
 asked AS (
   SELECT page_id, fetched, host AS pattern, length(host) AS score FROM captures WHERE host <> ''
   UNION ALL SELECT page_id, fetched, array_to_string(string_split(host, '.')[n:], '.'), length(array_to_string(string_split(host, '.')[n:], '.'))
-    FROM captures, range(2, 8) AS r(n) WHERE n < len(string_split(host, '.'))
+    FROM (SELECT *, unnest(range(2, len(string_split(host, '.')))) AS n FROM captures WHERE host <> '')
   UNION ALL SELECT page_id, fetched, host || '/' || array_to_string(string_split(path, '/')[1:n], '/'), 1000 * n
-    FROM captures, range(1, 5) AS r(n) WHERE host <> '' AND path <> '' AND n <= len(string_split(path, '/'))),
+    FROM (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM captures WHERE host <> '' AND path <> '')),
 hits AS (
   SELECT page_id, count(*) AS n_entries, max_by(i.pattern, score) AS pattern, max_by(category, score) AS category
   FROM asked a JOIN intervals i ON a.pattern = i.pattern AND fetched >= since AND (until IS NULL OR fetched < until)

@@ -71,10 +71,10 @@ def components_by_force(rows, k, num):
     return {d: find(d) for d, _ in sets}
 
 
-@pytest.mark.parametrize("k,num,small,part", [(3, 90, 16, 1024), (5, 80, 16, 1024), (3, 90, 3, 8)])
+@pytest.mark.parametrize("k,num,small,part", [(3, 90, 16, 1 << 20), (5, 80, 16, 1 << 20), (3, 90, 3, 700)])
 def test_jaccard_components(docs, monkeypatch, k, num, small, part):
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", part)
     got = jaccard.components_of(docs, k, num, 100).collect()
     assert len(got) == len(corpus())
     want = components_by_force(corpus(), k, num)
@@ -92,6 +92,13 @@ def test_jaccard_keeps_one_of_each(docs, nothing):
     assert jaccard.components_of(nothing, 3, 90, 100).count() == 0
 
 
+def test_jaccard_links_every_text_of_a_repeated_id(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    for first, second in ((a, b), (b, a)):
+        frame = spark.createDataFrame([(1, first), (1, second), (2, a + " tail"), (3, b + " tail")], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in jaccard.components_of(frame, 3, 90, 100).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_tree_bound_loses_no_link():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, rng.integers(50, 120)).astype(np.uint64)) for _ in range(150)]
@@ -179,11 +186,30 @@ def removed_by_force(rows, length):
     return Counter((d, *x) for (d, *_), x in zip(rows, out, strict=True))
 
 
+def shared_by_force(rows, size):
+    """Bytes in windows of `size` that another row has too, for ids that are not repeated; where the lengths are equal, any other place counts."""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    holders = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - size + 1):
+            holders.setdefault(t[i : i + size], []).append(k)
+    out = {}
+    for (d, *_), t, k in zip(rows, texts, range(len(rows)), strict=True):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - size + 1):
+            found = holders[t[i : i + size]]
+            if len(set(found)) > 1 or (size < substrings.PASSAGE and len(found) > 1):
+                gone[i : i + size] = True
+        out[d] = int(gone.sum())
+    return {d: n for d, n in out.items() if d not in (None, 5)}
+
+
 @pytest.mark.parametrize("crowd,length,gram", [(256, 400, 32), (2, 400, 32), (3, 60, 8)])
 def test_substrings(docs, nothing, monkeypatch, crowd, length, gram):
     monkeypatch.setattr(substrings, "CROWD", crowd)
     got = substrings.remove_repeats(docs, length, gram).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed_by_force(corpus(), length)
+    assert {r.doc_id: r.n_shared for r in got if r.doc_id not in (None, 5)} == shared_by_force(corpus(), min(length, substrings.PASSAGE))
     if crowd == 2:
         assert substrings.remove_repeats(nothing).count() == 0
 
@@ -387,7 +413,8 @@ def test_pii(spark):
 
 def test_pii_redacts(spark):
     frame = spark.createDataFrame([(1, "é mail a@b.co now", "k"), (2, None, "k"), (3, "clean", "k")], "doc_id long, text string, spans string")
-    out = pii.redact(frame.drop("spans"))
+    out = pii.redact(frame)
+    assert out.columns == frame.columns
     assert {x.doc_id: x.text for x in out.collect()} == {1: "é mail [email] now", 2: None, 3: "clean"}
 
 
@@ -491,3 +518,28 @@ def test_url_filter_asks_to_any_depth(spark):
     log = spark.createDataFrame([(p, "2024-01-01", True, "x") for p in (deep, wide, "b.c.d.e.f.g.h.example.com", "h.org" + "/a" * 299)], "pattern string, since string, listed boolean, category string")
     got = {r.page_id: (r.n_entries, r.pattern) for r in urlfilter.verdicts(captures, log).collect()}
     assert got == {1: (1, deep), 2: (1, deep), 3: (0, None), 4: (2, wide), 5: (2, wide), 6: (0, None), 7: (1, "h.org" + "/a" * 299)}
+
+
+@pytest.mark.parametrize("n,equal", [(8, 8), (10, 8), (12, 8), (13, 8), (20, 12), (40, 24)])
+def test_decontamination_finds_pairs_at_its_threshold(spark, n, equal):
+    """Items of n words of which a copy keeps as few as a leak must: at least nine of ten are found."""
+    r = random.Random(n)
+    items, docs = [], []
+    for i in range(150):
+        words = prose(1000 * n + i, n).split()
+        items.append((i, " ".join(words)))
+        for at in r.sample(range(n), n - equal):
+            words[at] = f"other{i}x{at}"
+        docs.append((i, " ".join([*prose(i, 30).split(), *words, *prose(i + 500, 30).split()])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sum(x.doc_id == x.item_id for x in found) >= 135
+    assert sum(x.doc_id != x.item_id for x in found) <= 3
+
+
+def test_embedding_rows_of_one_id_are_nodes_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = embeddings._unit(rng.normal(size=(3, 32)))
+    near = embeddings._unit((a + 0.1 * c)[None, :])[0]
+    frame = spark.createDataFrame([(1, a.tolist(), "x"), (1, b.tolist(), "x"), (2, near.tolist(), "x"), (3, b.tolist(), "x")], "vec_id long, embedding array<double>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
