@@ -36,7 +36,7 @@ from . import textkit as tk
 from .common import bounded, staged
 
 # 1 reads a word, 0 ignores it.
-MASKS = ("11111", "110111", "1100111", "1101011", "1101101", "101010011", "110000111", "110010101", "110100011", "111001001")
+MASKS = ("11111", "101111", "110111", "1100111", "1101011", "1101101", "101001011", "101010011", "110000111", "110010101", "110100011", "111001001")
 SHORTEST = min(map(len, MASKS))
 MIN_WORDS = 8
 MIN_SHARE = 0.6

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 BYTE_HASH = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
