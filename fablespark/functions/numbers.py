@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
 from .text import col
 
+# Number words and months.
 UNITS = {
     "fr": "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf".split(),
     "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(),
@@ -41,24 +43,37 @@ def small(n: int, lang: str) -> str:
         return "quatre-vingts"
     if not unit:
         return TENS["fr"][ten]
-    return TENS["fr"][ten] + ("-et-" if unit in (1, 11) and ten not in (8, 9) else "-") + UNITS["fr"][unit]
-
-
-def in_words(number: Column | str, lang: str = "fr") -> Column:
-    """An integer of less than 10^12 in size, in words."""
-    table = F.array(*[F.lit(small(n, lang)) for n in range(1000)])
-    n = col(number).cast("long")
-    size = F.abs(n)
-    group = lambda k: (F.floor(size / 1000**k) % 1000).cast("int")
-    named = lambda g: F.element_at(table, g + 1)
-    parts = []
-    for k, one, many in ((3, "milliard", "milliards"), (2, "million", "millions")) if lang == "fr" else ((3, "billion", "billion"), (2, "million", "million")):
-        parts.append(F.when(group(k) > 0, F.concat(named(group(k)), F.lit(" "), F.when(group(k) > 1, many).otherwise(one))))
-    thousand = F.concat(named(group(1)), F.lit(" mille" if lang == "fr" else " thousand"))
-    parts.append(F.when((group(1) == 1) & F.lit(lang == "fr"), F.lit("mille")).when(group(1) > 0, thousand))
-    parts.append(F.when((group(0) > 0) | (size == 0), named(group(0))))
-    sign = F.when(n < 0, F.lit("moins " if lang == "fr" else "minus ")).otherwise("")
-    return F.concat(sign, F.concat_ws(" ", *parts))
+    return TENS["fr"][ten] + ("-et-" if unit == 1 and ten < 7 else "-") + UNITS["fr"][unit]
+
+
+def in_words(number: Column | str, lang: str = "fr", zero: str | None = None) -> Column:
+    """An integer of less than 10^18 in size, in words; null for null or a larger one."""
+    # One literal, split when the plan is made, is a far smaller expression than a thousand.
+    table = F.split(F.lit("\n".join(small(n, lang) for n in range(1000))), "\n")
+    million, millions = ("million", "millions") if lang == "fr" else ("million", "million")
+    billion, billions = ("milliard", "milliards") if lang == "fr" else ("billion", "billion")
+    thousand = "mille" if lang == "fr" else "thousand"
+
+    def under(group: Column, one: str, many: str) -> Column:
+        """A group of three digits and its name, nothing for zero."""
+        return F.when(group > 0, F.concat(F.get(table, group), F.when(group > 1, F.lit(f" {many}")).otherwise(f" {one}")))
+
+    def below(size: Column) -> Column:
+        """A number under 10^9."""
+        g = [(F.floor(size / 1000**k) % 1000).cast("int") for k in range(3)]
+        thousands = under(g[1], thousand, thousand)
+        if lang == "fr":
+            thousands = F.when(g[1] == 1, thousand).otherwise(thousands)
+        return F.concat_ws(" ", under(g[2], million, millions), thousands, F.when(g[0] > 0, F.get(table, g[0])))
+
+    def named(n: Column) -> Column:
+        high, low = (F.abs(n) - F.abs(n) % 10**9) / 10**9, F.abs(n) % 10**9
+        head = F.when(high > 0, F.concat(T.let(high.cast("long"), below), F.when(high > 1, f" {billions}").otherwise(f" {billion}")))
+        sign = F.when(n < 0, "moins " if lang == "fr" else "minus ").otherwise("")
+        rest = F.when(low > 0, T.let(low, below))
+        return F.when(n == 0, UNITS[lang][0] if zero is None else zero).when(F.abs(n) < 10**18, F.concat(sign, F.concat_ws(" ", head, rest)))
+
+    return T.let(col(number).cast("long"), named)
 
 
 def date_in_words(date: Column | str) -> Column:

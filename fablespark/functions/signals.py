@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from math import pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 
 def ramp(n: Column, curve: str = "cosine", rising: bool = True) -> Column:
@@ -76,3 +77,54 @@ def rms_db(samples: Column | str) -> Column:
 def peak_db(samples: Column | str) -> Column:
     top = F.array_max(F.transform(col(samples), F.abs))
     return F.when(top > 0, 20 * F.log10(top)).otherwise(-120.0)
+
+
+def fade_in_squared(signal: Column | str, n: int) -> Column:
+    """The first n samples times sin^2."""
+    return F.transform(col(signal), lambda x, i: F.when(i < n, x * F.pow(F.sin(i / max(n - 1, 1) * math.pi / 2), 2)).otherwise(x))
+
+
+def fade_out_squared(signal: Column | str, n: int) -> Column:
+    """The last n samples times cos^2."""
+    s = col(signal)
+    from_ = F.size(s) - n
+    return F.transform(s, lambda x, i: F.when(i >= from_, x * F.pow(F.cos((i - from_) / max(n - 1, 1) * math.pi / 2), 2)).otherwise(x))
+
+
+def resampled(signal: Column | str, size: Column | int) -> Column:
+    """Linear interpolation onto `size` evenly spaced points."""
+    s = col(signal)
+    n = F.lit(size) if isinstance(size, int) else size
+    place = lambda i: i * (F.size(s) - 1) / F.greatest(n - 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(s, F.floor(place(i)).cast("int")) + (F.coalesce(F.get(s, (F.floor(place(i)) + 1).cast("int")), F.element_at(s, -1)) - F.get(s, F.floor(place(i)).cast("int"))) * (place(i) - F.floor(place(i))))
+
+
+def joined(parts: Column | str, n: int, curve: str = "cosine") -> Column:
+    """Signals crossfaded one after the other, from the left."""
+    p = col(parts)
+    return F.when(F.size(p) > 0, F.aggregate(F.slice(p, 2, F.size(p)), F.get(p, F.lit(0)), lambda a, b: crossfade(a, b, n, curve=curve)))
+
+
+def with_pauses(parts: Column | str, pauses: Column | str, rate: int) -> Column:
+    """Signals end to end, silence of a pause in seconds after each."""
+    return F.flatten(F.zip_with(col(parts), col(pauses), lambda s, p: F.concat(s, F.array_repeat(F.lit(0.0), F.round(p * rate).cast("int")))))
+
+
+def weighted_split(signal: Column | str, weights: list[float]) -> Column:
+    """A signal cut into parts of the given shares of its length; the last takes the rest."""
+    s = col(signal)
+    n, cuts, total = F.size(s), [F.lit(0)], 0.0
+    for w in weights[:-1]:
+        total += w
+        cuts.append(F.floor(n * total).cast("int"))
+    cuts.append(n)
+    return F.array(*[F.slice(s, a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def soft_clip(signal: Column | str, drive: float) -> Column:
+    return F.transform(col(signal), lambda x: F.tanh(x * drive) / math.tanh(drive))
+
+
+def peak_limited(signal: Column | str, peak: float = 0.95) -> Column:
+    """Scaled so that no sample exceeds the peak; quieter signals stay."""
+    return let(F.array_max(F.transform(col(signal), F.abs)), lambda top: F.when(top > peak, F.transform(col(signal), lambda x: x * peak / top)).otherwise(col(signal)))

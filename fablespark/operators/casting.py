@@ -59,3 +59,28 @@ def attributed(quotes: DataFrame, partition: list[str], order: str) -> DataFrame
     )
     method = F.when(F.col("explicit").isNotNull(), "explicit").when(F.col("_other").isNotNull(), "alternation").when(F.col("_last").isNotNull(), "last_speaker").otherwise("unknown")
     return rows.withColumn("speaker", speaker).withColumn("method", method).drop("_last", "_turned", "_other", "_since", "_silent")
+
+
+def pooled(cast: DataFrame, partition: list[str], order: str, pools: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The least used voice of each speaker's pool, the first listed of equals.
+
+    A speaker without gender takes the pools by turns, by place in the order of speakers. Which pool a
+    speaker takes depends on that place alone, so the least used voice is the next one in its pool.
+    """
+    place = F.row_number().over(Window.partitionBy(*partition).orderBy(order)) - 1
+    pool = F.when(F.col("gender").isin("M", "F"), F.col("gender")).otherwise(F.when(place % 2 == 0, "M").otherwise("F"))
+    turn = F.row_number().over(Window.partitionBy(*partition, "_pool").orderBy(order)) - 1
+    voices = F.create_map(*[x for g, v in pools.items() for x in (F.lit(g), F.array(*map(F.lit, v)))])
+    out = cast.withColumn("_pool", pool).withColumn("_turn", turn)
+    return out.withColumn("voice", F.get(voices[F.col("_pool")], F.pmod("_turn", F.size(voices[F.col("_pool")])).cast("int"))).drop("_pool", "_turn")
+
+
+def picked(catalog: DataFrame, asked: DataFrame, keys: list[str], fallback: str) -> DataFrame:
+    """For each row of asked(keys, lang, gender) a voice of the catalogue: of its language and gender, else of its language, else the fallback.
+
+    catalog(id, ord, lang, gender): languages match by prefix; the first by ord counts.
+    """
+    fits = F.col("c.lang").startswith(F.col("a.lang"))
+    rows = asked.alias("a").join(catalog.alias("c"), fits, "left")
+    best = F.min_by("c.id", F.struct((F.col("c.gender") != F.col("a.gender")).alias("other"), F.col("c.ord")))
+    return rows.groupBy(*[F.col(f"a.{k}") for k in keys]).agg(F.coalesce(best, F.lit(fallback)).alias("voice"))

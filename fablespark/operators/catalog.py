@@ -21,11 +21,11 @@ def removed(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def renamed(df: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows whose key changes, moved behind all others in order; changes: key, new_key, value."""
-    kept = removed(df, changes, key)
+    """Rows whose key changes, moved behind all others in their old order; changes: key, new_key, value."""
+    kept = removed(df, changes, key).select(key, "value", order)
     last = df.agg(F.max(order).alias("_last"))
-    moved = changes.crossJoin(F.broadcast(last)).select(F.col("new_key").alias(key), "value", (F.col("_last") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("new_key"))).alias(order))
-    return kept.select(key, "value", order).unionByName(moved)
+    moved = df.select(key, order).join(changes, key).join(last, F.lit(True)).select(F.col("new_key").alias(key), "value", (F.col("_last") + F.col(order) + 1).alias(order))
+    return kept.unionByName(moved)
 
 
 def searched(df: DataFrame, text: str, *columns: str) -> DataFrame:

@@ -42,6 +42,14 @@ def rule_stats(rules: DataFrame) -> DataFrame:
     return rules.groupingSets([[], ["confidence"], ["action"], ["section"]], "confidence", "action", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
+def selected(rules: DataFrame, confidence: list[str] | None = None, action: list[str] | None = None) -> DataFrame:
+    """Rules of the given confidences and actions; None takes all."""
+    for column, wanted in (("confidence", confidence), ("action", action)):
+        if wanted is not None:
+            rules = rules.where(F.col(column).isin(*wanted))
+    return rules
+
+
 def rewritten(text: Column, rules: list[dict]) -> Column:
     """Replacements of a rule table in order; flags i and m, groups as \\1 or $1.
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Keywords by emotion, in the order that breaks ties.
+# Fixed values, all tables down to BASE_SPEEDS: keywords by emotion, in the order that breaks ties;
+# words and patterns of narrative types; relations, pauses, speeds and tones of emotions.
 KEYWORDS = {
     "joy": ("heureux", "heureuse", "joie", "rire", "sourire", "content", "ravis"),
     "sadness": ("triste", "pleurer", "larmes", "chagrin", "melancolie", "desole"),
@@ -36,6 +37,8 @@ COMPATIBLE = {
 OPPOSITE = (("joy", "sadness"), ("anger", "tenderness"), ("fear", "joy"), ("excitement", "sadness"))
 TRANSITION_PAUSES = {"smooth": 0.2, "gradual": 0.4, "sudden": 0.6, "dramatic": 0.8, "resolution": 0.5}
 TRANSITION_SPEEDS = {"excitement": 1.1, "anger": 1.05, "sadness": 0.92, "tenderness": 0.95, "suspense": 0.88}
+REACH = 48
+LEVELS = ("low", "medium", "high", "extreme")
 TONES = {"joy": "joyeux", "sadness": "melancolique", "anger": "tendu", "fear": "angoissant", "suspense": "haletant", "tenderness": "tendre", "excitement": "exaltant", "neutral": "neutre"}
 BASE_SPEEDS = {"excitement": 1.05, "suspense": 0.95, "sadness": 0.92, "tenderness": 0.95, "anger": 1.02}
 
@@ -131,10 +134,33 @@ def transitions(df: DataFrame, partition: list[str], order: str) -> DataFrame:
     return out.withColumn("pause", pause).withColumn("speed", speed).withColumn("from_emotion", F.coalesce("from_emotion", F.lit("neutral"))).drop("_from_intensity")
 
 
-def smoothed(df: DataFrame, partition: list[str], order: str, columns: list[str], factor: float = 0.3) -> DataFrame:
-    """Each column blended with its value in the row before, factor for the latter."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    return df.select("*", *[F.coalesce(F.col(c) * (1 - factor) + F.lag(c).over(w) * factor, F.col(c)).alias(f"{c}_smooth") for c in columns])
+def smoothed(df: DataFrame, partition: list[str], order: str, columns: list[str], factor: float = 0.3, speed: str | None = None) -> DataFrame:
+    """Each column blended with the smoothed value of the row before, factor for the latter.
+
+    speed: a column by which each result is multiplied before the next row sees it. What is further
+    back than REACH rows weighs less than a double can tell, so a window of REACH rows is exact and
+    a long partition needs no array of all its rows.
+    """
+    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(-REACH, 0)
+    by = F.col(speed) if speed else F.lit(1.0)
+
+    def fold(c: str) -> Column:
+        rows = F.collect_list(F.struct(F.col(c).cast("double").alias("x"), by.cast("double").alias("by"))).over(w)
+        blend = lambda before, row: F.coalesce(row["x"] * (1 - factor) + before * factor, row["x"]) * row["by"]
+        return F.aggregate(rows, F.lit(None).cast("double"), blend)
+
+    return df.select("*", *[fold(c).alias(f"{c}_smooth") for c in columns])
+
+
+def continued(df: DataFrame, partition: list[str], order: str) -> DataFrame:
+    """transitions(), with pause_before at least the transition's pause and a smoothed speed, pitch and volume.
+
+    The speed is multiplied by the transition's speed before the next row sees it.
+    """
+    moved = transitions(df.withColumnRenamed("speed", "own_speed"), partition, order).withColumnRenamed("speed", "transition_speed")
+    out = smoothed(moved, partition, order, ["own_speed"], speed="transition_speed")
+    out = smoothed(out, partition, order, ["pitch", "volume"])
+    return out.withColumn("pause_before", F.greatest("pause_before", "pause")).withColumnRenamed("own_speed_smooth", "speed_smooth").withColumnRenamed("own_speed", "speed")
 
 
 def arc(df: DataFrame, partition: list[str], order: str) -> DataFrame:
@@ -146,13 +172,34 @@ def arc(df: DataFrame, partition: list[str], order: str) -> DataFrame:
 
 
 def chapter_mood(df: DataFrame, partition: list[str], order: str) -> DataFrame:
-    """dominant emotion of a chapter (the earliest of equals), its tone and base speed."""
+    """dominant emotion of a chapter (the earliest of equals), its tone and base speed.
+
+    With a column `intensity`, also the greatest of them and the number of climaxes, rows of extreme intensity;
+    climaxes() lists those.
+    """
     counts = df.groupBy(*partition, "emotion").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     top = counts.groupBy(*partition).agg(F.sum("n").alias("segments"), F.max_by("emotion", F.struct("n", -F.col("first"))).alias("dominant"))
+    if "intensity" in df.columns:
+        rank = F.max(F.array_position(F.array(*map(F.lit, LEVELS)), F.col("intensity")))
+        peaks = df.groupBy(*partition).agg(F.get(F.array(*map(F.lit, LEVELS)), (rank - 1).cast("int")).alias("max_intensity"), F.count_if(F.col("intensity") == "extreme").alias("climaxes"))
+        top = top.join(peaks, partition)
     tone = F.coalesce(F.create_map(*[F.lit(x) for kv in TONES.items() for x in kv])[F.col("dominant")], F.lit("mixte"))
     return top.withColumn("tone", tone).withColumn("base_speed", T.lookup(F.col("dominant"), BASE_SPEEDS, 1.0))
 
 
+def climaxes(df: DataFrame, partition: list[str], order: str) -> DataFrame:
+    """Position of each row of extreme intensity among the rows of its partition."""
+    at = F.row_number().over(Window.partitionBy(*partition).orderBy(order)) - 1
+    return df.withColumn("position", at).where("intensity = 'extreme'").select(*partition, "position")
+
+
+def intensity_arc(df: DataFrame, partition: list[str], order: str, value: str = "intensity") -> DataFrame:
+    """rising, falling or stable: whether the last intensity is over 0.2 above or below the first."""
+    ends = df.groupBy(*partition).agg(F.min_by(F.coalesce(value, F.lit(0.5)), order).alias("first"), F.max_by(F.coalesce(value, F.lit(0.5)), order).alias("last"), F.count(F.lit(1)).alias("n"))
+    arc = F.when(F.col("n") < 2, "stable").when(F.col("last") > F.col("first") + 0.2, "rising").when(F.col("last") < F.col("first") - 0.2, "falling").otherwise("stable")
+    return ends.select(*partition, "n", arc.alias("arc"))
+
+
 def mood_trend(df: DataFrame, partition: list[str], order: str) -> DataFrame:
     """improving, declining or stable by the last five emotions; stable until there are five."""
     w = Window.partitionBy(*partition).orderBy(order)

@@ -49,3 +49,36 @@ def evicted(entries: DataFrame, max_bytes: int, max_entries: int) -> DataFrame:
     full = (F.col("all_bytes") > max_bytes) | (F.col("all_n") > max_entries)
     over = (F.col("all_bytes") - F.col("_bytes") > max_bytes * 0.8) | (F.col("all_n") - F.col("_n") > int(max_entries * 0.8))
     return rows.where(full & over).select(*entries.columns)
+
+
+def podcast(segments: DataFrame, keys: list[str], section: str, order: str, intro: float = 0.0, jingle: float | None = None) -> DataFrame:
+    """segments(start_time, end_time within their section) moved to their place in the whole.
+
+    Half a second follows the intro and a second each section; sections after the first start after the jingle and 0.3 seconds.
+    """
+    ends = segments.groupBy(*keys, section).agg(F.max_by("end_time", order).alias("_end"))
+    w = Window.partitionBy(*keys).orderBy(section)
+    before = F.coalesce(F.sum(F.col("_end") + 1.0).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    step = 0.0 if jingle is None else jingle + 0.3
+    start = (intro + 0.5 if intro else 0.0) + before + (F.row_number().over(w) - 1) * step
+    placed = segments.join(ends.select(*keys, section, start.alias("_start")), [*keys, section])
+    return placed.withColumn("start_time", F.col("start_time") + F.col("_start")).withColumn("end_time", F.col("end_time") + F.col("_start")).drop("_start")
+
+
+def mixed(placed: DataFrame, keys: list[str], at: str, samples: str) -> DataFrame:
+    """Signals laid over each other: rows (keys, position, value), a signal's samples added from position `at` on."""
+    rows = placed.select(*keys, F.col(at).alias("_at"), F.posexplode(samples).alias("_i", "_x"))
+    return rows.groupBy(*keys, (F.col("_at") + F.col("_i")).alias("position")).agg(F.sum("_x").alias("value"))
+
+
+def running(df: DataFrame, partition: list[str], order: str, value: str, out: str, span: int = 1 << 16) -> DataFrame:
+    """`out`: sums of `value` over the rows before each one, for partitions too large for one task.
+
+    order must be a whole number. Sums by ranges of `span` give each range its start, so that no task
+    sorts more than one range of a partition.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(order) / span))
+    before = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*partition, "_range").agg(F.sum(value).alias("_sum")).select(*partition, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(*partition, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(starts, [*partition, "_range"]).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("_range", "_start")
