@@ -35,6 +35,8 @@ SHARD_BYTES = 1 << 26
 K1, B = 1.2, 0.75
 FIRST_RANKS = 32
 TOKENIZER = "byte_bpe_50k.tiktoken"
+# Fixed value: the vocabulary's own pattern, its runs possessive, so that they match the same and are not tried again.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _encoders: dict = {}
 
 
@@ -46,7 +48,7 @@ def encoder(name: str = TOKENIZER):
 
         with open(public_tokenizers.path(name), "rb") as lines:
             ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
-        _encoders[name] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+        _encoders[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
     return _encoders[name]
 
 
@@ -63,7 +65,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in tk.chunks(batch.column(0)):
             words, row = tk.word_hashes(data, offsets)
-            df += np.bincount(_terms(words, row, b - a)[0], minlength=1 << TERM_BITS)
+            np.add.at(df, _terms(words, row, b - a)[0], 1)
             n, total = n + b - a, total + len(words)
     used = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((used, [-1, -2])).astype(np.int32)), pa.array(np.concatenate((df[used], [n, total])))], ["term", "n"])
@@ -105,11 +107,13 @@ def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]
             keep, live = free[owner], n - len(order)
             owner, weight, term = owner[keep], weight[keep], term[keep]
             bounds = _bounds(term)
-        postings = [slice(a, b) for a, b in zip(bounds[asked[seed]].tolist(), bounds[asked[seed] + 1].tolist(), strict=True) if a < b]
-        if not postings:
+        starts = bounds[asked[seed]]
+        sizes = bounds[asked[seed] + 1] - starts
+        total = int(sizes.sum())
+        if not total:
             continue
-        who = np.concatenate([owner[p] for p in postings])
-        scores = np.bincount(who, np.concatenate([weight[p] for p in postings]), minlength=n) * free
+        postings = np.arange(total) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        scores = np.bincount(owner[postings], weight[postings], minlength=n) * free
         room = WINDOW - filled
         for i in _ranked(scores):
             free[i] = False
