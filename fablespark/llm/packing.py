@@ -186,17 +186,16 @@ def pack(docs: DataFrame) -> DataFrame:
                     # Documents that share a common rarest term are dealt over as many shards as they fill.
                     spread = zlib.crc32(str(doc).encode())
                     shard.append(spread << TERM_BITS if rare < 0 else rare + (spread % (1 + int(df[rare]) * 2 // SHARD_DOCS) << TERM_BITS))
-                sizes = pa.array(bounds.astype(np.int32))
+                postings = np.stack((terms, tf), axis=1).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         docs,
                         pa.array([_ids(t) for t in texts], pa.binary()),
                         pa.array(np.bincount(row, minlength=rows).astype(np.int32)),
-                        pa.ListArray.from_arrays(sizes, pa.array(terms.astype(np.int32))),
-                        pa.ListArray.from_arrays(sizes, pa.array(tf.astype(np.int32))),
+                        pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(postings)]),
                         pa.array(shard, pa.int64()),
                     ],
-                    ["doc_id", "ids", "n_words", "terms", "tf", "shard"],
+                    ["doc_id", "ids", "n_words", "postings", "shard"],
                 )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +203,9 @@ def pack(docs: DataFrame) -> DataFrame:
 
         shard, held, size = TaskContext.get().partitionId() << 16, [], 0
         for batch in batches:
-            terms, tf = batch.column(3), batch.column(4)
-            for i, (doc, ids, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
-                held.append((doc, ids, n, terms[i].values.to_numpy().copy(), tf[i].values.to_numpy().copy()))
+            for doc, ids, n, postings in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                terms, tf = np.frombuffer(postings, "<u4").reshape(-1, 2).T.astype(np.int32)
+                held.append((doc, ids, n, terms, tf))
                 size += len(ids) + 8 * len(held[-1][3])
                 if len(held) == 2 * SHARD_DOCS or size >= SHARD_BYTES:
                     yield from filled(held, shard)
@@ -232,7 +231,7 @@ def pack(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     return (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .mapInArrow(featured, "doc_id long, ids binary, n_words int, terms array<int>, tf array<int>, shard long")
+        .mapInArrow(featured, "doc_id long, ids binary, n_words int, postings binary, shard long")
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "doc_id", "ids")
         .drop("shard")
