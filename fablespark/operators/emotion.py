@@ -38,6 +38,7 @@ OPPOSITE = (("joy", "sadness"), ("anger", "tenderness"), ("fear", "joy"), ("exci
 TRANSITION_PAUSES = {"smooth": 0.2, "gradual": 0.4, "sudden": 0.6, "dramatic": 0.8, "resolution": 0.5}
 TRANSITION_SPEEDS = {"excitement": 1.1, "anger": 1.05, "sadness": 0.92, "tenderness": 0.95, "suspense": 0.88}
 REACH = 48
+ADJECTIVES = r"(?U)\b\w+(?:e|eux|euse|ant|ent)s?\b.*?\b\w+(?:e|eux|euse|ant|ent)s?\b"
 LEVELS = ("low", "medium", "high", "extreme")
 TONES = {"joy": "joyeux", "sadness": "melancolique", "anger": "tendu", "fear": "angoissant", "suspense": "haletant", "tenderness": "tendre", "excitement": "exaltant", "neutral": "neutre"}
 BASE_SPEEDS = {"excitement": 1.05, "suspense": 0.95, "sadness": 0.92, "tenderness": 0.95, "anger": 1.02}
@@ -77,8 +78,8 @@ def action_score(text: Column | str, sizes: Column | None = None, low: Column |
 def description_score(text: Column | str, sizes: Column | None = None, low: Column | None = None) -> Column:
     t, low = T.col(text), F.lower(T.col(text)) if low is None else low
     score = _hits(low, DESCRIPTION) + _mostly(sentence_sizes(t) if sizes is None else sizes, lambda n: n > 15)
-    # Two adjective-like words on one line.
-    adjectives = F.exists(F.split(low, "\n"), lambda line: F.size(F.regexp_extract_all(line, F.lit(r"(?U)\b\w+(?:e|eux|euse|ant|ent)s?\b"), F.lit(0))) > 1)
+    # Two adjective-like words on one line; the second is sought from the first that is found.
+    adjectives = low.rlike(ADJECTIVES)
     return F.least((score + F.when(adjectives, 0.5).otherwise(0.0) + F.when(_hits(low, ACTION) == 0, 0.3).otherwise(0.0)) / 3, F.lit(1.0))
 
 
@@ -93,18 +94,30 @@ def flashback_score(text: Column | str, low: Column | None = None) -> Column:
     return F.least(_hits(F.lower(T.col(text)) if low is None else low, FLASHBACK, regex=True) / 2, F.lit(1.0))
 
 
-def narrative_type(text: Column | str) -> Column:
-    """struct(type, confidence): dialogue first, then the best of four scores from 0.3 up, else narration."""
-    def scored(x: Column) -> Column:
-        sizes, low = x["sizes"], x["low"]
-        scores = [("action", action_score(text, sizes, low)), ("description", description_score(text, sizes, low)), ("introspection", introspection_score(text, low)), ("flashback", flashback_score(text, low))]
-        return F.array_max(F.array(*[F.struct(f.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("type")) for i, (n, f) in enumerate(scores)]))
+def narrative_types(df: DataFrame, text: str, out: str = "narrative") -> DataFrame:
+    """df with struct(type, confidence): dialogue first, then the best of four scores from 0.3 up, else narration.
 
-    best = T.let(F.struct(sentence_sizes(text).alias("sizes"), F.lower(T.col(text)).alias("low")), scored)
-    spoken = F.struct(F.lit("dialogue").alias("type"), F.lit(0.9).alias("confidence"))
+    Lower case, sizes and scores are column steps of their own, so that each is made once a row and the
+    word tests compile with the rest of the stage.
+    """
+    low, sizes = F.col("_low"), F.col("_sizes")
+    steps = df.withColumn("_low", F.lower(text)).withColumn("_sizes", sentence_sizes(text)).withColumn("_acts", _hits(low, ACTION))
+    short, long_ = _mostly(sizes, lambda n: n < 8), _mostly(sizes, lambda n: n > 15)
+    t = F.col(text)
+    # As the four score functions above, the action words counted once for two of them.
+    steps = steps.withColumn("_action", F.least((F.col("_acts") + short + F.when(F.length(t) - F.length(F.replace(t, F.lit("!"))) > 1, 0.5).otherwise(0.0) + F.when(t.contains("..."), 0.3).otherwise(0.0)) / 3, F.lit(1.0)))
+    adjectives = low.rlike(ADJECTIVES)
+    steps = steps.withColumn("_description", F.least((_hits(low, DESCRIPTION) + long_ + F.when(adjectives, 0.5).otherwise(0.0) + F.when(F.col("_acts") == 0, 0.3).otherwise(0.0)) / 3, F.lit(1.0)))
+    steps = steps.withColumn("_introspection", introspection_score(t, low)).withColumn("_flashback", F.least(_hits(low, FLASHBACK, regex=True) / 2, F.lit(1.0)))
+    names = ("action", "description", "introspection", "flashback")
+    best = F.greatest(*[F.col(f"_{n}") for n in names])
+    chosen = F.lit(names[-1])
+    for n in reversed(names[:-1]):
+        chosen = F.when(F.col(f"_{n}") == F.col("_best"), n).otherwise(chosen)
     told = F.struct(F.lit("narration").alias("type"), F.lit(0.7).alias("confidence"))
-    ranked = T.let(best, lambda b: F.when(b["score"] < 0.3, told).otherwise(F.struct(b["type"].alias("type"), b["score"].alias("confidence"))))
-    return F.when(T.is_dialogue(text), spoken).otherwise(ranked)
+    spoken = F.struct(F.lit("dialogue").alias("type"), F.lit(0.9).alias("confidence"))
+    result = F.when(T.is_dialogue(t), spoken).when(F.col("_best") < 0.3, told).otherwise(F.struct(chosen.alias("type"), F.col("_best").alias("confidence")))
+    return steps.withColumn("_best", best).withColumn(out, result).select(*df.columns, out)
 
 
 def distance(a: Column, b: Column) -> Column:

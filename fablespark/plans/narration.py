@@ -41,7 +41,7 @@ def intensity(text: Column | str) -> Column:
 def analysed(chapters: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
     """A row a sentence: emotion, intensity, narrative type, contour, tag effects."""
     rows = segments.sentences(chapters, keys, text)
-    rows = rows.select(*keys, "sent_idx", "sentence", emotion.keyword_emotion("sentence").alias("e"), emotion.narrative_type("sentence").alias("n"), tags.prosody("sentence").alias("t"))
+    rows = emotion.narrative_types(rows.select(*keys, "sent_idx", "sentence", emotion.keyword_emotion("sentence").alias("e"), tags.prosody("sentence").alias("t")), "sentence", "n")
     return rows.select(
         *keys, "sent_idx", tags.spoken_text("sentence").alias("sentence"), F.col("e.emotion").alias("emotion"), F.col("e.confidence").alias("emotion_confidence"), intensity("sentence").alias("intensity"),
         F.col("n.type").alias("narrative"), F.col("n.confidence").alias("narrative_confidence"), T.contour("sentence").alias("contour"), F.col("t").alias("tags"), T.is_dialogue("sentence").alias("is_dialogue"),

@@ -259,7 +259,8 @@ def narrative_scores(spark, sf_dir):
 
 @query("narrative_types")
 def narrative_types(spark, sf_dir):
-    return segments.sentences(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "sent_idx", emotion.narrative_type("sentence").alias("n")).select("doc_id", "sent_idx", "n.type", F.round("n.confidence", 4).alias("confidence"))
+    rows = emotion.narrative_types(segments.sentences(table(spark, sf_dir, "documents"), ["doc_id"]), "sentence", "n")
+    return rows.select("doc_id", "sent_idx", "n.type", F.round("n.confidence", 4).alias("confidence"))
 
 
 _DISTANCE_SQL = (
