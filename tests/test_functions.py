@@ -87,7 +87,7 @@ def test_normalised_text(spark):
         "Mon tel: 06 12 34 56 78": "Mon tel: six douze trente-quatre cinquante-six soixante-dix-huit",
         "Chapitre III: Louis XIV au XVIIe siecle, mil": "Chapitre trois: Louis quatorze au dix-septieme siecle, mil",
         "Il a couru 42,195 km en 3 h": "Il a couru quarante-deux virgule un neuf cinq kilometres en trois heures",
-        "85% puis 7,5 %": "quatre-vingt-cinq pourcent puis sept virgule 5 pourcent",
+        "85% puis 7,5 %": "quatre-vingt-cinq pourcent puis sept virgule cinq pourcent",
         "$12.50, €1 ou 3€": "douze dollars et cinquante centimes, un euro ou trois euros",
         "Voir https://a.b/c?d et moi@ex.co.uk !": "Voir lien internet et moi arobase ex point co point uk !",
         "M. Dupont et Mme Martin, etc.": "Monsieur Dupont et Madame Martin, et cetera",
