@@ -237,14 +237,14 @@ def most_emotional(spark, sf_dir):
 
 @query(
     "prosody_continuity",
-    f"""WITH RECURSIVE {EMOTIONS_SQL}, n AS (SELECT event_id, user_id, emotion, intensity, lag(emotion) OVER w AS a, lag(intensity) OVER w AS before, 1 + value / 1000 AS x, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    f"""WITH RECURSIVE {EMOTIONS_SQL}, n AS (SELECT event_id, user_id, emotion, intensity, lag(emotion) OVER w AS a, lag(intensity) OVER w AS before, 1 + value / 997 AS x, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 t AS (SELECT *, CASE WHEN a IS NULL THEN 1.0 WHEN before IN ('high', 'extreme') AND intensity IN ('low', 'medium') AND emotion IN ('neutral', 'tenderness') THEN 0.9 WHEN intensity = 'extreme' AND emotion IN ('fear', 'anger', 'excitement') THEN 0.95 WHEN (a, emotion) IN (('joy', 'sadness'), ('sadness', 'joy'), ('excitement', 'sadness')) THEN 1.0
   WHEN emotion = 'excitement' AND NOT (a = 'sadness') THEN 1.1 WHEN emotion = 'excitement' THEN 1.0 WHEN emotion = 'anger' THEN 1.05 WHEN emotion = 'sadness' THEN 0.92 WHEN emotion = 'suspense' THEN 0.88 ELSE 1.0 END AS m FROM n),
 s AS (SELECT event_id, user_id, n, (x * m)::DOUBLE AS v FROM t WHERE n = 1 UNION ALL SELECT t.event_id, t.user_id, t.n, (t.x * 0.7 + s.v * 0.3) * t.m FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1)
 SELECT event_id, round(v, 4) AS speed_smooth FROM s""",
 )
 def prosody_continuity(spark, sf_dir):
-    rows = _emotions(spark, sf_dir).withColumn("speed", 1 + F.col("value") / 1000).withColumn("pitch", F.lit(0.0)).withColumn("volume", F.lit(1.0)).withColumn("pause_before", F.lit(0.1))
+    rows = _emotions(spark, sf_dir).withColumn("speed", 1 + F.col("value") / 997).withColumn("pitch", F.lit(0.0)).withColumn("volume", F.lit(1.0)).withColumn("pause_before", F.lit(0.1))
     return emotion.continued(rows, ["user_id"], "event_id").select("event_id", F.round("speed_smooth", 4).alias("speed_smooth"))
 
 
