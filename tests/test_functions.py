@@ -55,7 +55,8 @@ def test_numbers(spark):
 def test_emotion(spark):
     got = values(spark, ["La joie et le rire", "peur et joie", "rien"], "string", emotion.keyword_emotion("x"))
     assert [(r.emotion, round(r.confidence, 3)) for r in got] == [("joy", 0.667), ("joy", 0.333), ("neutral", 0.5)]
-    assert [r.type for r in values(spark, ["« Oui »", "He said nothing of it to me in the end at all.", "Run! Jump! Hit!"], "string", emotion.narrative_type("x"))] == ["dialogue", "narration", "action"]
+    told = spark.createDataFrame([("« Oui »",), ("He said nothing of it to me in the end at all.",), ("Run! Jump! Hit!",)], "x string")
+    assert [r.type for r in emotion.narrative_types(told, "x", "n").select("n.type").collect()] == ["dialogue", "narration", "action"]
 
 
 def test_tags(spark):
