@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,19 +38,22 @@ FIRST_RANKS = 32
 TOKENIZER = "byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's own pattern, its runs possessive, so that they match the same and are not tried again.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+# The same for texts in which no two spaces meet: nothing looks ahead, so that the matcher never backtracks.
+SINGLE_SPACED = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
+TWO_SPACES = r"[\s\x0b\x{85}\p{Z}]{2}"
 _encoders: dict = {}
 
 
-def encoder(name: str = TOKENIZER):
+def encoder(name: str = TOKENIZER, pattern: str = PATTERN):
     """The public byte-level vocabulary through tiktoken, whose ids equal those of its tokenizers file."""
-    if name not in _encoders:
+    if (name, pattern) not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(name), "rb") as lines:
             ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
-        _encoders[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return _encoders[name]
+        _encoders[name, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+    return _encoders[name, pattern]
 
 
 def _terms(words: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,8 +75,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((used, [-1, -2])).astype(np.int32)), pa.array(np.concatenate((df[used], [n, total])))], ["term", "n"])
 
 
-def _ids(text: str | None) -> bytes:
-    return np.append(encoder().encode_to_numpy(text or "", allowed_special="all"), SEPARATOR).astype("<u2").tobytes()
+def _ids(texts: pa.Array) -> list[bytes]:
+    """The ids of each text as bytes, two an id, the separator last."""
+    two_spaces = pc.match_substring_regex(texts, TWO_SPACES).to_pylist()
+    patterns = [encoder(), encoder(pattern=SINGLE_SPACED)]
+    encoded = (patterns[not two].encode_to_numpy(t or "", allowed_special="all") for t, two in zip(texts.to_pylist(), two_spaces, strict=True))
+    return [np.append(ids, SEPARATOR).astype("<u2").tobytes() for ids in encoded]
 
 
 def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]:
@@ -174,7 +182,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 rows = b - a
                 words, row = tk.word_hashes(data, offsets)
                 terms, tf, bounds = _terms(words, row, rows)
-                docs, texts = batch.column(0).slice(a, rows), batch.column(1).slice(a, rows).to_pylist()
+                docs, texts = batch.column(0).slice(a, rows), batch.column(1).slice(a, rows)
                 # The rarest term that another document has too, or else the rarest; -1 in a row without terms.
                 filled = np.flatnonzero(np.diff(bounds))
                 rarest = np.full(rows, -1)
@@ -190,7 +198,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         docs,
-                        pa.array([_ids(t) for t in texts], pa.binary()),
+                        pa.array(_ids(texts), pa.binary()),
                         pa.array(np.bincount(row, minlength=rows).astype(np.int32)),
                         pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(postings)]),
                         pa.array(shard, pa.int64()),

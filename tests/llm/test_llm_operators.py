@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,6 +468,18 @@ def test_packing(spark, docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_ids_of_single_and_double_spaces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(5)
+    pieces = ["a", "B", "é", "中", "1", "٣", "'s", "'", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u200b", ".", "<|endoftext|>", "😀"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(5000)] + [None]
+    got = [np.frombuffer(x, "<u2").tolist() for x in packing._ids(pa.array(texts))]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+
+
 def test_packing_puts_neighbours_together():
     terms = [np.array([1, 2]), np.array([3]), np.array([1, 2]), np.array([4])]
     rows = [(300, 10, x, np.ones(len(x), int)) for x in terms]
