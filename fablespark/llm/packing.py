@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +42,22 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 # The same for texts in which no two spaces meet: nothing looks ahead, so that the matcher never backtracks.
 SINGLE_SPACED = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
 TWO_SPACES = r"[\s\x0b\x{85}\p{Z}]{2}"
-_encoders: dict = {}
 
 
+@cache
+def _ranks(name: str) -> dict[bytes, int]:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as lines:
+        return {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
+
+
+@cache
 def encoder(name: str = TOKENIZER, pattern: str = PATTERN):
     """The public byte-level vocabulary through tiktoken, whose ids equal those of its tokenizers file."""
-    if (name, pattern) not in _encoders:
-        import public_tokenizers
-        import tiktoken
+    import tiktoken
 
-        with open(public_tokenizers.path(name), "rb") as lines:
-            ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
-        _encoders[name, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return _encoders[name, pattern]
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_ranks(name), special_tokens={"<|endoftext|>": 50256})
 
 
 def _terms(words: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +82,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ids(texts: pa.Array) -> list[bytes]:
     """The ids of each text as bytes, two an id, the separator last."""
     two_spaces = pc.match_substring_regex(texts, TWO_SPACES).to_pylist()
-    patterns = [encoder(), encoder(pattern=SINGLE_SPACED)]
-    encoded = (patterns[not two].encode_to_numpy(t or "", allowed_special="all") for t, two in zip(texts.to_pylist(), two_spaces, strict=True))
+    encoders = (encoder(pattern=PATTERN if two else SINGLE_SPACED) for two in two_spaces)
+    encoded = (e.encode_to_numpy(t or "", allowed_special="all") for e, t in zip(encoders, texts.to_pylist(), strict=True))
     return [np.append(ids, SEPARATOR).astype("<u2").tobytes() for ids in encoded]
 
 
