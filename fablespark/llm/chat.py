@@ -1,4 +1,5 @@
 """Chat formatting by token-level assembly.
+from .common import in_arrow
 
 Each turn is `<|im_start|>role\\ntext<|im_end|>\\n`. Role line, text and line end are encoded as
 separate segments and the two markers are spliced in as reserved ids, so no text can tokenise
@@ -91,11 +92,11 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """Rows conv_id, part, token_start, turns, input_ids (16-bit ids), loss_spans, sorted within partitions."""
     return (
         turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-        .mapInArrow(_assembled_turns, "conv_id long, turn long, role string, text string, ids binary, loss_first int, loss_after int")
+        .transform(in_arrow, _assembled_turns, "conv_id long, turn long, role string, text string, ids binary, loss_first int, loss_after int")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "ids", "loss_first", "loss_after")
-        .mapInArrow(_assembled, "conv_id long, part long, token_start long, turns long, input_ids binary, loss_spans array<struct<first:long,after:long>>")
+        .transform(in_arrow, _assembled, "conv_id long, part long, token_start long, turns long, input_ids binary, loss_spans array<struct<first:long,after:long>>")
     )
 
 
@@ -149,5 +150,5 @@ def digests(formatted: DataFrame) -> DataFrame:
         formatted.select("conv_id", "part", "input_ids", "loss_spans")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "part")
-        .mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        .transform(in_arrow, _digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     )

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded, staged
+from .common import bounded, in_arrow, staged
 
 # 1 reads a word, 0 ignores it.
 MASKS = ("11111", "101111", "110111", "1100111", "1101011", "1101101", "101001011", "101010011", "110000111", "110010101", "110100011", "111001001")
@@ -190,7 +190,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         found.append((batch.column(0)[a + r].as_py(), items.ids[i], equal, n, first))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(5)], ["doc_id", "item_id", "n_equal", "n_words", "first_word"])
 
-        out = out.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema))
+        out = out.union(docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, scan, schema))
     return out
 
 

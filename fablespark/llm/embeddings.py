@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, in_arrow, staged
 
 LINK = 0.93
 BLOCKS = 2
@@ -207,7 +207,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     )
     first = keyed.join(groups, "digest").where("vec_id = first").dropDuplicates(["digest"])
     filtered = staged(
-        first.select("node", F.xxhash64("label").alias("bucket"), "embedding", "copies").mapInArrow(_filtered, f"node long, bucket long, embedding {kind}, copies long, filters array<int>"),
+        first.select("node", F.xxhash64("label").alias("bucket"), "embedding", "copies").transform(in_arrow, _filtered, f"node long, bucket long, embedding {kind}, copies long, filters array<int>"),
         "filters",
     )
     entries = filtered.select("bucket", F.explode("filters").alias("filter"))
@@ -222,7 +222,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         .select("bucket", "filter", "pair.first", "pair.second", "part", "node", "copies", "embedding", "filters")
         .repartition("bucket", "filter", "first", "second")
         .sortWithinPartitions("bucket", "filter", "first", "second", "node")
-        .mapInArrow(_tasks, "node long, other long, links long"),
+        .transform(in_arrow, _tasks, "node long, other long, links long"),
         "links",
     )
     labels = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))

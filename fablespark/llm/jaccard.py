@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bit_table, bounded, components, maybe, staged
+from .common import bit_table, bounded, components, in_arrow, maybe, staged
 
 SLACK = 1.25
 GROUPS = 128
@@ -195,7 +195,7 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     ["doc_id", "n_shingles", "d1", "d2", "cells", "point"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, FEATURES)
 
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +283,8 @@ def _named_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) ->
                 )
 
     # Rows that repeat a doc_id may hold other texts: a set is known by its digest.
-    some = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(held, "doc_id long, text string").join(owners.select("doc_id").distinct(), "doc_id", "left_semi")
-    read = some.mapInArrow(sets, "doc_id long, d1 long, d2 long, set binary")
+    some = docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, held, "doc_id long, text string").join(owners.select("doc_id").distinct(), "doc_id", "left_semi")
+    read = some.transform(in_arrow, sets, "doc_id long, d1 long, d2 long, set binary")
     return staged(read.join(owners, ["doc_id", "d1", "d2"]).dropDuplicates(["node"]).select("node", "set"), "sets")
 
 
@@ -300,7 +300,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
 
     small = nodes.select("node", "n", "point")
     near = staged(
-        pairs.join(small.toDF("a", "n", "p"), "a").join(small.toDF("b", "m", "q"), "b").select("a", "b", "p", "q", "n", "m").mapInArrow(bounded, "a long, b long"),
+        pairs.join(small.toDF("a", "n", "p"), "a").join(small.toDF("b", "m", "q"), "b").select("a", "b", "p", "q", "n", "m").transform(in_arrow, bounded, "a long, b long"),
         "bounded",
     )
     held = _named_sets(near.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes, k)
@@ -308,7 +308,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
         near.join(held.toDF("a", "s"), "a")
         .join(held.toDF("b", "t"), "b")
         .select("a", "b", "s", "t")
-        .mapInArrow(lambda batches: _overlaps(batches, num, den), "a long, b long")
+        .transform(in_arrow, lambda batches: _overlaps(batches, num, den), "a long, b long")
     )
 
 
@@ -405,7 +405,7 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         .select(F.explode("cells").alias("cell"), "node")
         .repartition("cell")
         .sortWithinPartitions("cell", "node")
-        .mapInArrow(_cell_pairs, "cell long, a long, b long"),
+        .transform(in_arrow, _cell_pairs, "cell long, a long, b long"),
         "cells",
     )
     pairs = staged(listed.where("cell is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -457,7 +457,7 @@ def _crowded_links(crowded: DataFrame, labels: DataFrame, docs: DataFrame, nodes
         .select("family", "task.first", "task.second", "part", "node", "component", "cells", "set")
         .repartition("family", "first", "second")
         .sortWithinPartitions("family", "first", "second")
-        .mapInArrow(lambda batches: _tree_links(batches, num, den), "a long, b long")
+        .transform(in_arrow, lambda batches: _tree_links(batches, num, den), "a long, b long")
     )
 
 

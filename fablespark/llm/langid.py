@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded
+from .common import bounded, in_arrow
 
 BITS = 16
 GRAMS = 3
@@ -194,7 +194,7 @@ def train(docs: DataFrame) -> Model:
     taught = docs.where((part != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in taught.groupBy("lang").count().collect()}
     langs = sorted(sizes)
-    counts = taught.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = taught.select("text").transform(in_arrow, _frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros((1 << BITS) + 1)
     df[counts["feature"].to_numpy() + 1] = counts["n"].to_numpy()
     model = Model(langs, np.log((1 + df[0]) / (1 + df[1:])) + 1)
@@ -206,7 +206,7 @@ def train(docs: DataFrame) -> Model:
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(SAMPLE) / n)])
     sample = taught.where(spread < rate[F.col("lang")] * 1_000_003).select("lang", part.alias("part"), "text", spread.alias("spread")).orderBy("spread", "lang", "text").limit(2 * SAMPLE * len(langs)).drop("spread")
     at = {k: i for i, k in enumerate(langs)}
-    rows = sample.mapInArrow(_counted, "lang string, part int, ids binary, counts binary").toArrow().to_pylist()
+    rows = sample.transform(in_arrow, _counted, "lang string, part int, ids binary, counts binary").toArrow().to_pylist()
     rows = sorted(((at[r["lang"]], r["part"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
     model.fit(rows)
     return model
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             langs, score = sent.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", (_part(F.col("doc_id")) == 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", (_part(F.col("doc_id")) == 0).alias("held_out"), "text").transform(in_arrow, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -237,4 +237,4 @@ def accepted(docs: DataFrame) -> DataFrame:
             told = pc.and_(pc.not_equal(langs, "und"), pa.array(score >= ACCEPT))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(told)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded
+from .common import bounded, in_arrow
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -170,7 +170,7 @@ def pack(docs: DataFrame) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
     spark = bounded(docs).sparkSession
     # At most 2^TERM_BITS rows reach the driver and return as two arrays of that size, however large the corpus.
-    counts = docs.select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select("text").transform(in_arrow, _frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = counts["term"].to_numpy(), counts["n"].to_numpy()
     n_docs, n_words = (int(n[term == k].sum()) for k in (-1, -2))
     df = np.zeros(1 << TERM_BITS, np.int64)
@@ -243,9 +243,9 @@ def pack(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     return (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .mapInArrow(featured, "doc_id long, ids binary, n_words int, postings binary, shard long")
+        .transform(in_arrow, featured, "doc_id long, ids binary, n_words int, postings binary, shard long")
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "doc_id", "ids")
         .drop("shard")
-        .mapInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+        .transform(in_arrow, packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     )

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bit_table, bounded, maybe, staged
+from .common import bit_table, bounded, in_arrow, maybe, staged
 
 LENGTH = 400
 PASSAGE = 272
@@ -286,7 +286,7 @@ def _crowded(crowd: DataFrame, length: int, passage: int) -> DataFrame:
             F.max("phrase").alias("high"),
         ]
 
-    cells = staged(crowd.mapInArrow(lambda batches: _cells(batches, (length, passage)), CELL_SQL), "cells")
+    cells = staged(crowd.transform(in_arrow, lambda batches: _cells(batches, (length, passage)), CELL_SQL), "cells")
     kinds = staged(cells.groupBy("trigger", "kind", "cell", "bytes").agg(*counts(f"kind = {length}")), "kinds")
     unlike = staged(kinds.groupBy("trigger", "kind", "cell").count().where("count > 1").select("trigger", "kind", "cell"), "unlike")
     known = cells.join(kinds, ["trigger", "kind", "cell", "bytes"])
@@ -294,7 +294,7 @@ def _crowded(crowd: DataFrame, length: int, passage: int) -> DataFrame:
     # Windows of cells that are known count as known for their equals in other cells.
     asked = known.join(unlike, ["trigger", "kind", "cell"]).groupBy("trigger", "phrase").agg(F.collect_list(F.struct("kind", "first", "last", "known")).alias("cells"))
     windows = staged(
-        crowd.select("trigger", "phrase", "text_hash", "content").join(asked, ["trigger", "phrase"]).mapInArrow(_windows, "trigger long, phrase long, text_hash long, known boolean, kind int, start int, bytes long"),
+        crowd.select("trigger", "phrase", "text_hash", "content").join(asked, ["trigger", "phrase"]).transform(in_arrow, _windows, "trigger long, phrase long, text_hash long, known boolean, kind int, start int, bytes long"),
         "windows",
     )
     twice = (
@@ -308,7 +308,7 @@ def _crowded(crowd: DataFrame, length: int, passage: int) -> DataFrame:
         whole.union(single)
         .groupBy("trigger", "phrase")
         .agg(F.collect_list("s").alias("starts"))
-        .mapInArrow(_gathered, f"trigger long, phrase long, spans {SPAN_SQL}")
+        .transform(in_arrow, _gathered, f"trigger long, phrase long, spans {SPAN_SQL}")
     )
 
 
@@ -330,7 +330,7 @@ def duplicate_spans(docs: DataFrame, length: int, passage: int, gram: int) -> Da
                 )
 
     texts = docs.where(F.octet_length("text") >= passage).select("text_hash", "text_check", "text")
-    parsed = staged(texts.mapInArrow(parse, "text_hash long, text_check long, first int, bytes int, windows int, before int, trigger long, phrase long"), "phrases")
+    parsed = staged(texts.transform(in_arrow, parse, "text_hash long, text_check long, first int, bytes int, windows int, before int, trigger long, phrase long"), "phrases")
     triggers_of = staged(
         parsed.groupBy("trigger")
         .agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"), F.min("text_hash").alias("first_text"), F.max("text_hash").alias("last_text"))
@@ -397,18 +397,18 @@ def duplicate_spans(docs: DataFrame, length: int, passage: int, gram: int) -> Da
         "cuts",
     )
     contents = staged(
-        texts.mapInArrow(wanted, "text_hash long, text_check long, text string")
+        texts.transform(in_arrow, wanted, "text_hash long, text_check long, text string")
         .join(cuts, ["text_hash", "text_check"])
         .dropDuplicates(["text_hash", "text_check"])
         .select("text_hash", "text", "cuts")
-        .mapInArrow(cut, "trigger long, phrase long, text_hash long, many boolean, shared boolean, before int, windows int, crowd boolean, content binary"),
+        .transform(in_arrow, cut, "trigger long, phrase long, text_hash long, many boolean, shared boolean, before int, windows int, crowd boolean, content binary"),
         "contents",
     )
     found = (
         contents.where("not crowd")
         .repartition("trigger")
         .sortWithinPartitions("trigger", "phrase")
-        .mapInArrow(lambda batches: _grouped(batches, length, passage), f"trigger long, phrase long, spans {SPAN_SQL}")
+        .transform(in_arrow, lambda batches: _grouped(batches, length, passage), f"trigger long, phrase long, spans {SPAN_SQL}")
     )
     if crowds.limit(1).count():
         found = found.union(_crowded(contents.where("crowd").drop("crowd"), length, passage))
@@ -476,8 +476,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pass
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
 
     return (
-        rows.mapInArrow(marked, "doc_id long, text_hash long, text_check long, size int, text string, digest string")
+        rows.transform(in_arrow, marked, "doc_id long, text_hash long, text_check long, size int, text string, digest string")
         .join(spans, ["text_hash", "text_check"], "left")
         .select("doc_id", "size", "text", "digest", "spans")
-        .mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary")
+        .transform(in_arrow, removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary")
     )

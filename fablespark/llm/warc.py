@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_dir, staged
+from .common import bounded, in_arrow, shared_dir, staged
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FILE_BYTES = 1 << 24
@@ -140,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
         rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
         .join(marks, ["page_id", "digest"], "left")
         .select("page_id", "url", "html", "digest", "response")
-        .mapInArrow(write, "file string, records long, bytes long")
+        .transform(in_arrow, write, "file string, records long, bytes long")
     )
 
 
@@ -169,7 +169,7 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """All records of the archives in folder, digests of responses verified; payload is null without payloads."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return files.select("content").mapInArrow(lambda batches: _read(batches, payloads), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return files.select("content").transform(in_arrow, lambda batches: _read(batches, payloads), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archive_folder(spark: SparkSession) -> str:
