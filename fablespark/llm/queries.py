@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, jaccard, langid, packing, pii, substrings, urlfilter, warc
+from . import centroids, chat, decontaminate, embeddings, jaccard, langid, packing, pii, quality, substrings, urlfilter, vectorcodes, warc
 from .common import staged, table
 
 
@@ -87,6 +87,75 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql(clusters: int, rounds: int) -> str:
+    """K-means with one step of SQL a round."""
+    nearest = lambda c: f"""
+    SELECT id, min_by(cluster, d * {clusters} + cluster) AS cluster, min(d)::BIGINT AS distance
+    FROM (SELECT id, cluster, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN {c} c USING (pos) GROUP BY ALL) GROUP BY id"""
+    steps = "".join(
+        f"""
+a{r} AS MATERIALIZED ({nearest(f"c{r}")}),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.pos, coalesce(m.x, c.x) AS x FROM c{r} c
+  LEFT JOIN (SELECT cluster, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM e JOIN a{r} USING (id) GROUP BY ALL) m USING (cluster, pos)),"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM kept),
+start AS (SELECT id, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster FROM kept WHERE vec_id IS NOT NULL),
+c0 AS MATERIALIZED (SELECT cluster, pos, x FROM e JOIN start USING (id) WHERE cluster < {clusters}),{steps}
+last AS MATERIALIZED ({nearest(f"c{rounds}")}),
+digests AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM last JOIN kept USING (id) JOIN digests USING (cluster)
+"""
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Product codes with one step of SQL a round."""
+    nearest = lambda b: f"""
+    SELECT id, part, min_by(entry, d * {entries} + entry) AS entry, min(d) AS d
+    FROM (SELECT id, part, entry, sum((e.x - b.x) * (e.x - b.x)) AS d FROM e JOIN {b} b USING (part, pos) GROUP BY ALL) GROUP BY ALL"""
+    steps = "".join(
+        f"""
+a{r} AS MATERIALIZED ({nearest(f"b{r}")}),
+b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{r} b
+  LEFT JOIN (SELECT part, entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM e JOIN a{r} USING (id, part) GROUP BY ALL) m USING (part, entry, pos)),"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (
+  SELECT id, i // (n // {parts}) AS part, i % (n // {parts}) AS pos, x FROM (SELECT id, len(v) AS n, unnest(range(len(v))) AS i, unnest(v) AS x FROM kept)),
+b0 AS MATERIALIZED (SELECT part, id AS entry, pos, x FROM e WHERE id < {entries}),{steps}
+last AS MATERIALIZED ({nearest(f"b{rounds}")}),
+books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds}),
+done AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM last GROUP BY id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT codebooks_sha256 FROM books) AS codebooks_sha256
+FROM done JOIN kept USING (id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_warc": op2_warc,
@@ -98,6 +167,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_centroids": op11_centroids,
+    "op12_quality": op12_quality,
+    "op13_codes": op13_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +204,6 @@ hits AS (
 SELECT c.page_id, c.host, strftime(c.fetched, '%Y-%m-%d %H:%M:%S') AS fetched, n_entries IS NOT NULL AS blocked, coalesce(n_entries, 0) AS n_entries, pattern, category
 FROM captures c LEFT JOIN hits USING (page_id)
 """,
+    "op11_centroids": _centroid_sql(centroids.CLUSTERS, centroids.ROUNDS),
+    "op13_codes": _codes_sql(vectorcodes.PARTS, vectorcodes.ENTRIES, vectorcodes.ROUNDS),
 }
