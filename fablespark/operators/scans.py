@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 512
@@ -41,39 +41,63 @@ def schema_of(rows: DataFrame, **more: str) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in [*((f.name, f.dataType.simpleString()) for f in rows.schema), *more.items()])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Runs of rows with equal keys, and whether a run opens its key."""
+    last = None
+    for batch in batches:
+        edges = [0, *_changes(batch, keys).tolist(), len(batch)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                part = batch.slice(a, b - a)
+                key = tuple(part.column(k)[0].as_py() for k in keys)
+                yield part, key != last
+                last = key
+
+
+def _sorted(rows: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
+    by = [F.col(o).desc() if descending else F.col(o) for o in order]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *by)
+
+
 def folded(rows: DataFrame, keys: list[str], order: list[str], step: Step, descending: bool = False, **out: str) -> DataFrame:
     """rows with the columns that step gives for them, in order within each key; out: names and types of the new ones."""
     names = [*rows.columns, *out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            edges = [0, *_changes(batch, keys).tolist(), len(batch)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                key = tuple(part.column(k)[0].as_py() for k in keys)
-                if key != last:
-                    last, state = key, None
-                state, new = step(state, part)
-                columns = dict(zip(part.schema.names, part.columns, strict=True)) | new
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+        state = None
+        for part, opens in _runs(batches, keys):
+            state, new = step(None if opens else state, part)
+            columns = dict(zip(part.schema.names, part.columns, strict=True)) | new
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    by = [F.col(o).desc() if descending else F.col(o) for o in order]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *by).mapInArrow(run, schema_of(rows, **out))
+    return _sorted(rows, keys, order, descending).mapInArrow(run, schema_of(rows, **out))
+
+
+def reduced(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[State, pa.RecordBatch], State], out: str, kind: str) -> DataFrame:
+    """keys and `out`, the state that step leaves after all rows of a key in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, held = None, []
+        for part, opens in _runs(batches, keys):
+            if opens and held:
+                yield whole(held, state)
+            state = step(None if opens else state, part)
+            held = [part.column(k).slice(0, 1) for k in keys]
+        if held:
+            yield whole(held, state)
 
+    def whole(held: list[pa.Array], state: State) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*held, pa.array([state])], [*keys, out])
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Whether the keys of a and b agree, nulls included."""
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+    return _sorted(rows, keys, order).mapInArrow(run, schema_of(rows.select(*keys), **{out: kind}))
 
 
 def meet(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """a with the other columns of b where all keys agree, nulls included."""
     renamed = b.select([F.col(c).alias(f"_b_{c}" if c in keys else c) for c in b.columns])
     on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys))
-    return a.join(renamed, on, how).drop(*[f"_b_{k}" for k in keys])
+    joined = a.join(renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_b_{k}" for k in keys])
 
 
 def _doubles(rows: list[np.ndarray]) -> pa.Array:

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources.staging import staged
 from . import scans
 
@@ -253,3 +254,35 @@ def compressed(blocks: DataFrame, keys: list[str], rate: float = RATE, threshold
 
     rows = blocks.select(*keys, "block", F.col("samples").cast("array<double>").alias("samples"))
     return scans.folded(rows, keys, ["block"], step)
+
+
+OCTAVES = 12
+
+
+def noise_draw(key: Column, octave: Column | int, index: Column) -> Column:
+    """A number in [-1, 1) that depends on key, octave and index alone: the first 32 bits of their digest."""
+    octave = F.lit(octave) if isinstance(octave, int) else octave
+    digest = F.md5(F.concat_ws(":", key.cast("string"), octave.cast("string"), index.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2**31 - 1
+
+
+def white_noise(key: Column, start: Column, n: Column, level: float = 1.0) -> Column:
+    """Samples start .. start + n - 1 of a key's white noise, evenly spread over [-level, level)."""
+    return F.when(n > 0, F.transform(F.sequence(start, start + n - 1), lambda i: noise_draw(key, -1, i) * level)).otherwise(F.array().cast("array<double>"))
+
+
+def pink_noise(key: Column, start: Column, n: Column, octaves: int = OCTAVES, level: float = 1.0) -> Column:
+    """Samples start .. start + n - 1 of a key's pink noise, with a root mean square of level / sqrt(3).
+
+    Sample i is the sum of one draw an octave, octave k drawing anew every 2^k samples, so any block can be made
+    alone and blocks fit each other. Power falls by 3 dB an octave between rate / 2^octaves and a quarter of the rate, within about 2 dB.
+    """
+
+    def octave(k: int) -> Column:
+        """The few draws of an octave that the block needs, made once each and held for 2^k samples."""
+        first = F.floor(start / (1 << k)).cast("long")
+        draws = F.transform(F.sequence(first, F.floor((start + n - 1) / (1 << k)).cast("long")), lambda j: noise_draw(key, k, j))
+        return let(draws, lambda d: F.transform(F.sequence(start, start + n - 1), lambda i: F.get(d, (F.floor(i / (1 << k)) - first).cast("int"))))
+
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(octave, range(octaves)))
+    return F.when(n > 0, F.transform(total, lambda x: x * (level / math.sqrt(octaves)))).otherwise(F.array().cast("array<double>"))
