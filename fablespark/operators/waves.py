@@ -275,7 +275,8 @@ def pink_noise(key: Column, start: Column, n: Column, octaves: int = OCTAVES, le
     """Samples start .. start + n - 1 of a key's pink noise, with a root mean square of level / sqrt(3).
 
     Sample i is the sum of one draw an octave, octave k drawing anew every 2^k samples, so any block can be made
-    alone and blocks fit each other. Power falls by 3 dB an octave between rate / 2^octaves and a quarter of the rate, within about 2 dB.
+    alone and blocks fit each other. Power falls by 3 dB an octave from half the rate down to
+    rate / 2^octaves, each octave within 1 dB of that line.
     """
 
     def octave(k: int) -> Column:

@@ -118,10 +118,11 @@ def test_noise_blocks_fit(spark):
     pink = make(waves.pink_noise, n)
     assert (pink == make(waves.pink_noise, 64)).all() and (make(waves.white_noise, n) == make(waves.white_noise, 128)).all()
     assert abs(np.sqrt((pink**2).mean()) * np.sqrt(3) - 1) < 0.2
-    power = np.abs(np.fft.rfft(pink * np.hanning(n))) ** 2
-    level = np.array([10 * np.log10(power[n >> (j + 1) : n >> j].mean()) for j in range(3, 10)])  # octaves from a quarter of the rate down
+    every = [r.x for r in spark.range(12).select(waves.pink_noise(F.col("id"), F.lit(0), F.lit(n)).alias("x")).collect()]
+    power = sum(np.abs(np.fft.rfft(np.array(x) * np.hanning(n))) ** 2 for x in every)
+    level = np.array([10 * np.log10(power[n >> (j + 1) : n >> j].mean()) for j in range(1, 11)])  # octaves, from the highest down
     fit = np.polyfit(np.arange(len(level)), level, 1)
-    assert abs(fit[0] - 3.0) < 0.6 and np.abs(level - np.polyval(fit, np.arange(len(level)))).max() < 2.0
+    assert abs(fit[0] - 3.0) < 0.3 and np.abs(level - np.polyval(fit, np.arange(len(level)))).max() < 1.0
     assert spark.range(1).select(waves.pink_noise(k, F.lit(0), F.lit(0)).alias("x")).first().x == []
     other = np.array(spark.range(1).select(waves.white_noise(F.lit("j"), F.lit(0), F.lit(n)).alias("x")).first().x)
     assert abs(np.corrcoef(other, make(waves.white_noise, n))[0, 1]) < 0.05
