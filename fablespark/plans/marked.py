@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import markup
+from ..operators import dictionary, markup
 from .queries import query, table
 
 _LISTED = ", ".join(f"'{w}'" for w in markup.AUTO_EMPHASIS)
@@ -66,3 +66,41 @@ def prosody_curves(spark, sf_dir):
     out = markup.curves(texts, markup.words(texts, ["doc_id"]), ["doc_id"], block=256)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3).alias(c)
     return out.select("doc_id", "block", F.size("pitch").alias("n"), total("pitch"), total("volume"), total("speed"))
+
+
+def _dictionary(spark, sf_dir):
+    """A key for each word of five letters or more of the benchmark, and the word turned round."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("key")).where(F.length("key") >= 5)
+    return words.select(F.lower("key").alias("key")).distinct().withColumn("replacement", F.concat(F.lit("<"), F.reverse("key"), F.lit(">")))
+
+
+_DICTIONARY_SQL = r"""keys AS (SELECT DISTINCT lower(w) AS key, '<' || reverse(lower(w)) || '>' AS replacement FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark) WHERE length(w) >= 5),
+pieces AS (SELECT doc_id, unnest(p) AS p, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS p FROM documents)),
+done AS (SELECT doc_id, md5(string_agg(coalesce(replacement, p), '' ORDER BY i)) AS digest, count(key)::INT AS n_replaced FROM pieces LEFT JOIN keys ON key = lower(p) GROUP BY doc_id)"""
+
+
+@query("dictionary_rewrite", f"WITH {_DICTIONARY_SQL} SELECT doc_id, CASE WHEN text = '' THEN md5('') ELSE digest END AS digest, coalesce(n_replaced, 0)::INT AS n_replaced FROM documents LEFT JOIN done USING (doc_id)")
+def dictionary_rewrite(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dictionary.rewritten(docs, _dictionary(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), "n_replaced")
+
+
+@query("dictionary_rewrite_joined", f"WITH {_DICTIONARY_SQL} SELECT doc_id, CASE WHEN text = '' THEN md5('') ELSE digest END AS digest, coalesce(n_replaced, 0)::INT AS n_replaced FROM documents LEFT JOIN done USING (doc_id)")
+def dictionary_rewrite_joined(spark, sf_dir):
+    """The same by the join that takes a dictionary of any size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dictionary.rewritten(docs, _dictionary(spark, sf_dir), most=0).select("doc_id", F.md5("text").alias("digest"), "n_replaced")
+
+
+@query(
+    "phoneme_lookup",
+    r"""WITH b AS (SELECT p_name AS word, 'ʃ' || p_partkey || 'ɛ' AS ipa FROM part), g AS (SELECT word, min(ipa) AS ipa FROM b GROUP BY word),
+c AS (SELECT lower(word) AS word, min('œ' || ipa) AS ipa FROM g WHERE length(word) % 3 = 0 GROUP BY lower(word)), w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE p_name || '?' END AS word FROM part)
+SELECT p_partkey, coalesce(c.ipa, e.ipa, l.ipa) AS ipa, replace(replace(replace(coalesce(c.ipa, e.ipa, l.ipa), 'ɛ', 'è'), 'œ', 'eu'), 'ʃ', 'ch') AS spelled FROM w LEFT JOIN c ON c.word = lower(w.word) LEFT JOIN g e ON e.word = w.word LEFT JOIN g l ON l.word = lower(w.word)""",
+)
+def phoneme_lookup(spark, sf_dir):
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    builtin = part.select(F.col("p_name").alias("word"), F.concat(F.lit("ʃ"), k.cast("string"), F.lit("ɛ")).alias("ipa"))
+    custom = builtin.where(F.length("word") % 3 == 0).groupBy("word").agg(F.min("ipa").alias("ipa")).withColumn("ipa", F.concat(F.lit("œ"), "ipa"))
+    words = part.select("p_partkey", F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit("?"))).alias("word"))
+    return dictionary.phonemes(words, custom, builtin).select("p_partkey", "ipa", dictionary.readable_phonemes("ipa").alias("spelled"))
