@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,35 @@ def blended(styles: DataFrame, pairs: DataFrame, numbers: list[str], flags: list
     out = pairs.join(left, "a").join(right, "b")
     mixed = [(F.col(f"_a_{c}") + (F.col(f"_b_{c}") - F.col(f"_a_{c}")) * F.col("factor")).alias(c) for c in numbers]
     return out.select("a", "b", "factor", *mixed, *[(F.col(f"_a_{c}") | F.col(f"_b_{c}")).alias(c) for c in flags])
+
+
+GRAM = 3
+
+
+def _grams(text: str, n: int) -> Column:
+    t = F.col(text)
+    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))))
+
+
+def found_by_name(asked: DataFrame, entries: DataFrame, name: str, order: str, value: str) -> DataFrame:
+    """asked with `value`: that of the entry with this very name, else of the first entry whose name holds it, whatever the case; null if none does.
+
+    Names of up to GRAM characters are looked up among the parts of all entries' names. A longer one
+    is looked for only in entries that share its rarest part of GRAM characters, so no pair of tables is compared whole:
+    every join is by equality. An empty name is held by all; a null one by none.
+    """
+    first = lambda *by: F.min_by(value, F.struct(order, name)).alias(by[0])
+    exact = entries.groupBy(name).agg(first("_exact"))
+    low = entries.where(F.col(name).isNotNull()).select(F.lower(name).alias("_name"), name, order, value)
+    wanted = asked.where(F.col(name).isNotNull()).select(F.lower(name).alias("_asked")).distinct()
+    parts = low.select(F.explode(F.concat(*[F.coalesce(_grams("_name", n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])).alias("_asked"), name, order, value)
+    short = parts.groupBy("_asked").agg(first("_held"))
+    every = low.agg(first("_held")).select(F.lit("").alias("_asked"), "_held")
+    postings = low.select("_name", name, order, value, F.explode(_grams("_name", GRAM)).alias("_gram"))
+    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wanted.where(F.length("_asked") > GRAM).select("_asked", F.explode(_grams("_asked", GRAM)).alias("_gram")).join(counts, "_gram", "left")
+    rarest = rarest.groupBy("_asked").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r")).where("r.n > 0").select("_asked", F.col("r.gram").alias("_gram"))
+    long = rarest.join(postings, "_gram").where(F.contains("_name", F.col("_asked"))).groupBy("_asked").agg(first("_held"))
+    held = short.unionByName(every).unionByName(long)
+    out = asked.withColumn("_asked", F.lower(name)).join(exact, name, "left").join(held, "_asked", "left")
+    return out.select(*asked.columns, F.coalesce("_exact", "_held").alias(value))

@@ -1,11 +1,12 @@
-"""Named queries of word-level markup, prosody curves and dictionaries."""
+"""Named queries of word-level markup, prosody curves, dictionaries, names and pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions import text as T
-from ..operators import dictionary, markup
+from ..operators import catalog, dictionary, markup
 from .queries import query, table
 
 _LISTED = ", ".join(f"'{w}'" for w in markup.AUTO_EMPHASIS)
@@ -104,3 +105,33 @@ def phoneme_lookup(spark, sf_dir):
     custom = builtin.where(F.length("word") % 3 == 0).groupBy("word").agg(F.min("ipa").alias("ipa")).withColumn("ipa", F.concat(F.lit("œ"), "ipa"))
     words = part.select("p_partkey", F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit("?"))).alias("word"))
     return dictionary.phonemes(words, custom, builtin).select("p_partkey", "ipa", dictionary.readable_phonemes("ipa").alias("spelled"))
+
+
+@query(
+    "voices_by_name",
+    """WITH v AS (SELECT s_name || ' ' || p_name AS name, p_partkey AS ord, 'voice' || p_partkey AS voice FROM part JOIN supplier ON s_suppkey = p_partkey % 100),
+a AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN substr(p_name, 2, 4) WHEN 2 THEN substr(p_name, 1, 2) WHEN 3 THEN s_name || ' ' || p_name ELSE lpad(c_custkey::VARCHAR, 5, '0') || ' ' || p_name END AS name FROM customer LEFT JOIN part ON p_partkey = c_custkey % 200 JOIN supplier ON s_suppkey = c_custkey % 100),
+e AS (SELECT name, min(ord) AS ord FROM v GROUP BY name), h AS (SELECT n.name, min(ord) AS ord FROM (SELECT DISTINCT name FROM a) n JOIN v ON contains(lower(v.name), lower(n.name)) GROUP BY n.name)
+SELECT c_custkey, 'voice' || coalesce(e.ord, h.ord) AS voice FROM a LEFT JOIN e USING (name) LEFT JOIN h USING (name)""",
+)
+def voices_by_name(spark, sf_dir):
+    part, supplier, customer = (table(spark, sf_dir, t) for t in ("part", "supplier", "customer"))
+    named = F.concat("s_name", F.lit(" "), "p_name")
+    voices = part.join(supplier, F.col("s_suppkey") == F.col("p_partkey") % 100).select(named.alias("name"), F.col("p_partkey").alias("ord"), F.concat(F.lit("voice"), F.col("p_partkey").cast("string")).alias("voice"))
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.upper("p_name")).when(k % 5 == 1, F.substring("p_name", 2, 4)).when(k % 5 == 2, F.substring("p_name", 1, 2)).when(k % 5 == 3, named).otherwise(F.concat(F.lpad(k.cast("string"), 5, "0"), F.lit(" "), "p_name"))
+    asked = customer.join(part, F.col("p_partkey") == k % 200, "left").join(supplier, F.col("s_suppkey") == k % 100).select("c_custkey", name.alias("name"))
+    return catalog.found_by_name(asked, voices, "name", "ord", "voice").select("c_custkey", "voice")
+
+
+@query(
+    "page_lines",
+    rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script[^>]*>|<style\b[^>]*>.*?</style[^>]*>|<[!?][^>]*>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(h, '(?is)<nav\b[^>]*>.*?</nav[^>]*>|<header\b[^>]*>.*?</header[^>]*>|<footer\b[^>]*>.*?</footer[^>]*>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<h[1-3]\b[^>]*>', chr(10) || chr(10), 'g'), '(?i)<(?:p|div|h[4-6]|br)\b[^>]*>|</(?:p|div|h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS h FROM b),
+d AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), E' \t\n\r' || chr(160)) AS h FROM c)
+SELECT page_id, length(h)::INT AS n_chars, md5(h) AS digest, (length(h) - length(replace(h, chr(10), '')))::INT AS n_breaks FROM d""",
+)
+def page_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", html.page_lines("html").alias("t"))
+    return rows.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"), (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("n_breaks"))
