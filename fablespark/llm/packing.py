@@ -1,15 +1,20 @@
 """Lexical retrieval packing: BM25 neighbours fill the window that a seed document opens.
 
-Document frequencies come from all documents. Each document is tokenised once and keeps all its
-distinct terms; the rarest that another document has too decides its shard, so that documents whose
-rarest shared word is the same meet, and a term too common for one shard is dealt over several. In
-a shard an inverted index of all terms scores the unused documents against all terms of each seed
+Terms are 32-bit hashes of words; document frequencies come from all documents, counted in slots of
+several terms. Each document is tokenised once and keeps all its distinct terms; the rarest that
+another document seems to have too decides its shard, so that documents whose rarest shared word is
+the same meet. Where a term's slot is too common for one shard, the next rarest deals its documents over several,
+so those that share both still meet. In a shard an inverted index of all terms scores the unused documents against all terms of each seed
 by BM25; the best follow it until the window is full. A shard is split where its ids and terms
 reach SHARD_BYTES. Where a document does not fit it is cut, and
 its rest opens the next window. The last window of a shard is cut into powers of two, which need
 no padding.
 
-Edge cases: a null or empty text is the separator id alone; a null doc_id is kept as a document
+A sequence's number is its task, index and place in 20, 21 and 22 bits: tasks are at most MOST_TASKS, whatever the
+number of documents, and a number that would not fit is an error. Documents of equal BM25 scores follow in the order of their place in the shard.
+
+Edge cases: a null or empty text is the separator id alone; a very long text is cut over as many
+windows as it fills, and its index holds it alone beside what came before it; a null doc_id is kept as a document
 of its own, as is every repeated row; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,7 +37,9 @@ from .common import bounded, in_arrow
 WINDOW = 1024
 SEPARATOR = 0
 TERM_BITS = 18
-SHARD_DOCS = 1500
+SHARD_DOCS = 2500
+MOST_TASKS = 1 << 20
+INDEX_BITS, SEQUENCE_BITS = 21, 22
 SHARD_BYTES = 1 << 26
 K1, B = 1.2, 0.75
 FIRST_RANKS = 32
@@ -61,10 +68,13 @@ def encoder(name: str = TOKENIZER, pattern: str = PATTERN):
 
 
 def _terms(words: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed terms of each row and their counts, with the bounds of the rows."""
-    term = (words >> tk.U(64 - TERM_BITS)).astype(np.int64)
-    both, counts = np.unique(row * (1 << TERM_BITS) + term, return_counts=True)
-    return both & ((1 << TERM_BITS) - 1), counts, np.searchsorted(both, np.arange(rows + 1) * (1 << TERM_BITS))
+    """Distinct terms of each row and their counts, with the bounds of the rows."""
+    both, counts = np.unique((row.astype(np.uint64) << tk.U(32)) | (words >> tk.U(32)), return_counts=True)
+    return (both & tk.U(0xFFFFFFFF)).astype(np.int64), counts, np.searchsorted(both, np.arange(rows + 1).astype(np.uint64) << tk.U(32))
+
+
+def _slots(terms: np.ndarray) -> np.ndarray:
+    return terms >> (32 - TERM_BITS)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +83,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in tk.chunks(batch.column(0)):
             words, row = tk.word_hashes(data, offsets)
-            np.add.at(df, _terms(words, row, b - a)[0], 1)
+            np.add.at(df, _slots(_terms(words, row, b - a)[0]), 1)
             n, total = n + b - a, total + len(words)
     used = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((used, [-1, -2])).astype(np.int32)), pa.array(np.concatenate((df[used], [n, total])))], ["term", "n"])
@@ -90,7 +100,7 @@ def _ids(texts: pa.Array) -> list[bytes]:
 def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]:
     """The order of a shard: each seed, then its best unused neighbours until its window is full.
 
-    docs: (tokens, words, terms, tf) by position.
+    docs: (tokens, words, terms, tf) by position; idf: by term.
     """
     n = len(docs)
     lengths = np.array([d[0] for d in docs])
@@ -100,13 +110,13 @@ def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]
     term = np.concatenate([d[2] for d in docs]).astype(np.int32) if n else np.zeros(0, np.int32)
     tf = np.concatenate([d[3] for d in docs]) if n else np.zeros(0)
     # A term of one document in the shard scores no other.
-    keep = np.bincount(term, minlength=1 << TERM_BITS)[term] > 1
+    keep = np.bincount(term, minlength=len(idf))[term] > 1
     asked = np.split(term[keep], np.cumsum(np.bincount(owner[keep], minlength=n))[:-1])
     owner, term, tf = owner[keep], term[keep], tf[keep]
     weight = idf[term] * tf * (K1 + 1) / (tf + norm[owner])
     by_term = np.argsort(term, kind="stable")
     owner, weight, term = owner[by_term], weight[by_term], term[by_term]
-    bounds = _bounds(term)
+    bounds = _bounds(term, len(idf))
     free, order, filled, seed, live = np.ones(n, bool), [], 0, 0, n
     while len(order) < n:
         while not free[seed]:
@@ -118,7 +128,7 @@ def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]
             # Half of the indexed documents are used: their postings go.
             keep, live = free[owner], n - len(order)
             owner, weight, term = owner[keep], weight[keep], term[keep]
-            bounds = _bounds(term)
+            bounds = _bounds(term, len(idf))
         starts = bounds[asked[seed]]
         sizes = bounds[asked[seed] + 1] - starts
         total = int(sizes.sum())
@@ -137,9 +147,40 @@ def _ordered(docs: list[tuple], idf: np.ndarray, mean_words: float) -> list[int]
     return order
 
 
-def _bounds(term: np.ndarray) -> np.ndarray:
+def _bounds(term: np.ndarray, terms: int) -> np.ndarray:
     """Where the postings of each term begin and end, in order of terms."""
-    return np.concatenate(([0], np.cumsum(np.bincount(term, minlength=1 << TERM_BITS))))
+    return np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms))))
+
+
+def _rarest(terms: np.ndarray, bounds: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest term of each row that another document seems to have too (else the rarest), and the next one; -1 for none."""
+    first, second = np.full(len(bounds) - 1, -1), np.full(len(bounds) - 1, -1)
+    filled = np.flatnonzero(np.diff(bounds))
+    if len(filled):
+        none = np.iinfo(np.int64).max
+        n = np.minimum(df[_slots(terms)], (1 << 29) - 1)
+        key = ((n < 2).astype(np.int64) << 61) + (n << 32) + terms
+        best = np.minimum.reduceat(key, bounds[filled])
+        first[filled] = best & 0xFFFFFFFF
+        key[key == np.repeat(best, np.diff(bounds)[filled])] = none
+        best = np.minimum.reduceat(key, bounds[filled])
+        second[filled] = np.where(best == none, -1, best & 0xFFFFFFFF)
+    return first, second
+
+
+def _shards(docs: list[int | None], first: np.ndarray, second: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The shard of each document: its rarest term, and where that is common a part that its next one decides."""
+    part = np.array([zlib.crc32(str(d).encode()) for d in docs], np.int64) & 0x3FFFFFFF  # for want of terms
+    parts = 1 + df[_slots(np.maximum(first, 0))] * 2 // SHARD_DOCS
+    dealt = (np.maximum(second, 0) * 0x9E3779B1 & 0x3FFFFFFF) % parts
+    return np.where(first < 0, -1 - part, (first << 30) + dealt)
+
+
+def _numbered(task: int, index: int, sequence: int) -> int:
+    """One number for a sequence of an index of a task."""
+    if task >= MOST_TASKS or index >= 1 << INDEX_BITS or sequence >= 1 << SEQUENCE_BITS:
+        raise OverflowError(f"sequence {sequence} of index {index} in task {task} has no number")
+    return ((task << INDEX_BITS) + index << SEQUENCE_BITS) + sequence
 
 
 def _ranked(scores: np.ndarray) -> Iterator[int]:
@@ -151,7 +192,7 @@ def _ranked(scores: np.ndarray) -> Iterator[int]:
         yield from part[np.lexsort((part, -scores[part]))].tolist()
 
 
-def _cut(tokens: list[int], shard: int) -> Iterator[tuple[int, int, int, int, int]]:
+def _cut(tokens: list[int], task: int, index: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents laid end to end."""
     total, sequence, base = sum(tokens), 0, 0
     rest = total % WINDOW
@@ -160,7 +201,7 @@ def _cut(tokens: list[int], shard: int) -> Iterator[tuple[int, int, int, int, in
         start = 0
         while start < n:
             size = min(n - start, limits[sequence] - base)
-            yield i, start, size, (shard << 32) + sequence, base
+            yield i, start, size, _numbered(task, index, sequence), base
             start, base = start + size, base + size
             if base == limits[sequence]:
                 sequence, base = sequence + 1, 0
@@ -177,7 +218,7 @@ def pack(docs: DataFrame) -> DataFrame:
     df[term[term >= 0]] = n[term >= 0]
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     stats = spark.sparkContext.broadcast((idf, df, n_words / max(n_docs, 1)))
-    shards = max(1, -(-n_docs // SHARD_DOCS))
+    shards = min(MOST_TASKS, max(1, -(-n_docs // SHARD_DOCS)))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, df, _ = stats.value
@@ -187,17 +228,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 words, row = tk.word_hashes(data, offsets)
                 terms, tf, bounds = _terms(words, row, rows)
                 docs, texts = batch.column(0).slice(a, rows), batch.column(1).slice(a, rows)
-                # The rarest term that another document has too, or else the rarest; -1 in a row without terms.
-                filled = np.flatnonzero(np.diff(bounds))
-                rarest = np.full(rows, -1)
-                if len(filled):
-                    key = ((df[terms] < 2).astype(np.int64) << 62) + (df[terms] << TERM_BITS) + terms
-                    rarest[filled] = np.minimum.reduceat(key, bounds[filled]) & ((1 << TERM_BITS) - 1)
-                shard = []
-                for doc, rare in zip(docs.to_pylist(), rarest.tolist(), strict=True):
-                    # Documents that share a common rarest term are dealt over as many shards as they fill.
-                    spread = zlib.crc32(str(doc).encode())
-                    shard.append(spread << TERM_BITS if rare < 0 else rare + (spread % (1 + int(df[rare]) * 2 // SHARD_DOCS) << TERM_BITS))
+                shard = _shards(docs.to_pylist(), *_rarest(terms, bounds, df), df)
                 postings = np.stack((terms, tf), axis=1).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -213,22 +244,25 @@ def pack(docs: DataFrame) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, held, size = TaskContext.get().partitionId() << 16, [], 0
+        task, index, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for doc, ids, n, postings in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                terms, tf = np.frombuffer(postings, "<u4").reshape(-1, 2).T.astype(np.int32)
+                terms, tf = np.frombuffer(postings, "<u4").reshape(-1, 2).T
                 held.append((doc, ids, n, terms, tf))
                 size += len(ids) + 8 * len(held[-1][3])
                 if len(held) == 2 * SHARD_DOCS or size >= SHARD_BYTES:
-                    yield from filled(held, shard)
-                    held, shard, size = [], shard + 1, 0
-        yield from filled(held, shard)
+                    yield from filled(held, task, index)
+                    held, index, size = [], index + 1, 0
+        yield from filled(held, task, index)
 
-    def filled(held: list[tuple], shard: int) -> Iterator[pa.RecordBatch]:
+    def filled(held: list[tuple], task: int, index: int) -> Iterator[pa.RecordBatch]:
         idf, _, mean = stats.value
-        order = _ordered([(len(ids) // 2, n, terms, tf) for _, ids, n, terms, tf in held], idf, mean)
+        # The terms of this index, numbered from 0.
+        every, local = np.unique(np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.uint32), return_inverse=True)
+        own = np.split(local, np.cumsum([len(h[3]) for h in held])[:-1]) if held else []
+        order = _ordered([(len(h[1]) // 2, h[2], terms, h[4].astype(np.int32)) for h, terms in zip(held, own, strict=True)], idf[_slots(every.astype(np.int64))], mean)
         rows = []
-        for i, start, size, sequence, offset in _cut([len(held[i][1]) // 2 for i in order], shard):
+        for i, start, size, sequence, offset in _cut([len(held[i][1]) // 2 for i in order], task, index):
             doc, ids = held[order[i]][:2]
             piece = ids[2 * start : 2 * (start + size)]
             rows.append((doc, start, size, zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes()), len(ids) // 2, sequence, offset, piece))

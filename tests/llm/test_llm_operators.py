@@ -495,6 +495,60 @@ def test_packing_asks_with_all_terms():
     assert packing._ordered(rows, idf, 60.0) == [0, 2, 3, 1]
 
 
+def bm25_by_hand(rows, idf, mean, window=packing.WINDOW, k1=1.2, b=0.75):
+    """The order of a shard with every score made anew from the counts of each document."""
+    tf = [dict(zip(terms.tolist(), counts.tolist(), strict=True)) for _, _, terms, counts in rows]
+    shared = {t for t in set().union(*tf) if sum(t in d for d in tf) > 1}
+    score = lambda q, d: sum(idf[t] * tf[d][t] * (k1 + 1) / (tf[d][t] + k1 * (1 - b + b * rows[d][1] / mean)) for t in sorted(tf[q]) if t in shared and t in tf[d])
+    left, order, filled = list(range(len(rows))), [], 0
+    while left:
+        seed = left.pop(0)
+        order.append(seed)
+        filled = (filled + rows[seed][0]) % window
+        room = window - filled
+        for s, d in sorted((-round(score(seed, d), 9), d) for d in left):
+            if s == 0:
+                break
+            left.remove(d)
+            order.append(d)
+            filled = (filled + rows[d][0]) % window
+            if rows[d][0] >= room:
+                break
+            room -= rows[d][0]
+    return order
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_order_is_that_of_bm25(seed):
+    rng = np.random.default_rng(seed)
+    idf = rng.uniform(0.5, 6, 200)
+    rows = []
+    for _ in range(120):
+        terms = np.sort(rng.choice(200, rng.integers(0, 25), replace=False))
+        rows.append((int(rng.integers(1, 700)), int(rng.integers(1, 60)), terms, rng.integers(1, 5, len(terms))))
+    assert packing._ordered(rows, idf, 30.0) == bm25_by_hand(rows, idf, 30.0)
+
+
+def test_packing_numbers_sequences_of_any_task():
+    last = packing.MOST_TASKS - 1
+    numbers = [s for task in (0, 1, 32_768, last) for index in (0, 1, (1 << packing.INDEX_BITS) - 1) for _, _, _, s, _ in packing._cut([3000, 5], task, index)]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 40 and 0 <= min(numbers) and max(numbers) < 1 << 63
+    with pytest.raises(OverflowError):
+        packing._numbered(packing.MOST_TASKS, 0, 0)
+
+
+def test_packing_deals_a_common_term_by_the_next_one():
+    df = np.full(1 << packing.TERM_BITS, 1_000_000)
+    terms, bounds = np.array([5 << 14, 9 << 14, 7 << 14, 9 << 14, 5 << 14, 8 << 14], np.int64), np.array([0, 2, 2, 4, 6])
+    df[9] = 4
+    first, second = packing._rarest(terms, bounds, df)
+    assert first.tolist() == [9 << 14, -1, 9 << 14, 5 << 14] and second.tolist() == [5 << 14, -1, 7 << 14, 8 << 14]
+    shards = packing._shards([1, 2, 3, 4], first, second, df)
+    assert shards[0] == shards[2] and shards[1] < 0 and len(set(shards.tolist())) == 3
+    common = packing._shards(list(range(1000)), np.full(1000, 5 << 14), np.arange(1000) % 10 << 14, df)
+    assert len(set(common.tolist())) == 10  # as many as there are next terms, however the ids run
+
+
 def test_packing_ranks_by_score_then_position():
     scores = np.random.default_rng(3).integers(0, 40, 300).astype(float)
     assert list(packing._ranked(scores)) == sorted(np.flatnonzero(scores).tolist(), key=lambda i: (-scores[i], i))
@@ -504,8 +558,8 @@ def test_packing_documents_meet_at_their_rarest_shared_word(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCS", 8)
     rows = [(2 * k + j, f"shared{k} {prose(k, 20)} only{k}x{j} once{j}y{k}") for k in range(64) for j in range(2)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    # A row in 16 bits of its partition: documents of one task meet in one index.
-    tasks = {p.doc_id: p.sequence_id >> 48 for p in got}
+    # Documents of one task meet in one index.
+    tasks = {p.doc_id: p.sequence_id >> packing.INDEX_BITS + packing.SEQUENCE_BITS for p in got}
     assert len(tasks) == 128 and len(set(tasks.values())) > 8
     assert np.mean([tasks[2 * k] == tasks[2 * k + 1] for k in range(64)]) > 0.95
 
