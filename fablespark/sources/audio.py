@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .staging import qualified
+
 BLOCK_FRAMES = 1 << 16
 PART_BYTES = 1 << 25
 SCHEMA = "path string, block long, frame long, frames long, rate int, channels int, width int, samples array<int>"
@@ -225,7 +227,7 @@ def register(spark: SparkSession) -> None:
 
 def read_wav(spark: SparkSession, folder: str, block_frames: int = BLOCK_FRAMES, skip_broken: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("wav").option("blockFrames", block_frames).option("skipBroken", skip_broken).load(folder)
+    return spark.read.format("wav").option("blockFrames", block_frames).option("skipBroken", skip_broken).load(qualified(spark, folder))
 
 
 def write_wav(rows: DataFrame, folder: str) -> None:
@@ -235,7 +237,7 @@ def write_wav(rows: DataFrame, folder: str) -> None:
     frames = rows.groupBy("path").agg((F.sum(F.coalesce(F.size("samples"), F.lit(0)) / F.col("channels"))).cast("long").alias("frames"))
     whole = rows.drop("frames").join(frames, "path").repartition("path").sortWithinPartitions("path", order)
     place = [F.col("block" if "block" in rows.columns else order).cast("long").alias("block"), F.col(order).cast("long").alias("frame")]
-    whole.select("path", *place, "frames", *[F.col(c).cast("int").alias(c) for c in ("rate", "channels", "width")], "samples").write.format("wav").mode("append").save(folder)
+    whole.select("path", *place, "frames", *[F.col(c).cast("int").alias(c) for c in ("rate", "channels", "width")], "samples").write.format("wav").mode("append").save(qualified(rows.sparkSession, folder))
 
 
 def segment_path(index: Column | str, extension: str = "wav") -> Column:

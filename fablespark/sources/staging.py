@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark itself would take for it, so that tasks open the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back, for plans that read it more than once."""
     path = f"{shared_folder(df.sparkSession)}/fable-{name}-{uuid.uuid4().hex}"
