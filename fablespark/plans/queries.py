@@ -672,4 +672,4 @@ def chapter_report(spark, sf_dir):
     return narration.chapter_report(rows, ["doc_id"])
 
 
-from . import files, marked, more, ordered  # noqa: E402, F401  (register their queries in the tables above)
+from . import files, marked, more, ordered, spoken  # noqa: E402, F401  (register their queries in the tables above)
