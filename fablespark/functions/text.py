@@ -45,9 +45,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: All Unicode white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at either end, Unicode spaces included."""
-    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(text), F.lit(SPACES))
 
 
 def collapse(text: Column | str) -> Column:

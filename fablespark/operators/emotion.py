@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import scans
 
 # Fixed values, all tables down to BASE_SPEEDS: keywords by emotion, in the order that breaks ties;
 # words and patterns of narrative types; relations, pauses, speeds and tones of emotions.
@@ -37,7 +39,6 @@ COMPATIBLE = {
 OPPOSITE = (("joy", "sadness"), ("anger", "tenderness"), ("fear", "joy"), ("excitement", "sadness"))
 TRANSITION_PAUSES = {"smooth": 0.2, "gradual": 0.4, "sudden": 0.6, "dramatic": 0.8, "resolution": 0.5}
 TRANSITION_SPEEDS = {"excitement": 1.1, "anger": 1.05, "sadness": 0.92, "tenderness": 0.95, "suspense": 0.88}
-REACH = 48
 ADJECTIVES = r"(?U)\b\w+(?:e|eux|euse|ant|ent)s?\b.*?\b\w+(?:e|eux|euse|ant|ent)s?\b"
 LEVELS = ("low", "medium", "high", "extreme")
 TONES = {"joy": "joyeux", "sadness": "melancolique", "anger": "tendu", "fear": "angoissant", "suspense": "haletant", "tenderness": "tendre", "excitement": "exaltant", "neutral": "neutre"}
@@ -150,19 +151,25 @@ def transitions(df: DataFrame, partition: list[str], order: str) -> DataFrame:
 def smoothed(df: DataFrame, partition: list[str], order: str, columns: list[str], factor: float = 0.3, speed: str | None = None) -> DataFrame:
     """Each column blended with the smoothed value of the row before, factor for the latter.
 
-    speed: a column by which each result is multiplied before the next row sees it. What is further
-    back than REACH rows weighs less than a double can tell, so a window of REACH rows is exact and
-    a long partition needs no array of all its rows.
+    speed: a column by which each result is multiplied before the next row sees it. A null value stays null and
+    the next one begins anew. Rows are folded in order with one number a column as the state, so every factor is
+    exact and a long partition needs no array of its rows.
     """
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(-REACH, 0)
-    by = F.col(speed) if speed else F.lit(1.0)
 
-    def fold(c: str) -> Column:
-        rows = F.collect_list(F.struct(F.col(c).cast("double").alias("x"), by.cast("double").alias("by"))).over(w)
-        blend = lambda before, row: F.coalesce(row["x"] * (1 - factor) + before * factor, row["x"]) * row["by"]
-        return F.aggregate(rows, F.lit(None).cast("double"), blend)
-
-    return df.select("*", *[fold(c).alias(f"{c}_smooth") for c in columns])
+    def step(state: scans.State, part: pa.RecordBatch) -> tuple[scans.State, dict[str, pa.Array]]:
+        before, new = list(state or [None] * len(columns)), {}
+        by = part.column("_by").to_pylist()
+        for i, c in enumerate(columns):
+            now, out = before[i], []
+            for x, m in zip(part.column(f"_x_{c}").to_pylist(), by, strict=True):
+                now = None if x is None or m is None else (x if now is None else x * (1 - factor) + now * factor) * m
+                out.append(now)
+            before[i], new[f"{c}_smooth"] = now, pa.array(out, pa.float64())
+        return before, new
+
+    ready = df.withColumns({"_by": (F.col(speed) if speed else F.lit(1.0)).cast("double"), **{f"_x_{c}": F.col(c).cast("double") for c in columns}})
+    done = scans.folded(ready, partition, [order], step, **{f"{c}_smooth": "double" for c in columns})
+    return done.drop("_by", *[f"_x_{c}" for c in columns])
 
 
 def continued(df: DataFrame, partition: list[str], order: str) -> DataFrame:
