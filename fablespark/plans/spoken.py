@@ -1,10 +1,12 @@
-"""Named queries of dialogue in running text."""
+"""Named queries of dialogue in running text, scripts and the prosody of styles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dialogues
+from ..functions import prosody as P
+from ..functions import text as T
+from ..operators import conversation, dialogues
 from .queries import query, table
 
 #: What follows a turn in quotation marks, by (conversation + turn) % 7; a turn of a key below 2 has no quote.
@@ -76,3 +78,115 @@ def narrated_dialogue(spark, sf_dir):
     told = _told(spark, sf_dir).where(F.trim(F.translate("text", '«»"“” ', "")) != "")
     rows = dialogues.narrated(told, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", "seg_idx", F.md5("segment").alias("digest"), "speaker", "is_dialogue")
+
+
+#: Every line of a document as a line of a script, by its place % 5: four ways to name a speaker, and one that goes on.
+_BARE = "*:()[]"
+
+
+def _scripts(spark, sf_dir):
+    lines = F.filter(F.transform(F.split(F.translate("text", _BARE, ""), "\n"), T.strip), lambda x: x != "")
+    put = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+
+    def named(x, i):
+        k = i % 5
+        return F.when(k == 0, put("MARIE: ", x)).when(k == 1, put("**Paul:** ", x)).when(k == 3, put("HUGO. - ", x, " (il rit) [ferme]")).when(k == 4, put("(Anna) [Excited] ", x)).otherwise(x)
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(lines, named), "\n").alias("text"))
+
+
+_SCRIPTS_SQL = rf"""l AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(translate(text, '{_BARE}', ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS a FROM documents)),
+g AS (SELECT doc_id, i - CASE WHEN i % 5 = 2 THEN 1 ELSE 0 END AS first, string_agg(x, ' ' ORDER BY i) AS t FROM l GROUP BY ALL),
+s AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS line_idx, first % 5 AS k, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM g)"""
+
+
+@query(
+    "script_conversation",
+    rf"""WITH {_SCRIPTS_SQL} SELECT doc_id, line_idx, CASE k WHEN 0 THEN 'MARIE' WHEN 1 THEN 'Paul' WHEN 3 THEN 'HUGO' ELSE 'Anna' END AS speaker, md5(t) AS digest, CASE k WHEN 4 THEN 'excited' END AS emotion,
+  CASE k WHEN 3 THEN 'il rit; ferme' ELSE '' END AS direction, CASE k WHEN 0 THEN 'ff_siwis' WHEN 1 THEN 'am_adam' WHEN 3 THEN 'fm_hugo' ELSE 'fm_florian' END AS voice, CASE k WHEN 1 THEN 1.2 ELSE 1.0 END::DOUBLE AS speed FROM s""",
+)
+def script_conversation(spark, sf_dir):
+    config = spark.createDataFrame([("MARIE", "female", None, None, None), ("Paul", "male", "am_adam", 1.2, None), ("HUGO", "male", None, None, -1.0), ("Nobody", "male", None, None, None)], conversation.CONFIG)
+    rows = conversation.conversation(_scripts(spark, sf_dir), ["doc_id"], config)
+    return rows.select("doc_id", "line_idx", "speaker", F.md5("text").alias("digest"), "emotion", "direction", "voice", "speed")
+
+
+@query(
+    "script_formats",
+    r"""WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'JEAN: ' WHEN 1 THEN 'Jean le grand: ' WHEN 2 THEN '**Jean:** ' WHEN 3 THEN 'JEAN. - ' WHEN 4 THEN '(Jean) ' ELSE '' END || translate(text, '*:()', '') AS text, (conv_id + turn) % 6 AS k FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'script' WHEN 1 THEN 'script_lower' WHEN 2 THEN 'markdown' WHEN 3 THEN 'theatre' WHEN 4 THEN 'parentheses' ELSE 'unknown' END AS format FROM t""",
+)
+def script_formats(spark, sf_dir):
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    mark = F.element_at(F.array(*map(F.lit, ("JEAN: ", "Jean le grand: ", "**Jean:** ", "JEAN. - ", "(Jean) ", ""))), (k + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(mark, F.translate("text", "*:()", "")).alias("text"))
+    return rows.select("conv_id", "turn", conversation.script_format("text").alias("format"))
+
+
+@query(
+    "script_participants",
+    rf"""WITH {_SCRIPTS_SQL}, n AS (SELECT doc_id, CASE k WHEN 0 THEN 'MARIE' WHEN 1 THEN 'Paul' WHEN 3 THEN 'HUGO' ELSE 'Anna' END AS speaker, count(*) AS n, min(line_idx) AS first, sum(len(list_filter(string_split(t, ' '), lambda w: w <> ''))) AS words FROM s GROUP BY ALL)
+SELECT doc_id, sum(n)::BIGINT AS lines, count(*) AS participants, sum(words)::BIGINT AS words, arg_min(speaker, first - n * 1000000) AS most FROM n GROUP BY doc_id""",
+)
+def script_participants(spark, sf_dir):
+    rows = conversation.conversation(_scripts(spark, sf_dir), ["doc_id"], spark.createDataFrame([], conversation.CONFIG))
+    return conversation.statistics(rows, ["doc_id"]).select("doc_id", "lines", "participants", "words", F.get("by_speaker", F.lit(0))["speaker"].alias("most"))
+
+
+_SHARE = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0)::DOUBLE"
+_STYLES_SQL = "p AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(map(str, v[:10]))}, {str(v[10]).lower()})" for k, v in P.STYLE_PROFILES.items()) + ") AS t(style, s0, p0, v0, sv, pv, vv, factor, sentence, paragraph, strength, varies))"
+_NAMES = tuple(P.STYLE_PROFILES)
+
+
+def _vary(name: str, size: str) -> str:
+    return f"CASE WHEN varies THEN (2 * {_SHARE.format(f"event_id || ':{name}'")} - 1) * {size} ELSE 0 END"
+
+
+@query(
+    "styled_prosody",
+    f"""WITH {_STYLES_SQL}, e AS (SELECT event_id, value / 97.3 AS x, (['formal', 'conversational', 'dramatic', 'storytelling', 'documentary', 'intimate', 'energetic'])[event_id % 7 + 1] AS style, (['sentence', 'paragraph', 'comma', 'breath', 'dramatic'])[event_id % 5 + 1] AS kind FROM events)
+SELECT event_id, round(greatest(0.5, least(1.5, (0.9 + x / 5) * s0 + {_vary("speed", "sv")})), 5)::DOUBLE AS speed, round(greatest(-3.0, least(3.0, p0 + x * 5 + {_vary("pitch", "pv")})), 5)::DOUBLE AS pitch, round(greatest(0.3, least(1.5, v0 + {_vary("volume", "vv")})), 5)::DOUBLE AS volume,
+  round(CASE kind WHEN 'paragraph' THEN paragraph WHEN 'comma' THEN sentence * 0.5 WHEN 'breath' THEN 0.3 WHEN 'dramatic' THEN sentence * 2 ELSE sentence END * factor * CASE WHEN varies THEN 0.9 + 0.2 * {_SHARE.format("event_id || ':pause'")} ELSE 1 END, 5)::DOUBLE AS pause FROM e JOIN p USING (style)""",
+)
+def styled_prosody(spark, sf_dir):
+    k, x = F.col("event_id"), F.col("value") / 97.3
+    style = F.element_at(F.array(*map(F.lit, _NAMES)), (k % 7 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("sentence", "paragraph", "comma", "breath", "dramatic"))), (k % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", P.styled(style, 0.9 + x / 5, x * 5, F.lit(1.0), k).alias("p"), P.style_pause(kind, style, k).alias("pause"))
+    return rows.select("event_id", *[F.round(f"p.{n}", 5).alias(n) for n in ("speed", "pitch", "volume")], F.round("pause", 5).alias("pause"))
+
+
+@query(
+    "exaggerated_prosody",
+    """WITH k AS (SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS x, (['joy', 'sad', 'anger', 'fear', 'surprise', 'tender', 'excitement', 'calm'])[event_id % 8 + 1] AS e FROM events), s AS (SELECT *, least(floor(x * 4), 3)::INT AS i, x * 4 - least(floor(x * 4), 3) AS r FROM k),
+a AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]})" for k, v in P.EXAGGERATIONS.items())
+    + """) AS t(e, d0, d1, d2))
+SELECT event_id, """
+    + ", ".join(f"round({base} {op} (([{a}])[i + 1] + (([{a}])[i + 2] - ([{a}])[i + 1]) * r + 1.5 * coalesce(d{j}, 0)), 5)::DOUBLE AS {n}" for j, (n, a, base, op) in enumerate((("speed", "1.0, 1.02, 1.05, 1.1, 1.2", "1.1", "*"), ("pitch", "0.0, 0.1, 0.2, 0.35, 0.5", "0.2", "+"), ("volume", "1.0, 1.02, 1.05, 1.1, 1.15", "0.9", "*"))))
+    + " FROM s LEFT JOIN a USING (e)",
+)
+def exaggerated_prosody(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, (*P.EXAGGERATIONS, "calm"))), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", P.exaggerated(F.col("value") / 100, kind, 1.5, 1.1, 0.2, 0.9).alias("p"))
+    return rows.select("event_id", *[F.round(f"p.{n}", 5).alias(n) for n in ("speed", "pitch", "volume")])
+
+
+@query(
+    "humanised_pauses",
+    f"""SELECT event_id, round(CASE WHEN value > 20 THEN value / 100 * greatest(0.85, least(1.15, 1 + 0.05 * sqrt(-2 * ln(1 - {_SHARE.format("user_id || ':' || event_id || ':u'")})) * cos(2 * pi() * {_SHARE.format("user_id || ':' || event_id || ':v'")}))) ELSE 0 END, 6)::DOUBLE AS pause FROM events""",
+)
+def humanised_pauses(spark, sf_dir):
+    pause = F.when(F.col("value") > 20, F.col("value") / 100).otherwise(0.0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(P.humanised_pause(pause, F.col("user_id"), F.col("event_id")), 6).alias("pause"))
+
+
+@query(
+    "emphasis_pauses",
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(replace(text, ' on ', ' or '), '\s+|\S+') AS t FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(t, lambda w, i: CASE WHEN i > 1 AND list_contains(["""
+    + ", ".join(f"'{w}'" for w in T.EMPHASIS_WORDS)
+    + r"""], trim(lower(w), '.,;:!?"''«»')) THEN ' [pause:0.05]' || w ELSE w END), '')) AS digest FROM t""",
+)
+def emphasis_pauses(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.emphasis_pauses(F.replace("text", F.lit(" on "), F.lit(" or ")))).alias("digest"))
