@@ -69,3 +69,12 @@ def _lined(html: Column) -> Column:
 
 def _closed_up(text: Column) -> Column:
     return T.strip(T.chain(text, ((r"\n{3,}", "\n\n"), (" +", " "))))
+
+
+def page_markdown(html: Column | str) -> Column:
+    """A page as Markdown: headings of level n with n + 1 signs (one is the book's title), paragraphs with an empty line after them."""
+    out = F.regexp_replace(T.col(html), UNSEEN, "")
+    for level in range(1, 5):
+        out = F.regexp_replace(out, rf"(?is)<h{level}\b{REST}(.*?)</h{level}\s*>", f"\n{'#' * (level + 1)} $1\n")
+    steps = ((r"(?i)</p\s*>", "\n\n"), (rf"</?[a-zA-Z]{REST}|</[^a-zA-Z][^>]*>", ""))
+    return F.regexp_replace(unescaped(T.chain(out, steps)), r"\n{3,}", "\n\n")

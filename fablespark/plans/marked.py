@@ -135,3 +135,14 @@ SELECT page_id, length(h)::INT AS n_chars, md5(h) AS digest, (length(h) - length
 def page_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", html.page_lines("html").alias("t"))
     return rows.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"), (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("n_breaks"))
+
+
+@query(
+    "page_markdown",
+    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script[^>]*>|<style\b[^>]*>.*?</style[^>]*>|<[!?][^>]*>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', E'\n## \\1\n', 'g'), '(?is)<h2\b[^>]*>(.*?)</h2\s*>', E'\n### \\1\n', 'g'), '(?is)<h3\b[^>]*>(.*?)</h3\s*>', E'\n#### \\1\n', 'g'), '(?is)<h4\b[^>]*>(.*?)</h4\s*>', E'\n##### \\1\n', 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</p\s*>', E'\n\n', 'g'), '<[^>]+>', '', 'g') AS h FROM b)
+SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&amp;', '&'), '\n{3,}', E'\n\n', 'g')) AS digest FROM c""",
+)
+def page_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(html.page_markdown("html")).alias("digest"))

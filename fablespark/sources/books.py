@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from ..functions import html
 from ..functions import text as T
 from ..operators import segments
 
@@ -77,3 +78,75 @@ def audio_library(spark: SparkSession, path: str, extensions: tuple[str, ...] =
         .select(F.when(parent == root, stem).otherwise(F.concat_ws(" - ", parent, stem)).alias("title"), "path", F.col("length").alias("size"), "modificationTime")
         .orderBy(F.desc("modificationTime"), "path")
     )
+
+
+def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The title in the package file of each zipped book; null without one."""
+    for batch in batches:
+        titles = []
+        for content in batch.column(1).to_pylist():
+            with zipfile.ZipFile(io.BytesIO(content)) as book:
+                packages = [book.read(n).decode("utf-8", "ignore") for n in sorted(book.namelist()) if n.lower().endswith(".opf")]
+            found = next((m[1] for p in packages if (m := re.search(r"<dc:title[^>]*>([^<]*)</dc:title>", p, re.I))), None)
+            titles.append(found and found.strip())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string())], ["book_id", "title"])
+
+
+def epub_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """book_id, number, markdown of EPUB files: a row for each content page in order, and as number 0 the book's title if it has one.
+
+    Joined in order with lines of three stars between them, a book's rows are its Markdown file.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+    pages = files.mapInArrow(_members, "book_id string, number int, member string, html string").select("book_id", "number", html.page_markdown("html").alias("markdown"))
+    titles = files.mapInArrow(_titles, "book_id string, title string").where("title <> ''")
+    return titles.select("book_id", F.lit(0).alias("number"), F.concat(F.lit("# "), html.unescaped("title"), F.lit("\n")).alias("markdown")).unionByName(pages)
+
+
+def as_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """book_id, number, markdown of all books of a folder: .md and .txt files as they are, EPUB files page by page.
+
+    Files of other kinds are an error that names the first of them.
+    """
+    files = spark.read.format("binaryFile").load(folder).select("path")
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    other = files.where(~kind.isin("md", "txt", "epub")).agg(F.min("path")).first()[0]
+    if other:
+        raise ValueError(f"no reader for {other}")
+    plain = spark.read.option("pathGlobFilter", "*.{md,txt,MD,TXT}").text(folder, wholetext=True)
+    return plain.select(F.col("_metadata.file_path").alias("book_id"), F.lit(1).alias("number"), F.col("value").alias("markdown")).unionByName(epub_markdown(spark, folder))
+
+
+def book(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
+    """book_id, number, title, content of whatever is at path: a folder of Markdown files, an EPUB file, or a Markdown file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return markdown_directory(spark, path).select("book_id", "number", "title", "content")
+    return epub(spark, path) if path.lower().endswith(".epub") else markdown(spark, path, level).select("book_id", "number", "title", "content")
+
+
+VOICE = t.StructType().add("name", "string").add("source_audio", "string").add("language", "string").add("description", "string").add("duration_seconds", "double")
+
+
+def cloned_voices(spark: SparkSession, folder: str) -> DataFrame:
+    """name, source_audio, language, description, duration_seconds of the sidecars *_meta.json of a folder; files that are
+    no JSON, or lack a name or its audio, are left out."""
+    files = spark.read.option("pathGlobFilter", "*_meta.json").text(folder, wholetext=True)
+    rows = files.select(F.from_json("value", VOICE).alias("v")).select("v.*").where("name is not null and source_audio is not null")
+    return rows.fillna({"language": "fr", "description": "", "duration_seconds": 0.0})
+
+
+def settings(spark: SparkSession, path: str, schema: t.StructType, defaults: dict) -> DataFrame:
+    """One row for each JSON file of settings at path, fields that are missing or null taking their defaults; other fields are ignored."""
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("s")).select("s.*")
+    return files.select(*[F.coalesce(F.col(f.name), F.lit(defaults[f.name]).cast(f.dataType)).alias(f.name) if f.name in defaults else F.col(f.name) for f in schema])
+
+
+def pronunciations(spark: SparkSession, path: str) -> DataFrame:
+    """kind (correction or phoneme), key, replacement of a pronunciation file {corrections: {k: v}, phonemes: {words: {k: {ipa: v}}}}."""
+    raw = spark.read.text(path, wholetext=True)
+    plain = raw.select(F.explode(F.from_json(F.get_json_object("value", "$.corrections"), "map<string,string>")).alias("key", "replacement"))
+    word = F.coalesce(F.get_json_object("value", "$.phonemes.words"), F.get_json_object("value", "$.words"), F.get_json_object("value", "$.phonemes"))
+    spoken = raw.select(F.explode(F.from_json(word, "map<string,string>")).alias("key", "entry"))
+    ipa = F.coalesce(F.get_json_object("entry", "$.ipa"), F.when(~F.startswith("entry", F.lit("{")), F.col("entry")))
+    return plain.select(F.lit("correction").alias("kind"), "key", "replacement").unionByName(spoken.select(F.lit("phoneme").alias("kind"), "key", ipa.alias("replacement")))
