@@ -115,3 +115,24 @@ def emphasis_pauses(text: Column | str, seconds: float = EMPHASIS_PAUSE) -> Colu
     """A pause before each word of emphasis but one that begins the text."""
     edge = r"""[.,;:!?"'«»]*"""
     return F.regexp_replace(T.col(text), rf"(?iuU)(?<=\s)({edge}(?:{'|'.join(T.EMPHASIS_WORDS)}){edge})(?=\s|\z)", f" [pause:{seconds}]$1")
+
+
+# How strong an intensity is, what voice an emotion mixes in and how much of it, and its steps of speed and pitch for each level of intensity.
+STRENGTHS = {"low": 0.2, "medium": 0.5, "high": 0.8, "extreme": 1.0}
+BLENDS = {"anger": ("am_adam", 0.3), "sadness": ("af_bella", 0.25), "fear": ("af_sky", 0.3), "joy": ("af_nicole", 0.2), "excitement": ("af_nicole", 0.2), "suspense": ("am_michael", 0.15)}
+MODIFIERS = {"anger": (1.0, 0.05, 0.0), "fear": (1.0, 0.08, 0.2), "sadness": (1.0, -0.05, -0.1), "joy": (1.0, 0.05, 0.15), "suspense": (0.9, -0.03, 0.0)}
+
+
+def blended_voice(voice: Column | str, emotion: Column | str, intensity: Column | str) -> Column:
+    """The voice, or a mix "voice:0.85,other:0.15" with the voice that stands for an emotion, the more the stronger it is."""
+    v, e = T.col(voice), T.col(emotion)
+    weight = T.lookup(e, {k: w for k, (_, w) in BLENDS.items()}, 0.0) * T.lookup(T.col(intensity), STRENGTHS, 0.5)
+    other = F.create_map(*[F.lit(x) for k, (o, _) in BLENDS.items() for x in (k, o)])[e]
+    return F.when(other.isNull() | (other == v), v).otherwise(F.format_string("%s:%.2f,%s:%.2f", v, 1 - weight, other, weight))
+
+
+def emotion_modifiers(emotion: Column | str, intensity: Column | str) -> Column:
+    """struct(speed, pitch): what an emotion does at a level of intensity, 1 to 4."""
+    e, level = T.col(emotion), T.lookup(T.col(intensity), {k: i + 1.0 for i, k in enumerate(STRENGTHS)}, 2.0)
+    part = lambda i, default: T.lookup(e, {k: v[i] for k, v in MODIFIERS.items()}, default)
+    return F.struct((part(0, 1.0) + part(1, 0.0) * level).alias("speed"), (part(2, 0.0) * level).alias("pitch"))

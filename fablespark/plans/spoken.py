@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import prosody as P
 from ..functions import text as T
 from ..operators import conversation, dialogues
-from .queries import query, table
+from . import extended
+from .queries import EMOTIONS_SQL, _emotions, query, table
 
 #: What follows a turn in quotation marks, by (conversation + turn) % 7; a turn of a key below 2 has no quote.
 _AFTER = (", dit Marie.", " Un silence passa ici.", ", murmura Paul.", " - demanda-t-elle.", "", " - demanda-t-il, puis Odette cria.", " ajouta-t-il.")
@@ -190,3 +191,25 @@ SELECT doc_id, md5(array_to_string(list_transform(t, lambda w, i: CASE WHEN i >
 )
 def emphasis_pauses(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.emphasis_pauses(F.replace("text", F.lit(" on "), F.lit(" or ")))).alias("digest"))
+
+
+@query(
+    "blended_voices",
+    f"""WITH {EMOTIONS_SQL}, b AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{o}', {w})" for k, (o, w) in P.BLENDS.items())}) AS t(emotion, other, w)), m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {a}, {s}, {p})" for k, (a, s, p) in P.MODIFIERS.items())}) AS t(emotion, base, step, pitch)),
+l AS (SELECT event_id, emotion, (['ff_siwis', 'am_adam', 'af_nicole'])[event_id % 3 + 1] AS voice, list_position(['low', 'medium', 'high', 'extreme'], intensity) AS n FROM e),
+w AS (SELECT *, w * ([0.2, 0.5, 0.8, 1.0])[n] AS weight FROM l LEFT JOIN b USING (emotion))
+SELECT event_id, CASE WHEN other IS NULL OR other = voice THEN voice ELSE voice || ':' || printf('%.2f', (1 - weight)::DOUBLE) || ',' || other || ':' || printf('%.2f', weight::DOUBLE) END AS mix, round(coalesce(base + step * n, 1), 4)::DOUBLE AS speed, round(coalesce(pitch * n, 0), 4)::DOUBLE AS pitch FROM w LEFT JOIN m USING (emotion)""",
+)
+def blended_voices(spark, sf_dir):
+    voice = F.element_at(F.array(*map(F.lit, ("ff_siwis", "am_adam", "af_nicole"))), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = _emotions(spark, sf_dir).select("event_id", P.blended_voice(voice, "emotion", "intensity").alias("mix"), P.emotion_modifiers("emotion", "intensity").alias("m"))
+    return rows.select("event_id", "mix", F.round("m.speed", 4).alias("speed"), F.round("m.pitch", 4).alias("pitch"))
+
+
+@query("extended_plan")
+def extended_plan(spark, sf_dir):
+    """Every document with all of the plan's steps, rare words of the benchmark corrected."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("key")).where(F.length("key") >= 9)
+    entries = words.select(F.lower("key").alias("key")).distinct().withColumn("replacement", F.initcap("key"))
+    rows = extended.extended(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", entries)
+    return rows.select("doc_id", "sent_idx", "style", "clause", "contour", "voice", "has_emphasis", "breath_before", *[F.round(c, 4).alias(c) for c in ("speed", "pitch", "volume", "human_before", "human_after")])

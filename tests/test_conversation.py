@@ -87,3 +87,26 @@ def test_emphasis_pauses(spark):
     want = ["Jamais il ne vit  [pause:0.05]rien.", "mais  [pause:0.05]mais  [pause:0.05]mais", "un   [pause:0.05]jamais, «  [pause:0.05]Soudain » orage  [pause:0.05]or", "", "\t [pause:0.05]jamais"]
     got = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", P.emphasis_pauses("t").alias("p")).orderBy("i").collect()
     assert [x.p for x in got] == want
+
+
+def test_extended_plan(spark):
+    from fablespark.functions import text as T
+    from fablespark.operators import breaths
+    from fablespark.plans import extended, narration
+
+    told = "Il marchait dans la nuit. Soudain un bruit étrange ! « Qui va là ? » Rien, jamais rien ne répondit. [whispers] Il avait peur... API. " * 5
+    chapters = spark.createDataFrame([(1, told), (2, "Fin."), (3, "")], "c int, content string")
+    entries = spark.createDataFrame([("API", "A P I")], "key string, replacement string")
+    got = {(r.c, r.sent_idx): r for r in extended.extended(chapters, ["c"], entries=entries).collect()}
+    base = narration.narrated(chapters.withColumn("content", F.regexp_replace("content", "API", "A P I")), ["c"])
+    plain = {(r.c, r.sent_idx): r for r in base.collect()}
+    assert got.keys() == plain.keys() and {c for c, _ in got} == {1, 2}
+    markers = {(r.c, r.sent_idx): r.breath_before for r in breaths.breath_markers(base.withColumn("words", T.word_count("sentence")), ["c"], "sent_idx").collect()}
+    for k, r in got.items():
+        p = plain[k]
+        assert (r.sentence, r.emotion, r.final_speed, r.start_time) == (p.sentence, p.emotion, p.final_speed, p.start_time)
+        assert r.breath_before == markers[k] and r.has_emphasis == ("[pause:0.05]" in r.spoken) and r.clause in T.CLAUSE_SPEEDS
+        assert 0.85 * p.pause_before - 1e-9 <= r.human_before <= 1.15 * p.pause_before + 1e-9 and 0.5 <= r.speed <= 1.5
+        assert r.voice == "ff_siwis" or r.voice.startswith("ff_siwis:")
+    assert any(r.has_emphasis for r in got.values()) and any(r.breath_before for r in got.values()) and any("A P I" in r.sentence for r in got.values())
+    assert {r.style for r in extended.extended(chapters, ["c"], style="formal").collect()} == {"formal"}
