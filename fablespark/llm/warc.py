@@ -9,7 +9,7 @@ Files are rolled at FILE_BYTES of records, and each is written under a temporary
 so a task that is run again replaces its files with the same bytes. Folders are opened through
 pyarrow's file systems by URI.
 
-Edge cases: a null html is an empty payload; repeated page_ids are all written, and every row
+Edge cases: a null html is an empty payload; a page longer than FILE_BYTES ends its file; repeated page_ids are all written, and every row
 with the largest page_id of its payload is a response; a null page_id neither refers nor is
 referred to; a payload below min_payload bytes is never a revisit; an empty table writes no
 file and reads back as no rows; columns other than page_id, url and html are ignored.
@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import qualified
 from .common import bounded, in_arrow, shared_dir, staged
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -35,6 +36,7 @@ FILE_BYTES = 1 << 24
 DICTIONARY_BYTES = 1 << 14
 SAMPLE_BYTES = 1 << 19
 LEVEL = 3
+READ_BYTES = 1 << 11
 DATE = "2024-01-01T00:00:00Z"  # records carry no wall clock: the same rows give the same bytes
 
 
@@ -74,17 +76,26 @@ def archive(records: list[bytes]) -> Iterator[bytes]:
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and body of each record of an archive."""
-    raw = b""
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
-        size = struct.unpack_from("<I", data, 4)[0]
-        raw, data = data[8 : 8 + size], memoryview(data)[8 + size :]
+    """Header fields (lower-case names) and body of each record of an archive.
+
+    A frame is fed to its decompressor in pieces that grow from READ_BYTES, so what lies behind it is looked at only
+    once, however many records a file holds.
+    """
+    view, at, raw = memoryview(data), 0, b""
+    if len(view) >= 8 and struct.unpack_from("<I", view)[0] == DICTIONARY_MAGIC:
+        size = struct.unpack_from("<I", view, 4)[0]
+        raw, at = bytes(view[8 : 8 + size]), 8 + size
     expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdDecompressor()
-    while len(data):
-        one = expand.decompressobj()
-        text = one.decompress(data)
-        data = one.unused_data
-        head, _, rest = text.partition(b"\r\n\r\n")
+    while at < len(view):
+        one, parts, step = expand.decompressobj(), [], READ_BYTES
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            piece = view[at : at + step]
+            parts.append(one.decompress(piece))
+            at, step = at + len(piece), 2 * step
+        at -= len(one.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         fields = {k.lower(): v for k, v in fields.items()}
         yield fields, rest[: int(fields["content-length"])]
@@ -93,11 +104,12 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
     """Write pages as archives into folder; rows (file, records, bytes) for what was written."""
+    folder = qualified(pages.sparkSession, folder)  # the place that Spark itself takes for it, also for a path without a scheme
     full = F.coalesce(F.col("html"), F.lit(""))
     rows = bounded(pages).select(F.col("page_id").cast("long"), "url", full.alias("html"))
     digests = staged(rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("size")), "digests")

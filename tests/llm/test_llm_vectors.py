@@ -233,3 +233,23 @@ def test_quality_tables_have_pairs():
     again = quality.Model()
     again.fit(x[shuffled], y[shuffled])
     assert np.allclose(model.score(x), again.score(x))
+
+
+def test_archives_are_read_in_linear_time():
+    """Every byte behind a record is looked at once, not once a record."""
+    import time
+
+    from fablespark.llm import warc
+
+    def seconds(n):
+        records = [warc.record(i, f"http://h/{i}", b"body %d " % i * 20, "X", None) for i in range(n)]
+        data = b"".join(warc.archive(records))
+        start = time.perf_counter()
+        assert [f["warc-record-id"] for f, _ in warc.records_of(data)] == [f"<urn:page:{i}>" for i in range(n)]
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(24_000) < 12 * seconds(4_000) + 0.2
+    whole = b"".join(warc.archive([warc.record(1, "u", b"x" * 100, "X", None)]))
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records_of(whole[:-3]))
