@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import breath_sounds as B
 from ..functions import text as T
 from ..operators import breaths, preview, segments, waves
 from ..operators.attribution import EMOTIONAL
@@ -165,3 +166,27 @@ SELECT doc_id, pos::INT AS sent_idx, md5(CASE WHEN n > 25 AND len(p) > 1 THEN ar
 )
 def breathing_sentences(spark, sf_dir):
     return segments.sentences(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "sent_idx", F.md5(breaths.breathing_sentence("sentence")).alias("digest"))
+
+
+_TAGS_AT = ("gasp", "sigh", "breath", "breath:soft", "breath:deep", "inhale", "exhale", "beat", "door")
+_STEADY_SQL = "((('0x' || substr(md5(event_id || ':-1:' || {i}), 1, 8))::BIGINT / 2147483648.0)::DOUBLE - 1) * sqrt(3)"
+
+
+@query(
+    "tag_sounds",
+    f"""WITH k AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{k}', {s}, {B.KINDS[k][0]}, {max(1, round(B.KINDS[k][1] * 800 / 24000))})" for t, (k, s) in B.TAG_SOUNDS.items())}) AS t(tag, kind, seconds, loud, width)),
+e AS (SELECT event_id, ([{", ".join(f"'{t}'" for t in _TAGS_AT)}])[event_id % 9 + 1] AS tag FROM events),
+r AS (SELECT event_id, kind, loud, width, floor(seconds::DOUBLE * (0.9 + 0.2 * (('0x' || substr(md5(event_id || ':length'), 1, 8))::BIGINT / 4294967296.0)::DOUBLE) * 800)::INT AS n FROM e JOIN k USING (tag)),
+x AS (SELECT event_id, kind, loud, width, n, i, i / greatest(n - 1, 1) AS t FROM (SELECT *, unnest(range(n)) AS i FROM r)),
+s AS (SELECT event_id, i, n, width, {_STEADY_SQL.format(i="i")} * CASE kind WHEN 'soft' THEN pow(sin(pi() * t), 2) WHEN 'sharp' THEN sqrt(t) * pow(1 - t, 4) * 5 WHEN 'deep' THEN t * t * sqrt(1 - t) * 2 WHEN 'gasp' THEN exp(-5 * t) * (1 - exp(-20 * t)) * 3 ELSE pow(t, 0.3) * exp(-2 * t) * 2.5 END * loud * 0.5 AS v FROM x),
+g AS (SELECT event_id, i, sum(v) OVER (PARTITION BY event_id ORDER BY i RANGE BETWEEN width - 1 - (width - 1) // 2 PRECEDING AND (width - 1) // 2 FOLLOWING) / width AS y FROM s)
+SELECT event_id, count(*)::INT AS n, round(sum(y), 6)::DOUBLE AS total, round(sum(y * y), 8)::DOUBLE AS power FROM g GROUP BY event_id
+UNION ALL SELECT event_id, 240, round(sum({_STEADY_SQL.format(i="i")} * 0.0001), 6)::DOUBLE, round(sum(pow({_STEADY_SQL.format(i="i")} * 0.0001, 2)), 8)::DOUBLE FROM (SELECT event_id, unnest(range(240)) AS i FROM e WHERE tag = 'beat') GROUP BY event_id
+UNION ALL SELECT event_id, NULL, NULL, NULL FROM e WHERE tag = 'door'""",
+)
+def tag_sounds(spark, sf_dir):
+    """The sound of a tag for each event, at 800 samples a second."""
+    tag = F.element_at(F.array(*map(F.lit, _TAGS_AT)), (F.col("event_id") % 9 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", B.tag_sound(tag, F.col("event_id"), 0.5, 800).alias("s"))
+    total = lambda f: F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
+    return rows.select("event_id", F.size("s").alias("n"), F.round(total(lambda x: x), 6).alias("total"), F.round(total(lambda x: x * x), 8).alias("power"))

@@ -126,3 +126,27 @@ def test_noise_blocks_fit(spark):
     assert spark.range(1).select(waves.pink_noise(k, F.lit(0), F.lit(0)).alias("x")).first().x == []
     other = np.array(spark.range(1).select(waves.white_noise(F.lit("j"), F.lit(0), F.lit(n)).alias("x")).first().x)
     assert abs(np.corrcoef(other, make(waves.white_noise, n))[0, 1]) < 0.05
+
+
+def test_breath_sounds(spark):
+    from fablespark.functions import breath_sounds as B
+
+    rate = 2400
+    k = F.lit("key")
+    one = spark.range(1)
+    draw = lambda i: (int(hashlib.md5(f"key:-1:{i}".encode()).hexdigest()[:8], 16) / 2**31 - 1) * 3**0.5
+    share = int(hashlib.md5(b"key:length").hexdigest()[:8], 16) / 2**32
+    shapes = {"soft": lambda t: np.sin(np.pi * t) ** 2, "sharp": lambda t: t**0.5 * (1 - t) ** 4 * 5, "deep": lambda t: t**2 * (1 - t) ** 0.5 * 2, "gasp": lambda t: np.exp(-5 * t) * (1 - np.exp(-20 * t)) * 3, "sigh": lambda t: t**0.3 * np.exp(-2 * t) * 2.5}
+    for kind, shape in shapes.items():
+        got = np.array(one.select(B.breath(k, kind, 0.2, 0.7, rate)).first()[0])
+        n, width = int(0.2 * (0.9 + 0.2 * share) * rate), max(1, round(B.KINDS[kind][1] / 10))
+        raw = np.array([draw(i) for i in range(n)]) * shape(np.linspace(0, 1, n)) * B.KINDS[kind][0] * 0.7
+        assert np.allclose(got, np.convolve(raw, np.ones(width) / width, mode="same"), atol=1e-12)
+    tone, click, still = one.select(B.room_tone(k, 0.05, rate), B.click(k, rate), B.unsteady(B.room_tone(k, 0.3, rate, 1.0), k, 0.1, 20.0, rate)).first()
+    assert len(tone) == 120 and abs(np.std(tone) - 1e-4) < 2e-5 and 24 <= len(click) <= 72 and abs(click[0]) < 1e-12
+    ratio = np.array(still) / np.array([draw(i) for i in range(720)])
+    assert abs(np.abs(ratio - 1).max() - 0.1) < 1e-9 and np.abs(np.diff(ratio)).max() < 0.02
+    assert one.select(B.tag_sound(F.lit(" Pause "), k, rate=100)).first()[0][:1] != [] and one.select(B.tag_sound(F.lit("door"), k)).first()[0] is None
+    a, b = [1.0] * 6, [0.0, 0.0, 0.0, 2.0]
+    mixed = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(B.crossfade_squared("a", "b", 3), B.crossfade_squared("a", "b", 5)).first()
+    assert np.allclose(mixed[0], [1, 1, 1, 1, 0.5, 0, 2]) and mixed[1] == a + b
