@@ -191,18 +191,19 @@ def arc(df: DataFrame, partition: list[str], order: str) -> DataFrame:
     return runs.groupBy(*partition, "run", "emotion").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("duration"))
 
 
-def chapter_mood(df: DataFrame, partition: list[str], order: str) -> DataFrame:
+def chapter_mood(df: DataFrame, partition: list[str], order: str, **totals: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
     """dominant emotion of a chapter (the earliest of equals), its tone and base speed.
 
     With a column `intensity`, also the greatest of them and the number of climaxes, rows of extreme intensity;
-    climaxes() lists those.
+    climaxes() lists those. totals: further columns, each an aggregate of the rows of one emotion and how these are put
+    together, so that df is read once.
     """
-    counts = df.groupBy(*partition, "emotion").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    top = counts.groupBy(*partition).agg(F.sum("n").alias("segments"), F.max_by("emotion", F.struct("n", -F.col("first"))).alias("dominant"))
+    levels = F.array(*map(F.lit, LEVELS))
     if "intensity" in df.columns:
-        rank = F.max(F.array_position(F.array(*map(F.lit, LEVELS)), F.col("intensity")))
-        peaks = df.groupBy(*partition).agg(F.get(F.array(*map(F.lit, LEVELS)), (rank - 1).cast("int")).alias("max_intensity"), F.count_if(F.col("intensity") == "extreme").alias("climaxes"))
-        top = top.join(peaks, partition)
+        at = F.max(F.array_position(levels, F.col("intensity")))
+        totals = {"max_intensity": (at, lambda c: F.get(levels, (F.max(c) - 1).cast("int"))), "climaxes": (F.count_if(F.col("intensity") == "extreme"), F.sum), **totals}
+    by = df.groupBy(*partition, "emotion").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"), *[c.alias(f"_{k}") for k, (c, _) in totals.items()])
+    top = by.groupBy(*partition).agg(F.sum("_n").alias("segments"), F.max_by("emotion", F.struct("_n", -F.col("_first"))).alias("dominant"), *[join(F.col(f"_{k}")).alias(k) for k, (_, join) in totals.items()])
     tone = F.coalesce(F.create_map(*[F.lit(x) for kv in TONES.items() for x in kv])[F.col("dominant")], F.lit("mixte"))
     return top.withColumn("tone", tone).withColumn("base_speed", T.lookup(F.col("dominant"), BASE_SPEEDS, 1.0))
 

@@ -73,10 +73,15 @@ def narrated(chapters: DataFrame, keys: list[str], text: str = "content") -> Dat
 
 
 def chapter_report(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments, speaking time, mean speed and dominant emotion of each chapter."""
-    mood = emotion.chapter_mood(rows, keys, "sent_idx")
-    totals = rows.groupBy(*keys).agg(F.sum("duration").alias("spoken_seconds"), F.max("end_time").alias("seconds"), F.avg("final_speed").alias("mean_speed"), F.avg(F.col("is_dialogue").cast("double")).alias("dialogue_share"))
-    return totals.join(mood, keys)
+    """Segments, speaking time, mean speed and dominant emotion of each chapter, in one pass over its rows."""
+    spoken = F.col("is_dialogue").cast("double")
+    mood = emotion.chapter_mood(
+        rows, keys, "sent_idx",
+        spoken_seconds=(F.sum("duration"), F.sum), seconds=(F.max("end_time"), F.max),
+        speeds=(F.sum("final_speed"), F.sum), n_speeds=(F.count("final_speed"), F.sum), said=(F.sum(spoken), F.sum), n_said=(F.count(spoken), F.sum),
+    )
+    means = mood.withColumns({"mean_speed": F.try_divide("speeds", "n_speeds"), "dialogue_share": F.try_divide("said", "n_said")})
+    return means.select(*keys, "spoken_seconds", "seconds", "mean_speed", "dialogue_share", "segments", "dominant", "max_intensity", "climaxes", "tone", "base_speed")
 
 
 def synthesise(rows: DataFrame, speak: Callable[[str, str, float], bytes], text: str = "sentence", voice: str = "voice", speed: str = "final_speed") -> DataFrame:
