@@ -287,3 +287,80 @@ def pink_noise(key: Column, start: Column, n: Column, octaves: int = OCTAVES, le
 
     total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(octave, range(octaves)))
     return F.when(n > 0, F.transform(total, lambda x: x * (level / math.sqrt(octaves)))).otherwise(F.array().cast("array<double>"))
+
+
+def reblocked(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """The same signals in blocks of `size` samples, numbered from 0; the last of a signal may be shorter. Empty signals vanish."""
+    full = blocks.select(*keys, "block", F.col("samples").cast("array<double>").alias("samples")).where(F.size("samples") > 0).withColumn("_n", F.size("samples").cast("long"))
+    # Where a block starts: the samples of all blocks before it, in spans that keep any key's sort small.
+    starts = _offsets(full.select(*keys, "block", "_n"), keys)
+    placed = scans.meet(full, starts, [*keys, "block"])
+    first, last = F.floor(F.col("_start") / size), F.floor((F.col("_start") + F.col("_n") - 1) / size)
+    pieces = placed.withColumn("_to", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("_to") * size - F.col("_start"), F.lit(0))
+    high = F.least((F.col("_to") + 1) * size - F.col("_start"), F.col("_n"))
+    pieces = pieces.select(*keys, "_to", (F.col("_start") + low).alias("_at"), F.slice("samples", (low + 1).cast("int"), (high - low).cast("int")).alias("_x"))
+    whole = pieces.groupBy(*keys, "_to").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda z: z["_x"])).alias("samples"))
+    return whole.withColumnRenamed("_to", "block")
+
+
+def _offsets(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, block, _start: samples before each block."""
+    spans = sizes.withColumn("_span", F.floor(F.col("block") / scans.SPAN))
+    before = lambda *by: Window.partitionBy(*keys, *by)
+    earlier = before().orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy(*keys, "_span").agg(F.sum("_n").alias("_sum")).select(*keys, "_span", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    own = before("_span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return scans.meet(spans, sums, [*keys, "_span"]).select(*keys, "block", (F.col("_base") + F.coalesce(F.sum("_n").over(own), F.lit(0))).alias("_start"))
+
+
+def _fade(n: int, rising: bool) -> np.ndarray:
+    curve = (1 - np.cos(np.linspace(0, 1, n) * math.pi)) / 2
+    return curve if rising else 1 - curve
+
+
+def softened_silences(blocks: DataFrame, keys: list[str], rate: float = RATE, threshold: float = 0.01, fade: float = 0.01, size: int = 1 << 14) -> DataFrame:
+    """keys, block, samples with a short fade where sound falls below the threshold and where it comes back.
+
+    A fade reaches at most `fade` seconds into the next or the last block, so each block is done with that much of its
+    neighbours beside it. Edges nearer than a fade to the start (sound ends) or the end (sound begins) of a signal stay.
+    Blocks come back with `size` samples each.
+    """
+    reach = int(fade * rate)
+    size = max(size, reach + 2)
+    rows = staged(reblocked(blocks, keys, size), "wave-blocks")
+    left = rows.select(*keys, (F.col("block") + 1).alias("block"), F.slice("samples", F.greatest(F.size("samples") - reach, F.lit(1)), F.lit(reach + 1)).alias("_before"))
+    right = rows.select(*keys, (F.col("block") - 1).alias("block"), F.slice("samples", 1, reach + 1).alias("_after"))
+    total = rows.groupBy(*keys).agg(F.sum(F.size("samples")).alias("_total"))
+    near = scans.meet(scans.meet(scans.meet(rows, left, [*keys, "block"], "left"), right, [*keys, "block"], "left"), total, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for block, x, before, after, n in zip(batch.column("block").to_pylist(), *(arrays(batch.column(c)) for c in ("samples", "_before", "_after")), batch.column("_total").to_pylist(), strict=True):
+                before, after = (np.zeros(0) if y is None else y for y in (before, after))
+                wide = np.concatenate((before, x, after))
+                turn = np.diff((np.abs(wide) < threshold).astype(np.int8))
+                base, gain = block * size - len(before), np.ones(len(wide))
+                for s in np.flatnonzero(turn == 1).tolist():
+                    if base + s > reach:
+                        length = min(base + s + reach, n) - (base + s)
+                        gain[s : s + length] *= _fade(length, False)[: len(wide) - s]
+                for e in np.flatnonzero(turn == -1).tolist():
+                    if base + e < n - reach:
+                        length = base + e - max(base + e - reach, 0)
+                        gain[max(e - length, 0) : e] *= _fade(length, True)[max(length - e, 0) :]
+                out.append(x * gain[len(before) : len(before) + len(x)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "block")), lists(out)], [*keys, "block", "samples"])
+
+    return near.mapInArrow(run, scans.schema_of(rows.select(*keys, "block"), samples="array<double>"))
+
+
+def limited(blocks: DataFrame, keys: list[str], ceiling: float = 0.95) -> DataFrame:
+    """keys, block, samples cut at the ceiling."""
+    return blocks.select(*keys, "block", F.transform("samples", lambda x: F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), x))).alias("samples"))
+
+
+def processed(blocks: DataFrame, keys: list[str], rate: float = RATE) -> DataFrame:
+    """A voice made clear: equalised, compressed and limited."""
+    return limited(compressed(staged(voice_eq(blocks, keys, rate), "wave-eq"), keys, rate), keys)

@@ -190,3 +190,16 @@ def tag_sounds(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", B.tag_sound(tag, F.col("event_id"), 0.5, 800).alias("s"))
     total = lambda f: F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
     return rows.select("event_id", F.size("s").alias("n"), F.round(total(lambda x: x), 6).alias("total"), F.round(total(lambda x: x * x), 8).alias("power"))
+
+
+@query(
+    "softened_silences",
+    """WITH v AS (SELECT user_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, (value / 1000)::DOUBLE AS x, lead(value / 1000) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+t AS (SELECT user_id, i, n, CASE WHEN abs(x) >= 0.02 AND abs(next) < 0.02 THEN 1 WHEN abs(x) < 0.02 AND abs(next) >= 0.02 THEN -1 END AS turn FROM v),
+f AS (SELECT user_id, i AS start, least(5, n - i) AS len, false AS rising FROM t WHERE turn = 1 AND i > 5 UNION ALL SELECT user_id, greatest(i - 5, 0), i - greatest(i - 5, 0), true FROM t WHERE turn = -1 AND i < n - 5),
+g AS (SELECT user_id, start + j AS i, CASE WHEN rising THEN c ELSE 1 - c END AS gain FROM (SELECT *, (1 - cos(j / greatest(len - 1, 1) * pi())) / 2 AS c FROM (SELECT *, unnest(range(len)) AS j FROM f))),
+p AS (SELECT user_id, i, product(gain) AS gain FROM g GROUP BY ALL)
+SELECT user_id, (i // 64)::BIGINT AS block, (i % 64)::INT AS i, round(x * coalesce(gain, 1), 9)::DOUBLE AS x FROM v LEFT JOIN p USING (user_id, i)""",
+)
+def softened_silences(spark, sf_dir):
+    return waves.softened_silences(_blocks(spark, sf_dir), ["user_id"], RATE, 0.02, 0.05, 64).select("user_id", "block", F.posexplode("samples").alias("i", "x")).withColumn("x", F.round("x", 9))

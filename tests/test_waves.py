@@ -111,3 +111,52 @@ def test_edge_blocks(spark):
         assert got["k", 0] is None and got["z", 0] is None and got["k", 1] == [] and len(got["k", 2]) == 24 and len(got) == 5
     none = spark.createDataFrame([], BLOCKS)
     assert waves.voice_eq(none, ["key"]).collect() == [] and waves.compressed(none, ["key"]).collect() == []
+
+
+def silences_by_loop(x, rate, threshold, fade):
+    x, out = np.array(x), np.array(x, float)
+    n, reach = len(x), int(fade * rate)
+    curve = lambda k: (1 - np.cos(np.linspace(0, 1, k) * np.pi)) / 2
+    turn = np.diff((np.abs(x) < threshold).astype(int))
+    for s in np.where(turn == 1)[0]:
+        if s > reach:
+            end = min(s + reach, n)
+            out[s:end] *= 1 - curve(end - s)
+    for e in np.where(turn == -1)[0]:
+        if e < n - reach:
+            start = max(e - reach, 0)
+            out[start:e] *= curve(e - start)
+    return out
+
+
+@pytest.mark.parametrize("size,cut_at", [(12, 7), (40, 1000), (1 << 14, 50)])
+def test_softened_silences(spark, size, cut_at):
+    rng = np.random.default_rng(9)
+    signals = {k: np.where(np.repeat(rng.random(60) < 0.5, 10), rng.normal(0, 0.002, 600), rng.normal(0, 0.5, 600))[: 600 - 7 * i] for i, k in enumerate(("a", "b", None))}
+    signals |= {"quiet": np.zeros(30), "short": np.array([0.5, 0.0, 0.5])}
+    got = whole(waves.softened_silences(spark.createDataFrame(cut(signals, cut_at), BLOCKS).repartition(3), ["key"], 1000, 0.01, 0.01, size))
+    for key, x in signals.items():
+        assert np.allclose(got[key], silences_by_loop(x, 1000, 0.01, 0.01), atol=1e-12)
+
+
+@pytest.mark.parametrize("size", [1, 7, 5000])
+def test_reblocked(spark, size, monkeypatch):
+    monkeypatch.setattr(scans, "SPAN", 4)
+    rows = spark.createDataFrame([*cut(SIGNALS, 13), ("empty", 0, []), ("empty", 1, None), ("a", 1, [])], BLOCKS)
+    out = waves.reblocked(rows, ["key"], size).collect()
+    blocks = {}
+    for r in out:
+        blocks.setdefault(r.key, {})[r.block] = r.samples
+    assert blocks.keys() == SIGNALS.keys()
+    for key, x in SIGNALS.items():
+        assert sorted(blocks[key]) == list(range(-(-len(x) // size)))
+        assert np.allclose(np.concatenate([blocks[key][b] for b in sorted(blocks[key])]), x) and all(len(blocks[key][b]) == size for b in sorted(blocks[key])[:-1])
+
+
+def test_processed(spark):
+    x = np.sin(np.arange(3000) / 9) * 0.9
+    got = whole(waves.processed(spark.createDataFrame(cut({"k": x}, 500), BLOCKS), ["key"]))["k"]
+    want = x
+    for section in (waves.high_pass_section(24000, 80), waves.peak_section(24000, 3000, 2.0, 1.5), waves.high_shelf_section(24000, 10000, 1.0)):
+        want = both_ways(section, want)
+    assert np.allclose(got, np.clip(compressed_by_loop(want, 24000, -18.0, 3.0, 10.0, 100.0), -0.95, 0.95), atol=1e-7)
