@@ -184,6 +184,19 @@ def contour(text: Column | str) -> Column:
     )
 
 
+def contour_knots(kind: Column | str, seconds: Column | float) -> Column:
+    """struct(knot, start, end, pitch) of the five parts of an intonation laid over so many seconds."""
+    parts = []
+    for name, (pitches, weights) in CONTOURS.items():
+        ends, total = [], 0.0
+        for w in weights:
+            ends.append((total, total + w))
+            total += w
+        made = [F.struct(F.lit(i).alias("knot"), (F.lit(a / total) * seconds).alias("start"), (F.lit(b / total) * seconds).alias("end"), F.lit(p).alias("pitch")) for i, ((a, b), p) in enumerate(zip(ends, pitches, strict=True))]
+        parts.append((name, F.array(*made)))
+    return reduce(lambda c, p: c.when(col(kind) == p[0], p[1]), parts, F.when(F.lit(False), parts[0][1]))
+
+
 def clause_type(text: Column | str) -> Column:
     """By opening mark, brackets, first words and emphasis words; one compiled pattern for each test."""
     t = col(text)

@@ -41,7 +41,7 @@ def blended(styles: DataFrame, pairs: DataFrame, numbers: list[str], flags: list
     left, right = styles.select(F.col("style").alias("a"), *[F.col(c).alias(f"_a_{c}") for c in numbers + flags]), styles.select(F.col("style").alias("b"), *[F.col(c).alias(f"_b_{c}") for c in numbers + flags])
     out = pairs.join(left, "a").join(right, "b")
     mixed = [(F.col(f"_a_{c}") + (F.col(f"_b_{c}") - F.col(f"_a_{c}")) * F.col("factor")).alias(c) for c in numbers]
-    return out.select("a", "b", "factor", *mixed, *[(F.col(f"_a_{c}") | F.col(f"_b_{c}")).alias(c) for c in flags])
+    return out.select(*pairs.columns, *mixed, *[(F.col(f"_a_{c}") | F.col(f"_b_{c}")).alias(c) for c in flags])
 
 
 GRAM = 3

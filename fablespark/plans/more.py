@@ -193,13 +193,14 @@ def attributed_quotes(spark, sf_dir):
 
 @query(
     "name_genders",
-    f"""WITH n AS (SELECT c_custkey, (['Marie', 'Paul', 'Odette', 'Marcus', 'Zed', 'le', '42', 'x', 'ana', 'Hugo'])[c_custkey % 10 + 1] AS name FROM customer)
-SELECT c_custkey, name, CASE WHEN lower(name) IN {tuple(attribution.FEMALE)} THEN 'F' WHEN lower(name) IN {tuple(attribution.MALE)} THEN 'M' WHEN regexp_matches(lower(name), '(e|a)$') THEN 'F' WHEN regexp_matches(lower(name), '(o|us|is|el|en|on|er)$') THEN 'M' END AS gender,
-  name[1] BETWEEN 'A' AND 'Z' AND len(name) >= 2 AND name <> 'le' AS valid FROM n""",
+    rf"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS name FROM documents)
+SELECT name, CASE WHEN lower(name) IN {tuple(attribution.FEMALE)} THEN 'F' WHEN lower(name) IN {tuple(attribution.MALE)} THEN 'M' WHEN regexp_matches(lower(name), '({'|'.join(attribution.FEMALE_ENDINGS)})$') THEN 'F' WHEN regexp_matches(lower(name), '({'|'.join(attribution.MALE_ENDINGS)})$') THEN 'M' END AS gender,
+  regexp_matches(name, '^\p{{Lu}}') AND length(name) >= 2 AND lower(name) NOT IN {tuple(attribution.NO_NAMES)} AS valid FROM n""",
 )
 def name_genders(spark, sf_dir):
-    name = F.element_at(F.array(*map(F.lit, ("Marie", "Paul", "Odette", "Marcus", "Zed", "le", "42", "x", "ana", "Hugo"))), (F.col("c_custkey") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")).withColumn("gender", attribution.gender("name")).withColumn("valid", attribution.valid_name("name"))
+    """Every distinct word of the documents, as if it were a name."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("name")).distinct()
+    return words.withColumn("gender", attribution.gender("name")).withColumn("valid", attribution.valid_name("name"))
 
 
 @query("hierarchical_chunks")

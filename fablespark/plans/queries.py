@@ -117,29 +117,32 @@ def clause_timing(spark, sf_dir):
     return rows.select("doc_id", "clause_idx", "kind", T.clause_speed(F.col("kind")).alias("speed"), F.round(T.pause_after("clause", F.col("kind")), 4).alias("pause"))
 
 
-@query(
-    "intonation_contour",
-    f"""WITH {SENTENCES_SQL}, t AS (SELECT doc_id, pos, regexp_replace(sentence, '^\\s+|\\s+$', '', 'g') AS s FROM sentences),
-c AS (SELECT CASE WHEN s = '' THEN 'neutral'
+_CONTOURS_SQL = f"""{SENTENCES_SQL}, t AS (SELECT doc_id, pos, regexp_replace(sentence, '^\\s+|\\s+$', '', 'g') AS s FROM sentences),
+c AS (SELECT doc_id, pos, length(s) / 15.0 AS seconds, CASE WHEN s = '' THEN 'neutral'
   WHEN ends_with(s, '?') THEN CASE WHEN {_in("regexp_extract(regexp_replace(lower(s), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\S+')", T.QUESTION_WORDS)} THEN 'question_wh' ELSE 'question_yn' END
   WHEN ends_with(s, '!') THEN 'exclamation' WHEN ends_with(s, '...') OR ends_with(s, '…') THEN 'suspense'
   WHEN ends_with(s, ',') OR ends_with(s, ';') OR {_in("regexp_replace(regexp_extract(lower(s), '\\S+$'), '[.,;:]+$', '')", T.CONTINUING_WORDS)} THEN 'continuation'
-  WHEN ends_with(s, '.') OR regexp_matches(s, '[\\p{{L}}\\p{{N}}]$') THEN 'declarative' ELSE 'neutral' END AS contour FROM t)
-SELECT contour, count(*) AS n FROM c GROUP BY contour""",
-)
+  WHEN ends_with(s, '.') OR regexp_matches(s, '[\\p{{L}}\\p{{N}}]$') THEN 'declarative' ELSE 'neutral' END AS contour FROM t)"""
+
+
+@query("intonation_contour", f"WITH {_CONTOURS_SQL} SELECT contour, count(*) AS n FROM c GROUP BY contour")
 def intonation_contour(spark, sf_dir):
     return segments.sentences(table(spark, sf_dir, "documents"), ["doc_id"]).groupBy(T.contour("sentence").alias("contour")).count().withColumnRenamed("count", "n")
 
 
 @query(
     "contour_configs",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{k}', {i}::INT, {p}::DOUBLE, {w}::DOUBLE)" for k, (ps, ws) in T.CONTOURS.items() for i, (p, w) in enumerate(zip(ps, ws, strict=True)))
-    + ") AS t(contour, knot, pitch, weight)",
+    f"""WITH {_CONTOURS_SQL}, k AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{k}', {i}::INT, {sum(ws[:i])!r}::DOUBLE, {sum(ws[: i + 1])!r}::DOUBLE, {p}::DOUBLE)" for k, (ps, ws) in T.CONTOURS.items() for i, p in enumerate(ps))
+    + """) AS t(contour, knot, a, b, pitch))
+SELECT doc_id, pos::INT AS sent_idx, knot, round(a * seconds, 4)::DOUBLE AS start, round(b * seconds, 4)::DOUBLE AS "end", pitch FROM c JOIN k USING (contour)""",
 )
 def contour_configs(spark, sf_dir):
-    rows = [(k, list(p), list(w)) for k, (p, w) in T.CONTOURS.items()]
-    return spark.createDataFrame(rows, "contour string, pitch array<double>, weight array<double>").select("contour", F.posexplode(F.arrays_zip("pitch", "weight")).alias("knot", "z")).select("contour", "knot", "z.pitch", "z.weight")
+    """The intonation of each sentence of the documents, laid over the time that it takes to say it."""
+    rows = segments.sentences(table(spark, sf_dir, "documents"), ["doc_id"])
+    knots = T.contour_knots(F.col("_kind"), F.length(T.strip("sentence")) / T.CHARS_PER_SECOND)
+    rows = rows.withColumn("_kind", T.contour("sentence")).select("doc_id", "sent_idx", F.explode(knots).alias("k"))
+    return rows.select("doc_id", "sent_idx", "k.knot", F.round("k.start", 4).alias("start"), F.round("k.end", 4).alias("end"), "k.pitch")
 
 
 QUOTED_SQL = "q AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN '« ' || text || ' » dit Marie.' ELSE 'Alors \"' || text || '\" dit Paul.' END AS text FROM conversations)"
@@ -639,14 +642,16 @@ def corrections_merge(spark, sf_dir):
 
 @query(
     "style_blends",
-    "WITH s AS (SELECT * FROM (VALUES ('formal', 0.95, 1.2, false), ('conversational', 1.05, 0.9, true), ('dramatic', 0.9, 1.3, true)) AS t(style, base_speed, pause_multiplier, dynamic)) SELECT x.style AS a, y.style AS b, round(x.base_speed + (y.base_speed - x.base_speed) * 0.25, 6)::DOUBLE AS base_speed, round(x.pause_multiplier + (y.pause_multiplier - x.pause_multiplier) * 0.25, 6)::DOUBLE AS pause_multiplier, x.dynamic OR y.dynamic AS dynamic FROM s x, s y WHERE x.style <> y.style",
+    "WITH s AS (SELECT * FROM (VALUES (0, 'formal', 0.95, 1.2, false), (1, 'conversational', 1.05, 0.9, true), (2, 'dramatic', 0.9, 1.3, true)) AS t(n, style, base_speed, pause_multiplier, dynamic)), e AS (SELECT event_id, event_id % 3 AS a, user_id % 3 AS b, least(greatest(value / 97.3, 0), 1) AS f FROM events) SELECT event_id, x.style AS a, y.style AS b, round(x.base_speed + (y.base_speed - x.base_speed) * f, 6)::DOUBLE AS base_speed, round(x.pause_multiplier + (y.pause_multiplier - x.pause_multiplier) * f, 6)::DOUBLE AS pause_multiplier, x.dynamic OR y.dynamic AS dynamic FROM e JOIN s x ON x.n = e.a JOIN s y ON y.n = e.b",
 )
 def style_blends(spark, sf_dir):
+    """Two styles mixed for each event, by its value."""
     rows = [("formal", 0.95, 1.2, False), ("conversational", 1.05, 0.9, True), ("dramatic", 0.9, 1.3, True)]
     styles = spark.createDataFrame(rows, "style string, base_speed double, pause_multiplier double, dynamic boolean")
-    pairs = spark.createDataFrame([(a[0], b[0], 0.25) for a in rows for b in rows if a != b], "a string, b string, factor double")
+    named = lambda c: F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (F.col(c) % 3 + 1).cast("int"))
+    pairs = table(spark, sf_dir, "events").select("event_id", named("event_id").alias("a"), named("user_id").alias("b"), F.least(F.greatest(F.col("value") / 97.3, F.lit(0)), F.lit(1)).alias("factor"))
     out = catalog.blended(styles, pairs, ["base_speed", "pause_multiplier"], ["dynamic"])
-    return out.select("a", "b", F.round("base_speed", 6).alias("base_speed"), F.round("pause_multiplier", 6).alias("pause_multiplier"), "dynamic")
+    return out.select("event_id", "a", "b", F.round("base_speed", 6).alias("base_speed"), F.round("pause_multiplier", 6).alias("pause_multiplier"), "dynamic")
 
 
 @query(
