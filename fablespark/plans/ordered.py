@@ -182,14 +182,14 @@ s AS (SELECT event_id, i, n, width, {_STEADY_SQL.format(i="i")} * CASE kind WHEN
 g AS (SELECT event_id, i, sum(v) OVER (PARTITION BY event_id ORDER BY i RANGE BETWEEN width - 1 - (width - 1) // 2 PRECEDING AND (width - 1) // 2 FOLLOWING) / width AS y FROM s)
 SELECT event_id, count(*)::INT AS n, round(sum(y), 6)::DOUBLE AS total, round(sum(y * y), 8)::DOUBLE AS power FROM g GROUP BY event_id
 UNION ALL SELECT event_id, 240, round(sum({_STEADY_SQL.format(i="i")} * 0.0001), 6)::DOUBLE, round(sum(pow({_STEADY_SQL.format(i="i")} * 0.0001, 2)), 8)::DOUBLE FROM (SELECT event_id, unnest(range(240)) AS i FROM e WHERE tag = 'beat') GROUP BY event_id
-UNION ALL SELECT event_id, NULL, NULL, NULL FROM e WHERE tag = 'door'""",
+UNION ALL SELECT event_id, 0, NULL, NULL FROM e WHERE tag = 'door'""",
 )
 def tag_sounds(spark, sf_dir):
     """The sound of a tag for each event, at 800 samples a second."""
     tag = F.element_at(F.array(*map(F.lit, _TAGS_AT)), (F.col("event_id") % 9 + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", B.tag_sound(tag, F.col("event_id"), 0.5, 800).alias("s"))
     total = lambda f: F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
-    return rows.select("event_id", F.size("s").alias("n"), F.round(total(lambda x: x), 6).alias("total"), F.round(total(lambda x: x * x), 8).alias("power"))
+    return rows.select("event_id", F.coalesce(F.size("s"), F.lit(0)).alias("n"), F.round(total(lambda x: x), 6).alias("total"), F.round(total(lambda x: x * x), 8).alias("power"))
 
 
 @query(
