@@ -12,26 +12,26 @@ from ..functions import text as T
 # Fixed values: (keywords, patterns) by emotion, in the order that breaks ties; boosters; imitations of sounds.
 LEXICON = {
     "fr": {
-        "joy": ("heureux heureuse joie bonheur content contente ravi ravie enchante enchantee merveilleux magnifique formidable genial super fantastique excellent extraordinaire parfait sublime delicieux sourire rire eclat rayonnant epanoui comble jubiler", (r"!\s*$", r":-?\)", r"sourire|rire|rigoler")),
-        "sadness": ("triste malheureux malheureuse chagrin peine desespoir melancolie nostalgie larme pleurer sanglot deuil affliction accable abattu deprime morose sombre desole navrant lamentable pitoyable regret remords", (r"helas", r"malheureusement", r":-?\(")),
-        "anger": ("colere furieux furieuse rage enerve enervee agace agacee irrite irritee exaspere excede outrage indigne revolte furibond enrage courroux emporte violent brutal detester hair", (r"!{2,}", r"comment oses?-tu", r"assez\s*!")),
-        "fear": ("peur terreur effroi angoisse anxiete crainte frayeur epouvante terrifie terrifiee apeure trembler frissonner palir glacer paralyse petrifie horrifie panique affolement", (r"mon dieu", r"au secours", r"a l'aide")),
-        "surprise": ("surpris surprise etonne etonnee stupefait sidere abasourdi ebahi interdit decontenance incroyable inimaginable inattendu soudain", (r"\?!", r"!\?", r"quoi\s*[?!]", r"comment\s*[?!]")),
-        "disgust": ("degout degoute repugnant ecoeurer repulsion abject ignoble immonde infect nauseabond repugnance aversion horreur", (r"beurk", r"pouah", r"quelle horreur")),
-        "excitement": ("excite excitee enthousiaste impatient impatiente febrile ardent passionne enflamme exalte transporte galvanise electrise", (r"!{2,}", r"vite", r"enfin\s*!")),
-        "tenderness": ("tendre tendresse doux douce affection amour caresse cajoler cherir adorer aime aimee precieux cher chere bien-aime attachement", (r"mon (cher|amour|coeur)", r"ma (chere|cherie)")),
-        "suspense": ("soudain|tout a coup|brusquement|subitement|silence|immobile|fige|retenir son souffle|attendre|guetter|epier|mysterieux|etrange", (r"\.\.\.$", r"—$", r"puis,?\s*$")),
-        "irony": ("ironique sarcastique moqueur railleur cynique persiflage derision", (r"bien sur", r"evidemment", r"naturellement")),
+        "joy": (("heureux", "heureuse", "joie", "bonheur", "content", "contente", "ravi", "ravie", "enchante", "enchantee", "merveilleux", "magnifique", "formidable", "genial", "super", "fantastique", "excellent", "extraordinaire", "parfait", "sublime", "delicieux", "sourire", "rire", "eclat", "rayonnant", "epanoui", "comble", "jubiler"), (r"!\s*$", r":-?\)", r"sourire|rire|rigoler")),
+        "sadness": (("triste", "malheureux", "malheureuse", "chagrin", "peine", "desespoir", "melancolie", "nostalgie", "larme", "pleurer", "sanglot", "deuil", "affliction", "accable", "abattu", "deprime", "morose", "sombre", "desole", "navrant", "lamentable", "pitoyable", "regret", "remords"), (r"helas", r"malheureusement", r":-?\(")),
+        "anger": (("colere", "furieux", "furieuse", "rage", "enerve", "enervee", "agace", "agacee", "irrite", "irritee", "exaspere", "excede", "outrage", "indigne", "revolte", "furibond", "enrage", "courroux", "emporte", "violent", "brutal", "detester", "hair"), (r"!{2,}", r"comment oses?-tu", r"assez\s*!")),
+        "fear": (("peur", "terreur", "effroi", "angoisse", "anxiete", "crainte", "frayeur", "epouvante", "terrifie", "terrifiee", "apeure", "trembler", "frissonner", "palir", "glacer", "paralyse", "petrifie", "horrifie", "panique", "affolement"), (r"mon dieu", r"au secours", r"a l'aide")),
+        "surprise": (("surpris", "surprise", "etonne", "etonnee", "stupefait", "sidere", "abasourdi", "ebahi", "interdit", "decontenance", "incroyable", "inimaginable", "inattendu", "soudain"), (r"\?!", r"!\?", r"quoi\s*[?!]", r"comment\s*[?!]")),
+        "disgust": (("degout", "degoute", "repugnant", "ecoeurer", "repulsion", "abject", "ignoble", "immonde", "infect", "nauseabond", "repugnance", "aversion", "horreur"), (r"beurk", r"pouah", r"quelle horreur")),
+        "excitement": (("excite", "excitee", "enthousiaste", "impatient", "impatiente", "febrile", "ardent", "passionne", "enflamme", "exalte", "transporte", "galvanise", "electrise"), (r"!{2,}", r"vite", r"enfin\s*!")),
+        "tenderness": (("tendre", "tendresse", "doux", "douce", "affection", "amour", "caresse", "cajoler", "cherir", "adorer", "aime", "aimee", "precieux", "cher", "chere", "bien-aime", "attachement"), (r"mon (cher|amour|coeur)", r"ma (chere|cherie)")),
+        "suspense": (("soudain", "tout a coup", "brusquement", "subitement", "silence", "immobile", "fige", "retenir son souffle", "attendre", "guetter", "epier", "mysterieux", "etrange"), (r"\.\.\.$", r"—$", r"puis,?\s*$")),
+        "irony": (("ironique", "sarcastique", "moqueur", "railleur", "cynique", "persiflage", "derision"), (r"bien sur", r"evidemment", r"naturellement")),
     },
     "en": {
-        "joy": ("happy joyful delighted pleased glad cheerful elated ecstatic thrilled wonderful amazing fantastic excellent perfect brilliant smile laugh grin beam radiant", (r"!\s*$", r":-?\)", r"smil|laugh|grin")),
-        "sadness": ("sad unhappy miserable depressed melancholy grief sorrow tears cry weep sob heartbroken devastated gloomy mournful", (r"alas", r"unfortunately", r":-?\(")),
-        "anger": ("angry furious enraged mad outraged irritated annoyed exasperated infuriated livid seething hate detest loathe", (r"!{2,}", r"how dare", r"enough\s*!")),
-        "fear": ("afraid scared terrified frightened fearful anxious nervous worried panicked horrified trembl shiver pale frozen", (r"oh god", r"help", r"oh no")),
-        "surprise": ("surprised astonished amazed shocked stunned startled bewildered dumbfounded incredible unbelievable unexpected sudden", (r"\?!", r"!\?", r"what\s*[?!]", r"how\s*[?!]")),
-        "excitement": ("excited thrilled eager enthusiastic passionate energetic animated exhilarated", (r"!{2,}", r"finally\s*!", r"yes\s*!")),
-        "tenderness": ("tender gentle soft loving affectionate caring sweet dear darling beloved cherish", (r"my (dear|love|darling)", r"sweetheart")),
-        "suspense": ("suddenly abruptly silence still frozen waiting watching mysterious strange eerie", (r"\.\.\.$", r"—$", r"then,?\s*$")),
+        "joy": (("happy", "joyful", "delighted", "pleased", "glad", "cheerful", "elated", "ecstatic", "thrilled", "wonderful", "amazing", "fantastic", "excellent", "perfect", "brilliant", "smile", "laugh", "grin", "beam", "radiant"), (r"!\s*$", r":-?\)", r"smil|laugh|grin")),
+        "sadness": (("sad", "unhappy", "miserable", "depressed", "melancholy", "grief", "sorrow", "tears", "cry", "weep", "sob", "heartbroken", "devastated", "gloomy", "mournful"), (r"alas", r"unfortunately", r":-?\(")),
+        "anger": (("angry", "furious", "enraged", "mad", "outraged", "irritated", "annoyed", "exasperated", "infuriated", "livid", "seething", "hate", "detest", "loathe"), (r"!{2,}", r"how dare", r"enough\s*!")),
+        "fear": (("afraid", "scared", "terrified", "frightened", "fearful", "anxious", "nervous", "worried", "panicked", "horrified", "trembl", "shiver", "pale", "frozen"), (r"oh god", r"help", r"oh no")),
+        "surprise": (("surprised", "astonished", "amazed", "shocked", "stunned", "startled", "bewildered", "dumbfounded", "incredible", "unbelievable", "unexpected", "sudden"), (r"\?!", r"!\?", r"what\s*[?!]", r"how\s*[?!]")),
+        "excitement": (("excited", "thrilled", "eager", "enthusiastic", "passionate", "energetic", "animated", "exhilarated"), (r"!{2,}", r"finally\s*!", r"yes\s*!")),
+        "tenderness": (("tender", "gentle", "soft", "loving", "affectionate", "caring", "sweet", "dear", "darling", "beloved", "cherish"), (r"my (dear|love|darling)", r"sweetheart")),
+        "suspense": (("suddenly", "abruptly", "silence", "still", "frozen", "waiting", "watching", "mysterious", "strange", "eerie"), (r"\.\.\.$", r"—$", r"then,?\s*$")),
     },
 }
 BOOSTERS = {
@@ -51,9 +51,8 @@ FRENCH_NARRATIVE = {
 }
 
 
-def keywords(lang: str, emotion: str) -> list[str]:
-    listed = LEXICON[lang][emotion][0]
-    return listed.split("|") if "|" in listed else listed.split()
+def keywords(lang: str, emotion: str) -> tuple[str, ...]:
+    return LEXICON[lang][emotion][0]
 
 
 def folded(text: Column | str) -> Column:
