@@ -67,9 +67,13 @@ NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
 def replaced(text: Column | str, pattern: str, by: Callable[[Column], Column]) -> Column:
     """text with every match of a pattern replaced by an expression of the match."""
     t = col(text)
-    found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
-    whole = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, match: F.concat(gap, F.coalesce(by(match), match))), ""), F.element_at(gaps, -1))
-    return F.when(t.rlike(pattern), whole).otherwise(t)
+
+    def whole(found: Column) -> Column:
+        read = F.concat(F.transform(found, lambda match: T.let(match, lambda m: F.coalesce(by(m), m))), F.array(F.lit("")))
+        joined = F.array_join(F.zip_with(F.split(t, pattern, -1), read, lambda gap, said: F.concat(gap, said)), "")
+        return F.when(F.size(found) > 0, joined).otherwise(t)
+
+    return T.let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), whole)
 
 
 def said(number: Column, lang: str) -> Column:
@@ -89,9 +93,9 @@ def _groups(digits: Column, size: int, lang: str) -> Column:
 
 def _decimal(number: Column, lang: str, fraction: Callable[[Column], Column] | None = None) -> Column:
     """A number with one mark before its fraction in words, digit by digit after the mark."""
-    parts = F.split(number, "[.,]")
-    after = _groups(parts[1], 1, lang) if fraction is None else fraction(parts[1])
-    return F.concat(said(parts[0], lang), F.when(F.size(parts) > 1, F.concat(F.lit(" virgule " if lang == "fr" else " point "), after)).otherwise(""))
+    after = (lambda d: _groups(d, 1, lang)) if fraction is None else fraction
+    mark = F.lit(" virgule " if lang == "fr" else " point ")
+    return T.let(F.split(number, "[.,]"), lambda parts: F.concat(said(parts[0], lang), F.when(F.size(parts) > 1, F.concat(mark, after(parts[1]))).otherwise("")))
 
 
 def urls(text: Column | str, lang: str = "fr") -> Column:
@@ -108,7 +112,9 @@ def dates(text: Column | str, lang: str = "fr") -> Column:
     names = F.array(*map(F.lit, MONTHS[lang]))
 
     def read(m: Column) -> Column:
-        parts = F.split(m, "[/-]")
+        return T.let(F.split(m, "[/-]"), spelled)
+
+    def spelled(parts: Column) -> Column:
         day = F.regexp_replace(parts[0], "^0+", "")
         number = parts[1].cast("int")
         month = F.when(number.between(1, 12), F.get(names, number - 1)).otherwise(parts[1])
@@ -122,7 +128,9 @@ def dates(text: Column | str, lang: str = "fr") -> Column:
 
 def times(text: Column | str, lang: str = "fr") -> Column:
     def read(m: Column) -> Column:
-        parts = F.split(m, "[:hH]")
+        return T.let(F.split(m, "[:hH]"), spelled)
+
+    def spelled(parts: Column) -> Column:
         hour, minute = parts[0].cast("int"), parts[1].cast("int")
         if lang == "fr":
             head = F.concat(pair(parts[0], lang), F.when(hour <= 1, " heure").otherwise(" heures"))
@@ -173,7 +181,9 @@ def currency(text: Column | str, lang: str = "fr") -> Column:
     name = lambda sign, at: F.create_map(*[F.lit(x) for s, names in CURRENCIES[lang].items() for x in (s, names[at])])[sign]
 
     def read(m: Column) -> Column:
-        sign, parts = F.regexp_extract(m, "[€$£¥]", 0), F.split(F.regexp_extract(m, NUMBER, 0), "[.,]")
+        return T.let(F.split(F.regexp_extract(m, NUMBER, 0), "[.,]"), lambda parts: spelled(F.regexp_extract(m, "[€$£¥]", 0), parts))
+
+    def spelled(sign: Column, parts: Column) -> Column:
         whole, cents = said(parts[0], lang), F.substring(F.rpad(parts[1], 2, "0"), 1, 2)
         with_cents = F.concat(whole, F.lit(" "), name(sign, 0 if lang == "fr" else 1), F.lit(" et " if lang == "fr" else " and "), pair(cents, lang), F.lit(" centimes" if lang == "fr" else " cents"))
         one = (F.size(parts) == 1) & (parts[0].try_cast("long") == 1)
@@ -207,7 +217,8 @@ def abbreviations(text: Column | str, lang: str = "fr") -> Column:
     """Abbreviations before white space, a comma, a colon, a semicolon or the end, whatever their case, in listed order."""
     out = col(text)
     for short, full in ABBREVIATIONS[lang].items():
-        out = F.regexp_replace(out, rf"(?iuU)\b\Q{short}\E(?=\s|$|[,;:])", full)
+        # The first letter is looked at before the word edge, which is dear in Unicode.
+        out = F.regexp_replace(out, rf"(?iuU)(?={short[0]})\b\Q{short}\E(?=\s|$|[,;:])", full)
     return out
 
 

@@ -71,7 +71,7 @@ def in_words(number: Column | str, lang: str = "fr", zero: str | None = None) ->
         head = F.when(high > 0, F.concat(T.let(high.cast("long"), below), F.when(high > 1, f" {billions}").otherwise(f" {billion}")))
         sign = F.when(n < 0, "moins " if lang == "fr" else "minus ").otherwise("")
         rest = F.when(low > 0, T.let(low, below))
-        return F.when(n == 0, UNITS[lang][0] if zero is None else zero).when(F.abs(n) < 10**18, F.concat(sign, F.concat_ws(" ", head, rest)))
+        return F.when(n == 0, UNITS[lang][0] if zero is None else zero).when((n > 0) & (n < 1000), F.get(table, n.cast("int"))).when(F.abs(n) < 10**18, F.concat(sign, F.concat_ws(" ", head, rest)))
 
     return T.let(col(number).cast("long"), named)
 

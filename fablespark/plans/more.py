@@ -10,7 +10,7 @@ from ..functions import signals as S
 from ..functions import text as T
 from ..operators import attribution, casting, chunking, compliance, emotion, lexicon, segments, timeline
 from ..sources import sinks
-from .queries import EMOTIONS_SQL, QUOTED_SQL, SENTENCES_SQL, WORDS_SQL, _emotions, _quoted, in_words_sql, query, table
+from .queries import EMOTIONS_SQL, QUOTED_SQL, SENTENCES_SQL, WORDS_SQL, _emotions, _quoted, in_words_sql, query, spread, table
 
 _MONTHS_FR = "['janvier', 'fevrier', 'mars', 'avril', 'mai', 'juin', 'juillet', 'aout', 'septembre', 'octobre', 'novembre', 'decembre']"
 _MONTHS_EN = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
@@ -23,7 +23,8 @@ def _order_text(spark, sf_dir):
         F.lit("Le "), F.date_format(d, "dd/MM/yyyy"), F.lit(" a "), (k % 23 + 1).cast("string"), F.lit("h"), F.lpad((k % 59 + 1).cast("string"), 2, "0"), F.lit(":  "), (k % 99 + 1).cast("string"), F.lit("% de "),
         (k % 900 + 1).cast("string"), F.lit(" kg, $"), (k % 400 + 2).cast("string"), F.lit(".50 & le "), (k % 70 + 4).cast("string"), F.lit("th etc."),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.regexp_replace(text, "th etc", "eme etc").alias("fr"), text.alias("en"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    return orders.select("o_orderkey", F.regexp_replace(text, "th etc", "eme etc").alias("fr"), text.alias("en"))
 
 
 @query(
