@@ -31,6 +31,9 @@ from .staging import qualified
 
 BLOCK_FRAMES = 1 << 16
 PART_BYTES = 1 << 25
+OPEN_BYTES = 1 << 15  # what opening a file costs, in bytes read
+TASKS = 64
+BATCH_SAMPLES, BATCH_BLOCKS = 1 << 20, 1 << 12  # most of a batch, beyond its first block
 SCHEMA = "path string, block long, frame long, frames long, rate int, channels int, width int, samples array<int>"
 BREATHS = ("soft", "sharp", "deep", "gasp", "sigh")  # fixed values: kinds of breath, each a folder
 
@@ -103,6 +106,27 @@ class Part(InputPartition):
     high: int
 
 
+@dataclass
+class Parts(InputPartition):
+    """What one task reads: a part of a long file, or many short files."""
+
+    parts: list[Part]
+
+
+def packed(parts: list[Part], limit: int) -> list[Parts]:
+    """Neighbouring parts together up to `limit` bytes, a file counting for OPEN_BYTES at least; in some TASKS tasks where there are enough files."""
+    cost = lambda p: max(min(p.high, p.size) - p.low, OPEN_BYTES)
+    most = min(limit, sum(map(cost, parts)) // TASKS)
+    out, held = [], 0
+    for p in parts:
+        if not out or held + cost(p) > most:
+            out.append(Parts([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += cost(p)
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -110,16 +134,36 @@ class _Reader(DataSourceReader):
         self.part = int(options.get("partbytes", PART_BYTES))
         self.lenient = str(options.get("skipbroken", "false")).lower() == "true"
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         from pyarrow import fs
 
         files, root = _filesystem(self.root)
         found = [i for i in files.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.path.lower().endswith(".wav")]
         found = [i for i in found if not any(p.startswith(("_", ".")) for p in i.path[len(root) :].split("/"))]
-        return [Part(i.path, i.path[len(root) :].lstrip("/"), i.size, low, low + self.part) for i in sorted(found, key=lambda i: i.path) for low in range(0, max(i.size, 1), self.part)]
+        parts = [Part(i.path, i.path[len(root) :].lstrip("/"), i.size, low, low + self.part) for i in sorted(found, key=lambda i: i.path) for low in range(0, max(i.size, 1), self.part)]
+        return packed(parts, self.part)
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
         files, _ = _filesystem(self.root)
+        held, n = [], 0
+        for part in partition.parts:
+            for row, samples in self._blocks(files, part):
+                if held and (n + len(samples) > BATCH_SAMPLES or len(held) == BATCH_BLOCKS):
+                    yield self._batch(held)
+                    held, n = [], 0
+                held.append((row, samples))
+                n += len(samples)
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, held: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
+        rows, samples = zip(*held, strict=True)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in samples]))).astype(np.int32)
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(samples)))
+        return pa.RecordBatch.from_arrays([*columns, lists], ["path", "block", "frame", "frames", "rate", "channels", "width", "samples"])
+
+    def _blocks(self, files, part: Part) -> Iterator[tuple[tuple, np.ndarray]]:
         with files.open_input_file(part.file) as stream:
             try:
                 h = read_header(stream, part.size)
@@ -129,16 +173,14 @@ class _Reader(DataSourceReader):
                 raise NotPcm(f"{part.name}: {e}") from None
             size = h.width * h.channels
             # A block belongs to the part of the file in which it begins.
-            for block in range(-(-h.frames // self.block) or 1):
-                at = h.start + block * self.block * size
-                if not (part.low <= at < part.high or h.frames == 0 and part.low == 0):
-                    continue
-                stream.seek(at)
+            step = self.block * size
+            first, end = max(0, -(-(part.low - h.start) // step)), min(-(-h.frames // self.block) or 1, max(0, -(-(part.high - h.start) // step)))
+            if not h.frames:
+                first, end = 0, int(part.low == 0)
+            for block in range(first, end):
+                stream.seek(h.start + block * step)
                 n = min(self.block, h.frames - block * self.block)
-                samples = decoded(stream.read(n * size), h.width)
-                lists = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))
-                numbers = [pa.array([v], t) for v, t in ((block, pa.int64()), (block * self.block, pa.int64()), (h.frames, pa.int64()), (h.rate, pa.int32()), (h.channels, pa.int32()), (h.width, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([part.name]), *numbers, lists], ["path", "block", "frame", "frames", "rate", "channels", "width", "samples"])
+                yield (part.name, block, block * self.block, h.frames, h.rate, h.channels, h.width), decoded(stream.read(n * size), h.width)
 
 
 @dataclass
@@ -190,10 +232,11 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = _filesystem(self.root)
-        for message in messages:
-            for temporary, final in message.files if message else ():
-                files.create_dir(final.rsplit("/", 1)[0], recursive=True)
-                files.move(temporary, final)
+        moves = [pair for message in messages if message for pair in message.files]
+        for folder in {final.rsplit("/", 1)[0] for _, final in moves}:
+            files.create_dir(folder, recursive=True)
+        for temporary, final in moves:
+            files.move(temporary, final)
         self._clear(files, root)
 
     def abort(self, messages: list[Written | None]) -> None:
