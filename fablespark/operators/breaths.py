@@ -33,11 +33,11 @@ def drawn(words_per_breath: int, *key: Column) -> Column:
     return F.floor(words_per_breath * (LEAST + (MOST - LEAST) * share)).cast("int")
 
 
-def _scanned(rows: DataFrame, keys: list[str], order: str, states: int, start: Column, advance: Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray]], out: str) -> DataFrame:
+def _scanned(rows: DataFrame, keys: list[str], order: str, states: int, start: Column, advance: Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray]], one: Callable[[int, int, int], tuple[int, int]], out: str) -> DataFrame:
     """rows with `out`: the code that advance gives for each of them.
 
     rows hold _words and _draw; start is the state before a key's first row; advance(states, words, draw) gives the
-    states after a row and its codes.
+    states after a row and its codes, one the same for a single state, in plain numbers.
     """
     runs = rows.withColumn("_run", F.floor(F.col(order) / RUN))
     group = [*keys, "_run"]
@@ -51,14 +51,14 @@ def _scanned(rows: DataFrame, keys: list[str], order: str, states: int, start: C
             now, _ = advance(now, words, draw)
         return now.astype(np.float64)
 
-    def replay(state: np.ndarray | None, part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    def replay(state: int | None, part: pa.RecordBatch) -> tuple[int, dict[str, pa.Array]]:
         codes = []
         if state is None:
             first, before = part.column("_start")[0].as_py(), part.column("before")[0].as_py()
-            state = np.array([int(before[first]) if before else first])
+            state = int(before[first]) if before else first
         for words, draw in zip(part.column("_words").to_pylist(), part.column("_draw").to_pylist(), strict=True):
-            state, code = advance(state, words, draw)
-            codes.append(int(code[0]))
+            state, code = one(state, words, draw)
+            codes.append(code)
         return state, {out: pa.array(codes, pa.int32())}
 
     changes = scans.reduced(slim, group, [order], change, "change", "array<double>")
@@ -87,7 +87,10 @@ def breath_markers(rows: DataFrame, keys: list[str], order: str, words: str = "w
         over = n > left
         return np.where(over, draw, left - n), over
 
-    out = _scanned(ready, keys, order, most + 1, drawn(words_per_breath, *map(F.col, keys), F.lit("start")), advance, "_over")
+    def one(left: int, n: int, draw: int) -> tuple[int, int]:
+        return (draw, 1) if n > left else (left - n, 0)
+
+    out = _scanned(ready, keys, order, most + 1, drawn(words_per_breath, *map(F.col, keys), F.lit("start")), advance, one, "_over")
     out = _previous(out, keys, order, "emotion", "_emotion")
     changed = F.col("_emotion").isNotNull() & (F.col("_emotion") != F.col("emotion")) & F.col("intensity").isin(*STRONG)
     tense = F.col("emotion").isin(*TENSE) & (F.col("intensity") != "low")
@@ -110,8 +113,16 @@ def breath_pauses(rows: DataFrame, keys: list[str], order: str, words: str = "wo
         place = np.where(said <= threshold, threshold - said, np.where(said > threshold * 1.5, deep, soft))
         return (threshold - least) * width + place, code
 
+    def one(state: int, n: int, draw: int) -> tuple[int, int]:
+        threshold, left = state // width + least, state % width
+        code = 2 if left == deep else 1 if left == soft else 0
+        threshold = draw if code else threshold
+        said = (0 if code else threshold - min(left, threshold)) + n
+        place = threshold - said if said <= threshold else deep if said > threshold * 1.5 else soft
+        return (threshold - least) * width + place, code
+
     first = drawn(words_per_breath, *map(F.col, keys), F.lit("start"))
-    out = _scanned(ready, keys, order, (most - least + 1) * width, (first - least) * width + first, advance, "_code")
+    out = _scanned(ready, keys, order, (most - least + 1) * width, (first - least) * width + first, advance, one, "_code")
     return out.withColumn("breath", F.when(F.col("_code") == 2, "deep").when(F.col("_code") == 1, "soft")).drop("_code")
 
 
