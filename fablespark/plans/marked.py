@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html
 from ..functions import text as T
 from ..operators import catalog, dictionary, markup
-from .queries import query, table
+from .queries import query, spread, table
 
 _LISTED = ", ".join(f"'{w}'" for w in markup.AUTO_EMPHASIS)
 
@@ -38,7 +38,7 @@ def _marked(spark, sf_dir):
         )
 
     text = T.let(a, lambda x: F.array_join(F.concat(F.transform(x, lambda w, i: wrapped(w, i, F.size(x))), F.when(F.size(x) > 0, F.array(F.lit("<fast>"))).otherwise(F.expr("cast(array() as array<string>)"))), " "))
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", text.alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")).select("doc_id", "n_chars", text.alias("text"))
 
 
 @query("word_prosody", f"WITH {_WORDS_SQL} SELECT * FROM words")
