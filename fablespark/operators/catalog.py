@@ -52,16 +52,21 @@ def _grams(text: str, n: int) -> Column:
     return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))))
 
 
+def _firsts(entries: DataFrame, name: str, order: str, value: str) -> DataFrame:
+    """_name and the first of the entries whose names differ in case alone: it answers for all, so that what is cut into parts grows with the names."""
+    return entries.where(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_name")).agg(F.min(F.struct(order, name, value)).alias("_e")).select("_name", "_e.*")
+
+
 def found_by_name(asked: DataFrame, entries: DataFrame, name: str, order: str, value: str) -> DataFrame:
     """asked with `value`: that of the entry with this very name, else of the first entry whose name holds it, whatever the case; null if none does.
 
     Names of up to GRAM characters are looked up among the parts of all entries' names. A longer one
     is looked for only in entries that share its rarest part of GRAM characters, so no pair of tables is compared whole:
-    every join is by equality. An empty name is held by all; a null one by none.
+    every join is by equality, and a name that many entries have takes part once. An empty name is held by all; a null one by none.
     """
     first = lambda *by: F.min_by(value, F.struct(order, name)).alias(by[0])
     exact = entries.groupBy(name).agg(first("_exact"))
-    low = entries.where(F.col(name).isNotNull()).select(F.lower(name).alias("_name"), name, order, value)
+    low = _firsts(entries, name, order, value)
     wanted = asked.where(F.col(name).isNotNull()).select(F.lower(name).alias("_asked")).distinct()
     parts = low.select(F.explode(F.concat(*[F.coalesce(_grams("_name", n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])).alias("_asked"), name, order, value)
     short = parts.groupBy("_asked").agg(first("_held"))
