@@ -26,6 +26,7 @@ from ..functions import text as T
 from . import scans
 
 MOST = 32 << 20
+SLICE = 1 << 20  # bytes of a batch that are Python objects at a time
 PIECE = re.compile(r"\w+|\W")
 CLOSERS = frozenset(",;:!?")
 
@@ -94,6 +95,14 @@ def rewritten(texts: DataFrame, entries: DataFrame, text: str = "text", closing:
     return _by_broadcast(texts, filled, text, closing) if size <= most else _by_join(texts, filled, text, closing)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, by so few at a time that texts, phrases and answers as Python objects stay small beside the batch."""
+    for batch in batches:
+        rows = max(1, int(len(batch) * SLICE / max(1, batch.nbytes)))
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def _out(texts: DataFrame, text: str) -> tuple[list[str], str]:
     shape = texts.withColumn("n_replaced", F.lit(0))
     return [f.name for f in shape.schema], scans.schema_of(shape)
@@ -106,7 +115,7 @@ def _by_broadcast(texts: DataFrame, filled: DataFrame, text: str, closing: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sizes = sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             done = [(None, 0) if t is None else _rewritten(t, table.get, sizes, closing) for t in batch.column(text).to_pylist()]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {text: pa.array([d[0] for d in done], pa.string()), "n_replaced": pa.array([d[1] for d in done], pa.int32())}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
@@ -130,7 +139,7 @@ def _by_join(texts: DataFrame, filled: DataFrame, text: str, closing: bool) -> D
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct phrases of each text."""
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for t in batch.column("text").to_pylist():
                 low = [p.lower() for p in PIECE.findall(t or "")]
@@ -138,7 +147,7 @@ def _by_join(texts: DataFrame, filled: DataFrame, text: str, closing: bool) -> D
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.list_(pa.string()))], ["digest", "phrases"])
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             done = []
             for t, found in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist(), strict=True):
                 table = _gathered([e for group in found or () for e in group])
