@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import staged
 from . import casting
 
 # How a line names its speaker, by format, in the order in which they are tried; moods that a tag may name; voices by gender.
@@ -94,7 +95,7 @@ def speakers(rows: DataFrame, keep: list[str], config: DataFrame, voices: dict[s
 
 def conversation(df: DataFrame, keep: list[str], config: DataFrame, text: str = "text") -> DataFrame:
     """line_idx, speaker, text, emotion, direction, gender, voice, speed, pitch_shift: scripts ready to be spoken."""
-    rows = lines(df, keep, text)
+    rows = staged(lines(df, keep, text), "lines")  # read for the speakers and for what they say
     cut = rows.select(*keep, "line_idx", "speaker", mood("line").alias("emotion"), without_mood("line").alias("_line"))
     cut = cut.select(*keep, "line_idx", "speaker", without_directions("_line").alias("text"), "emotion", directions("_line").alias("direction"))
     return cut.join(speakers(rows, keep, config), [*keep, "speaker"]).select(*keep, "line_idx", "speaker", "text", "emotion", "direction", "gender", "voice", "speed", "pitch_shift")
