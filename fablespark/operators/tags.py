@@ -72,11 +72,13 @@ def prosody(text: Column | str) -> Column:
         within = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
         return F.struct(within(a["speed"], 0.5, 1.5).alias("speed"), within(a["volume"], 0.3, 1.5).alias("volume"), within(a["pitch"], -1.0, 1.0).alias("pitch"), a["pause_before"].alias("pause_before"), a["pause_after"].alias("pause_after"))
 
-    return F.aggregate(found, start, step, clamp)
+    # Most texts have no tag.
+    return F.when(~F.contains(F.col(text) if isinstance(text, str) else text, F.lit("[")), start).otherwise(F.aggregate(found, start, step, clamp))
 
 
 def spoken_text(text: Column | str) -> Column:
     """Text with native tags left in, other known tags removed, and white space collapsed."""
     t = F.col(text) if isinstance(text, str) else text
     silent = [n for tag in TAGS if tag[2] is None for n in [tag[0], *(a for a, of in ALIASES.items() if of == tag[0])]]
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)\[\s*(?:" + "|".join(sorted(silent, key=len, reverse=True)) + r")\s*\]", " "), r"\s+", " "))
+    told = F.when(F.contains(t, F.lit("[")), F.regexp_replace(t, r"(?i)\[\s*(?:" + "|".join(sorted(silent, key=len, reverse=True)) + r")\s*\]", " ")).otherwise(t)
+    return F.trim(F.regexp_replace(told, r" \s+|[\t\n\x0B\f\r]\s*", " "))  # a single space stays as it is

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 GAP = 0.3
 
 
@@ -14,6 +19,20 @@ def offsets(df: DataFrame, partition: list[str], order: str, duration: str, star
     return df.withColumn(start, F.coalesce(F.sum(duration).over(w), F.lit(0).cast(df.schema[duration].dataType)))
 
 
+def laid_offsets(df: DataFrame, partition: list[str], order: str, duration: str, start: str = "start_time") -> DataFrame:
+    """offsets() of rows that lie by partition and in order (see scans.laid); the duration is a double."""
+
+    def fold(total: float | None, batch: pa.RecordBatch, opens: np.ndarray) -> tuple[float, list[pa.Array]]:
+        steps, total, out = pc.fill_null(batch.column(duration), 0.0).to_pylist(), total or 0.0, []
+        for step, new in zip(steps, opens.tolist(), strict=True):
+            total = 0.0 if new else total
+            out.append(total)
+            total += step
+        return total, [pa.array(out, pa.float64())]
+
+    return scans.laid(df, partition, order, fold, **{start: "double"})
+
+
 def conversation_timeline(lines: DataFrame, partition: list[str], order: str, gap: float = GAP) -> DataFrame:
     """start_time and end_time of lines with a pause after each; a pause of 0 takes the gap."""
     spaced = lines.withColumn("_step", F.col("duration") + F.coalesce(F.nullif("pause_after", F.lit(0.0)), F.lit(gap)))

@@ -1,7 +1,8 @@
 """The narration plan: from chapters to timed, voiced segments, as one chain of DataFrame steps.
 
-Rows stay partitioned by chapter from the first window on: every order-dependent step (transition,
-smoothing, pauses, timeline) partitions by the same keys, so they share one shuffle and one sort.
+A chapter's sentences come out of its row together and in order, and stay so: the order-dependent steps (transition,
+smoothing, pauses, timeline) pass over them as they lie, without a shuffle or a sort. `directed` and `timed` take rows from
+elsewhere, too, by windows that all partition by the same keys.
 Speech itself is a function the caller supplies to `synthesise`.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import emotion, segments, tags, timeline
+from ..operators import emotion, scans, segments, tags, timeline
 
 # Speed, pitch, pause before, pause after by emotion; suggested speed and pauses by narrative type.
 PROSODY = {
@@ -41,35 +42,46 @@ def intensity(text: Column | str) -> Column:
 def analysed(chapters: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
     """A row a sentence: emotion, intensity, narrative type, contour, tag effects."""
     rows = segments.sentences(chapters, keys, text)
-    rows = emotion.narrative_types(rows.select(*keys, "sent_idx", "sentence", emotion.keyword_emotion("sentence").alias("e"), tags.prosody("sentence").alias("t")), "sentence", "n")
+    rows = emotion.emotions_and_types(rows.select(*keys, "sent_idx", "sentence"), "sentence", "e", "n")
     return rows.select(
         *keys, "sent_idx", tags.spoken_text("sentence").alias("sentence"), F.col("e.emotion").alias("emotion"), F.col("e.confidence").alias("emotion_confidence"), intensity("sentence").alias("intensity"),
-        F.col("n.type").alias("narrative"), F.col("n.confidence").alias("narrative_confidence"), T.contour("sentence").alias("contour"), F.col("t").alias("tags"), T.is_dialogue("sentence").alias("is_dialogue"),
+        F.col("n.type").alias("narrative"), F.col("n.confidence").alias("narrative_confidence"), T.contour("sentence", stripped=True).alias("contour"), tags.prosody("sentence").alias("tags"), (F.col("n.type") == "dialogue").alias("is_dialogue"),
     )
 
 
-def directed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Speed and pauses of each segment in the light of the one before and the one after."""
-    rows = emotion.transitions(rows, keys, "sent_idx").withColumnRenamed("pause", "transition_pause").withColumnRenamed("speed", "transition_speed")
-    base = _row(PROSODY, F.col("emotion"), 0) * F.col("tags.speed")
-    rows = emotion.smoothed(rows.withColumn("_speed", base), keys, "sent_idx", ["_speed"])
+def directed(rows: DataFrame, keys: list[str], laid: bool = False) -> DataFrame:
+    """Speed and pauses of each segment in the light of the one before and the one after; laid: rows lie by key and in order."""
+    # What looks at no other row comes first, so that neither step makes a method too long to be compiled.
+    rows = rows.withColumns(
+        {
+            "_speed": _row(PROSODY, F.col("emotion"), 0) * F.col("tags.speed"),
+            "pause_before": F.greatest(_row(NARRATIVE, F.col("narrative"), 1), _row(PROSODY, F.col("emotion"), 2), F.col("tags.pause_before")),
+            "pause_after": F.greatest(F.lit(0.3), _row(NARRATIVE, F.col("narrative"), 2), _row(PROSODY, F.col("emotion"), 3), F.col("tags.pause_after")),
+        }
+    )
+    if laid:
+        rows = scans.laid(rows, keys, "sent_idx", emotion.blending("_speed"), {"from_emotion": "emotion", "_from_intensity": "intensity"}, {"_following": "is_dialogue"}, _speed_smooth="double")
+        rows = emotion.moved(rows)
+    else:
+        rows = emotion.smoothed(emotion.transitions(rows, keys, "sent_idx"), keys, "sent_idx", ["_speed"])
+        rows = rows.withColumn("_following", F.lead("is_dialogue").over(Window.partitionBy(*keys).orderBy("sent_idx")))
+    rows = rows.withColumnRenamed("pause", "transition_pause").withColumnRenamed("speed", "transition_speed")
     within = F.greatest(F.lit(SLOWEST), F.least(F.lit(FASTEST), F.col("_speed_smooth") * _row(NARRATIVE, F.col("narrative"), 0)))
-    following = F.lead("is_dialogue").over(Window.partitionBy(*keys).orderBy("sent_idx"))
-    after = F.greatest(F.lit(0.3), _row(NARRATIVE, F.col("narrative"), 2), _row(PROSODY, F.col("emotion"), 3), F.col("tags.pause_after"), F.when(F.col("is_dialogue") | (following != F.col("is_dialogue")), 0.4).otherwise(0.0))
-    before = F.greatest(_row(NARRATIVE, F.col("narrative"), 1), _row(PROSODY, F.col("emotion"), 2), F.col("tags.pause_before"))
-    return rows.withColumn("final_speed", within * F.col("transition_speed")).withColumn("pause_before", before).withColumn("pause_after", after).drop("_speed", "_speed_smooth")
+    following = F.col("_following")
+    after = F.greatest("pause_after", F.when(F.col("is_dialogue") | (following != F.col("is_dialogue")), 0.4).otherwise(0.0))
+    return rows.withColumn("final_speed", within * F.col("transition_speed")).withColumn("pause_after", after).drop("_speed", "_speed_smooth", "_following")
 
 
-def timed(rows: DataFrame, keys: list[str]) -> DataFrame:
+def timed(rows: DataFrame, keys: list[str], laid: bool = False) -> DataFrame:
     """duration, start_time and end_time of each segment within its chapter."""
     rows = rows.withColumn("duration", F.length("sentence") / T.CHARS_PER_SECOND / F.col("final_speed"))
     rows = rows.withColumn("_step", F.col("pause_before") + F.col("duration") + F.col("pause_after"))
-    rows = timeline.offsets(rows, keys, "sent_idx", "_step").drop("_step")
+    rows = (timeline.laid_offsets if laid else timeline.offsets)(rows, keys, "sent_idx", "_step").drop("_step")
     return rows.withColumn("start_time", F.col("start_time") + F.col("pause_before")).withColumn("end_time", F.col("start_time") + F.col("duration"))
 
 
 def narrated(chapters: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
-    return chapters.transform(analysed, keys, text).transform(directed, keys).transform(timed, keys)
+    return chapters.transform(analysed, keys, text).transform(directed, keys, True).transform(timed, keys, True)
 
 
 def chapter_report(rows: DataFrame, keys: list[str]) -> DataFrame:
