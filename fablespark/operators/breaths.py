@@ -77,9 +77,12 @@ def _previous(rows: DataFrame, keys: list[str], order: str, value: str, out: str
     return marked.withColumn(out, F.when(F.row_number().over(within) == 1, F.col("_end")).otherwise(F.lag(value).over(within))).drop("_run", "_end")
 
 
-def breath_markers(rows: DataFrame, keys: list[str], order: str, words: str = "words", words_per_breath: int = WORDS_PER_BREATH) -> DataFrame:
+def breath_markers(rows: DataFrame, keys: list[str], order: str, words: str = "words", words_per_breath: int = WORDS_PER_BREATH, laid: bool = False) -> DataFrame:
     """rows(emotion, intensity, words) with breath_before: before a strong change of emotion, before tense
-    passages, and where the words since the last breath pass the threshold."""
+    passages, and where the words since the last breath pass the threshold.
+
+    laid: rows lie by key and in order (see scans.laid), and are passed over once as they lie.
+    """
     most = int(words_per_breath * MOST)
     ready = rows.withColumn("_words", F.coalesce(F.col(words), F.lit(0)).cast("int")).withColumn("_draw", drawn(words_per_breath, *map(F.col, keys), F.col(order)))
 
@@ -90,8 +93,20 @@ def breath_markers(rows: DataFrame, keys: list[str], order: str, words: str = "w
     def one(left: int, n: int, draw: int) -> tuple[int, int]:
         return (draw, 1) if n > left else (left - n, 0)
 
-    out = _scanned(ready, keys, order, most + 1, drawn(words_per_breath, *map(F.col, keys), F.lit("start")), advance, one, "_over")
-    out = _previous(out, keys, order, "emotion", "_emotion")
+    def fold(left: int | None, batch: pa.RecordBatch, opens: np.ndarray) -> tuple[int, list[pa.Array]]:
+        over = []
+        for words, draw, start, new in zip(*(batch.column(c).to_pylist() for c in ("_words", "_draw", "_start")), opens.tolist(), strict=True):
+            left, code = one(start if new else left, words, draw)
+            over.append(code)
+        return left, [pa.array(over, pa.int32())]
+
+    start = drawn(words_per_breath, *map(F.col, keys), F.lit("start"))
+    if laid:
+        # The first threshold is drawn for the first row of a text alone, which a generator numbers 0.
+        ready = ready.withColumn("_start", F.when(F.col(order) == 0, start))
+        out = scans.laid(ready, keys, order, fold, {"_emotion": "emotion"}, _over="int").drop("_words", "_draw", "_start")
+    else:
+        out = _previous(_scanned(ready, keys, order, most + 1, start, advance, one, "_over"), keys, order, "emotion", "_emotion")
     changed = F.col("_emotion").isNotNull() & (F.col("_emotion") != F.col("emotion")) & F.col("intensity").isin(*STRONG)
     tense = F.col("emotion").isin(*TENSE) & (F.col("intensity") != "low")
     return out.withColumn("breath_before", (F.col("_over") > 0) | F.coalesce(changed, F.lit(False)) | F.coalesce(tense, F.lit(False))).drop("_over", "_emotion")

@@ -1,6 +1,6 @@
 """The extended narration plan: the plain one with corrected words, styles, exaggeration, mixed voices, human pauses and breaths.
 
-Each step adds columns to the rows of `narration.narrated`; nothing is computed twice and rows are shuffled by chapter only.
+Each step adds columns to the rows of `narration.narrated`; nothing is computed twice and rows stay as they lie.
 """
 
 from __future__ import annotations
@@ -40,5 +40,5 @@ def extended(chapters: DataFrame, keys: list[str], text: str = "content", entrie
         }
     )
     rows = rows.withColumn("has_emphasis", F.col("spoken") != F.col("sentence"))
-    return breaths.breath_markers(rows, keys, "sent_idx")
+    return breaths.breath_markers(rows, keys, "sent_idx", laid=True)
 
