@@ -25,20 +25,18 @@ def extended(chapters: DataFrame, keys: list[str], text: str = "content", entrie
     rows = narration.narrated(chapters, keys, text)
     at = [*map(F.col, keys), F.col("sent_idx")]
     own = F.lit(style) if style else F.coalesce(P.style_for("narrative", "emotion", "is_dialogue"), F.lit("storytelling"))
-    rows = rows.withColumn("style", own).withColumn("clause", T.clause_type("sentence"))
-    moved = P.exaggerated(F.lit(intensity), "emotion", exaggeration)
-    rows = rows.withColumn("_felt", moved)
+    # Breaths between what is told by the text and what is drawn: as one step these would make a method too long to be compiled.
+    voiced = P.blended_voice(F.lit(casting.NARRATOR) if voice is None else voice, "emotion", "intensity")
+    rows = rows.withColumns({"style": own, "clause": T.clause_type("sentence"), "voice": voiced, "words": T.word_count("sentence")})
+    rows = breaths.breath_markers(rows, keys, "sent_idx", laid=True)
+    rows = rows.withColumn("_felt", P.exaggerated(F.lit(intensity), "emotion", exaggeration))
     told = P.styled("style", F.col("final_speed") * F.col("_felt.speed"), F.col("_felt.pitch") + F.col("tags.pitch"), F.col("_felt.volume") * F.col("tags.volume"), *at)
     rows = rows.withColumn("_told", told).withColumns({n: F.col(f"_told.{n}") for n in ("speed", "pitch", "volume")}).drop("_felt", "_told")
     rows = rows.withColumns(
         {
-            "voice": P.blended_voice(F.lit(casting.NARRATOR) if voice is None else voice, "emotion", "intensity"),
             "human_before": P.humanised_pause("pause_before", *at, F.lit("before")),
             "human_after": P.humanised_pause("pause_after", *at, F.lit("after")),
             "spoken": P.emphasis_pauses("sentence"),
-            "words": T.word_count("sentence"),
         }
     )
-    rows = rows.withColumn("has_emphasis", F.col("spoken") != F.col("sentence"))
-    return breaths.breath_markers(rows, keys, "sent_idx", laid=True)
-
+    return rows.withColumn("has_emphasis", F.col("spoken") != F.col("sentence"))
