@@ -11,7 +11,9 @@ amount before its currency sign is read like one after it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,18 +64,31 @@ CURRENCIES = {
     "en": {"€": ("euros", "euro"), "$": ("dollars", "dollar"), "£": ("livres", "pounds"), "¥": ("yens", "yen")},
 }
 NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
+#: A number that something else has to follow: where that is missing, no shorter number is tried.
+_BEFORE = r"(?<![0-9])[0-9]++(?:[.,][0-9]++)?+"
+
+
+#: Parts a text at its matches. One character, at which a text is split without a pattern: Spark compiles a split's pattern for each row.
+_CUT = "\0"
 
 
 def replaced(text: Column | str, pattern: str, by: Callable[[Column], Column]) -> Column:
     """text with every match of a pattern replaced by an expression of the match."""
-    t = col(text)
 
-    def whole(found: Column) -> Column:
-        read = F.concat(F.transform(found, lambda match: T.let(match, lambda m: F.coalesce(by(m), m))), F.array(F.lit("")))
-        joined = F.array_join(F.zip_with(F.split(t, pattern, -1), read, lambda gap, said: F.concat(gap, said)), "")
-        return F.when(F.size(found) > 0, joined).otherwise(t)
+    def parts(t: Column) -> Column:
+        """What lies between matches and the matches, in turn."""
+        found = F.concat(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
+        both = F.flatten(F.zip_with(F.split(t, pattern, -1), found, lambda gap, m: F.array(gap, m)))
+        cut = F.split(F.regexp_replace(t, pattern, f"{_CUT}$0{_CUT}"), _CUT)
+        return F.when(F.contains(t, F.lit(_CUT)), F.when(t.rlike(pattern), F.slice(both, 1, F.size(both) - 1)).otherwise(F.array(t))).otherwise(cut)
+
+    read = lambda x, i: F.when(i % 2 == 0, x).otherwise(T.let(x, lambda m: F.coalesce(by(m), m)))
+    return T.let(parts(col(text)), lambda p: F.when(F.size(p) > 1, F.array_join(F.transform(p, read), "")).otherwise(p[0]))
+
 
-    return T.let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), whole)
+def _parts(text: Column, marks: str) -> Column:
+    """Parts of a text at any of these marks."""
+    return F.split(F.translate(text, marks, marks[0] * len(marks)), rf"\{marks[0]}")
 
 
 def said(number: Column, lang: str) -> Column:
@@ -95,7 +110,7 @@ def _decimal(number: Column, lang: str, fraction: Callable[[Column], Column] | N
     """A number with one mark before its fraction in words, digit by digit after the mark."""
     after = (lambda d: _groups(d, 1, lang)) if fraction is None else fraction
     mark = F.lit(" virgule " if lang == "fr" else " point ")
-    return T.let(F.split(number, "[.,]"), lambda parts: F.concat(said(parts[0], lang), F.when(F.size(parts) > 1, F.concat(mark, after(parts[1]))).otherwise("")))
+    return T.let(_parts(number, ".,"), lambda parts: F.concat(said(parts[0], lang), F.when(F.size(parts) > 1, F.concat(mark, after(parts[1]))).otherwise("")))
 
 
 def urls(text: Column | str, lang: str = "fr") -> Column:
@@ -112,7 +127,7 @@ def dates(text: Column | str, lang: str = "fr") -> Column:
     names = F.array(*map(F.lit, MONTHS[lang]))
 
     def read(m: Column) -> Column:
-        return T.let(F.split(m, "[/-]"), spelled)
+        return T.let(_parts(m, "/-"), spelled)
 
     def spelled(parts: Column) -> Column:
         day = F.regexp_replace(parts[0], "^0+", "")
@@ -128,7 +143,7 @@ def dates(text: Column | str, lang: str = "fr") -> Column:
 
 def times(text: Column | str, lang: str = "fr") -> Column:
     def read(m: Column) -> Column:
-        return T.let(F.split(m, "[:hH]"), spelled)
+        return T.let(_parts(m, ":hH"), spelled)
 
     def spelled(parts: Column) -> Column:
         hour, minute = parts[0].cast("int"), parts[1].cast("int")
@@ -156,7 +171,7 @@ def romans(text: Column | str, lang: str = "fr") -> Column:
         words = said(T.roman_value(numeral).cast("string"), lang)
         return F.when((F.length(numeral) < 2) | ~numeral.rlike("^[IVXLCDM]+$"), m).otherwise(F.concat(words, F.when(ordinal, "ieme" if lang == "fr" else "th").otherwise("")))
 
-    return replaced(text, r"(?iuU)\b[IVXLCDM]+(?:e|eme|ème)?\b(?!')", read)
+    return replaced(text, r"(?=[IVXLCDMivxlcdmİı])(?iuU)\b[IVXLCDM]+(?:e|eme|ème)?\b(?!')", read)
 
 
 def measures(text: Column | str, lang: str = "fr") -> Column:
@@ -168,12 +183,12 @@ def measures(text: Column | str, lang: str = "fr") -> Column:
         unit = F.regexp_replace(m, rf"(?U)^{NUMBER}\s*", "")
         return F.concat(_decimal(F.regexp_extract(m, NUMBER, 0), lang), F.lit(" "), F.coalesce(F.try_element_at(names, unit), unit))
 
-    return replaced(text, rf"(?iuU){NUMBER}\s*(?:{units})\b", read)
+    return replaced(text, rf"(?U){_BEFORE}\s*+(?iu:{units})\b", read)
 
 
 def percentages(text: Column | str, lang: str = "fr") -> Column:
     word = " pourcent" if lang == "fr" else " percent"
-    return replaced(text, rf"(?U){NUMBER}\s*%", lambda m: F.concat(_decimal(F.regexp_extract(m, NUMBER, 0), lang, lambda d: d), F.lit(word)))
+    return replaced(text, rf"(?U){_BEFORE}\s*+%", lambda m: F.concat(_decimal(F.regexp_extract(m, NUMBER, 0), lang, lambda d: d), F.lit(word)))
 
 
 def currency(text: Column | str, lang: str = "fr") -> Column:
@@ -181,7 +196,7 @@ def currency(text: Column | str, lang: str = "fr") -> Column:
     name = lambda sign, at: F.create_map(*[F.lit(x) for s, names in CURRENCIES[lang].items() for x in (s, names[at])])[sign]
 
     def read(m: Column) -> Column:
-        return T.let(F.split(F.regexp_extract(m, NUMBER, 0), "[.,]"), lambda parts: spelled(F.regexp_extract(m, "[€$£¥]", 0), parts))
+        return T.let(_parts(F.regexp_extract(m, NUMBER, 0), ".,"), lambda parts: spelled(F.regexp_extract(m, "[€$£¥]", 0), parts))
 
     def spelled(sign: Column, parts: Column) -> Column:
         whole, cents = said(parts[0], lang), F.substring(F.rpad(parts[1], 2, "0"), 1, 2)
@@ -189,7 +204,7 @@ def currency(text: Column | str, lang: str = "fr") -> Column:
         one = (F.size(parts) == 1) & (parts[0].try_cast("long") == 1)
         return F.when((F.size(parts) > 1) & (cents != "00"), with_cents).otherwise(F.concat(whole, F.lit(" "), F.when(one, name(sign, 1)).otherwise(name(sign, 0))))
 
-    return replaced(text, rf"(?U)[€$£¥]\s?{NUMBER}|{NUMBER}\s?[€$£¥]", read)
+    return replaced(text, rf"(?U)[€$£¥]\s?{NUMBER}|{_BEFORE}\s?+[€$£¥]", read)
 
 
 def ordinals(text: Column | str, lang: str = "fr") -> Column:
@@ -200,7 +215,7 @@ def ordinals(text: Column | str, lang: str = "fr") -> Column:
             return F.when(n == 1, "premier").otherwise(F.concat(words, F.lit("ieme")))
         return F.when(n == 1, "first").when(n == 2, "second").when(n == 3, "third").otherwise(F.concat(words, F.lit("th")))
 
-    return replaced(text, r"(?iuU)[0-9]+(?:er|ere|eme|ème|e)\b" if lang == "fr" else r"(?iuU)[0-9]+(?:st|nd|rd|th)\b", read)
+    return replaced(text, r"(?U)(?<![0-9])[0-9]++(?iu:er|ere|eme|ème|e)\b" if lang == "fr" else r"(?U)(?<![0-9])[0-9]++(?iu:st|nd|rd|th)\b", read)
 
 
 def numbers(text: Column | str, lang: str = "fr") -> Column:
@@ -214,23 +229,42 @@ def numbers(text: Column | str, lang: str = "fr") -> Column:
 
 
 def abbreviations(text: Column | str, lang: str = "fr") -> Column:
-    """Abbreviations before white space, a comma, a colon, a semicolon or the end, whatever their case, in listed order."""
-    out = col(text)
-    for short, full in ABBREVIATIONS[lang].items():
-        # The first letter is looked at before the word edge, which is dear in Unicode.
-        out = F.regexp_replace(out, rf"(?iuU)(?={short[0]})\b\Q{short}\E(?=\s|$|[,;:])", full)
-    return out
+    """Abbreviations before white space, a comma, a colon, a semicolon or the end, whatever their case, in listed order.
+
+    No two of them can match at one place or overlap, and none is made by another, so one search finds all."""
+    first = "".join(sorted({c for short in ABBREVIATIONS[lang] for c in (short[0].lower(), short[0].upper())}))
+    one = lambda short: rf"\b\Q{short}\E(?=\s|$|[,;:])"
+    # The first letter is looked at before the word edge, which is dear in Unicode; letters that are s, k or i in another case count.
+    anyone = rf"(?=[{first}\u017f\u212a\u0130\u0131])(?iuU)\b(?:{'|'.join(map(re.escape, ABBREVIATIONS[lang]))})(?=\s|$|[,;:])"
+    names = F.create_map(*[F.lit(x) for kv in {short.lower(): full for short, full in reversed(ABBREVIATIONS[lang].items())}.items() for x in kv])
+
+    def read(m: Column) -> Column:
+        slow = reduce(lambda t, kv: F.regexp_replace(t, f"(?iuU){one(kv[0])}", kv[1]), ABBREVIATIONS[lang].items(), m)
+        return F.coalesce(F.try_element_at(names, F.lower(m)), slow)
+
+    return replaced(text, anyone, read)
 
 
 def symbols(text: Column | str, lang: str = "fr") -> Column:
     """Signs as words; header signs and the sign before a word vanish."""
-    out = col(text)
-    for sign, words in SYMBOLS[lang].items():
-        if sign == "#":
-            out = F.regexp_replace(F.regexp_replace(out, r"(?mU)^#+\s*", ""), r"(?U)#(\w)", "$1")
-        else:
-            out = F.replace(out, F.lit(sign), F.lit(words))
-    return out
+    signs = list(SYMBOLS[lang])
+    at = signs.index("#")
+
+    def words(t: Column, some: list[str]) -> Column:
+        # One table and one range of characters, which hold all of these signs, are looked for before each sign by itself.
+        wide = [c for c in some if c > "\xff"]
+        held = "".join(re.escape(c) for c in some if c <= "\xff") + (f"{min(wide)}-{max(wide)}" if wide else "")
+        return F.when(t.rlike(f"[{held}]"), reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(SYMBOLS[lang][c])), some, t)).otherwise(t)
+
+    def headers(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("#")), F.regexp_replace(F.regexp_replace(t, r"(?mU)^#+\s*", ""), r"(?U)#(\w)", "$1")).otherwise(t)
+
+    return T.let(words(col(text), signs[:at]), lambda t: T.let(headers(t), lambda x: words(x, signs[at + 1 :])))
+
+
+def _collapsed(text: Column) -> Column:
+    """T.collapse; a text without white space but plain spaces meets no pattern in Unicode."""
+    return T.strip(F.when(text.rlike(r"[\t-\r\x85\xa0\u1680-\u3000]"), F.regexp_replace(text, r"(?U)\s+", " ")).otherwise(F.regexp_replace(text, " {2,}", " ")))
 
 
 #: All passes, in the order in which they are applied.
@@ -241,4 +275,4 @@ def normalized(df: DataFrame, column: str = "text", lang: str = "fr") -> DataFra
     """df with `column` made speakable."""
     for one in PASSES:
         df = df.withColumn(column, one(F.col(column), lang))
-    return df.withColumn(column, T.collapse(F.col(column)))
+    return df.withColumn(column, _collapsed(F.col(column)))
